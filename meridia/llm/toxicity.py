@@ -12,7 +12,7 @@ words of clean documents are labelled clean, so the field unlearns what both hav
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: at most so many labelled documents of each class are read for training
-SAMPLE_PER_CLASS = 1500
+SAMPLE_PER_CLASS = 1200
 ROUNDS, RATE, DECAY, PIECE = 60, 0.3, 2e-4, 256
 REMEMBERED = 300_000
 PREFIXES = (4, 5, 6, 7)
@@ -135,32 +135,43 @@ def _step(w, grad, state, rate):
 
 def fit(texts: list[str], labels: list[int]) -> Model:
     """Train on labelled texts; the same rows in the same order give the same model."""
-    rows = [(t or "").split() for t in texts]
     y = np.array(labels)
-    if not len(rows) or y.min() == y.max():
-        share = float(y.mean()) if len(rows) else 0.0
+    if not len(texts) or y.min() == y.max():
+        share = float(y.mean()) if len(texts) else 0.0
         bias = math.log((share + 1e-3) / (1 - share + 1e-3))
         return Model({}, -6.0, np.zeros(5), np.array([bias, 0, 0, 0]))
+    # words and features as numbers: no list of words is kept
     kinds: dict[str, int] = {}
-    word = np.array([kinds.setdefault(w, len(kinds)) for r in rows for w in r], np.int64)
+    rows = [np.fromiter((kinds.setdefault(w, len(kinds)) for w in (t or "").split()), np.int32) for t in texts]
+    word = np.concatenate(rows)
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     # the chain is trained on pieces of at most PIECE words, so that texts of all lengths step together
     cuts = np.unique(np.concatenate([starts, *(np.arange(a, b, PIECE) for a, b in zip(starts[:-1], starts[1:]))])).astype(np.int64)
-    of = {k: features(w) for w, k in kinds.items()}
-    seen = [Counter(), Counter()]
+    ids: dict[str, int] = {}
+    flat, ends = array("i"), array("q", [0])
+    for w in kinds:
+        flat.extend(ids.setdefault(f, len(ids)) for f in features(w))
+        ends.append(len(flat))
+    del kinds
+    flat, ends = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32), np.frombuffer(ends, np.int64)
+    pair_kind = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+    seen = np.zeros((2, len(ids)), np.int32)
     for r, label in zip(rows, y):
-        seen[label].update({f for w in set(r) for f in of[kinds[w]]})
+        own = np.unique(r)
+        if len(own):
+            seen[label, np.unique(np.concatenate([flat[ends[k] : ends[k + 1]] for k in own]))] += 1
+    del rows
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    names = {f: i for i, f in enumerate(sorted(f for f in seen[0].keys() | seen[1].keys() if seen[0][f] + seen[1][f] >= 3))}
-    telling = {f for f, c in seen[1].items() if c >= max(4, 0.004 * n1) and math.log((c + 0.1) / n1) - math.log((seen[0][f] + 0.5) / n0) > 2.3}
-    pair_kind, pair_name, hot = [], [], np.zeros(len(kinds), bool)
-    for k, fs in of.items():
-        hot[k] = any(f in telling for f in fs)
-        for f in fs:
-            if f in names:
-                pair_kind.append(k)
-                pair_name.append(names[f])
-    pair_kind, pair_name = np.array(pair_kind, np.int64), np.array(pair_name, np.int64)
+    telling = (seen[1] >= max(4, 0.004 * n1)) & (np.log((seen[1] + 0.1) / n1) - np.log((seen[0] + 0.5) / n0) > 2.3)
+    hot = np.bincount(pair_kind, telling[flat], minlength=len(ends) - 1) > 0
+    # only features of three texts or more have weights
+    use = seen.sum(0) >= 3
+    number = np.cumsum(use) - 1
+    names = [f for f, ok in zip(ids, use) if ok]
+    del ids
+    kept = use[flat]
+    pair_kind, pair_name = pair_kind[kept], number[flat[kept]]
+    n_kinds = len(ends) - 1
     tag = hot[word] & np.repeat(y == 1, np.diff(starts))
     w, bias, params = np.zeros(len(names)), np.array([-3.0]), np.zeros(5)
     states = [(np.zeros_like(a), np.zeros_like(a)) for a in (w, bias, params)]
@@ -171,11 +182,11 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     seen_pairs = np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4).astype(float)
     positive = max(1.0, tag.sum())
     for t in range(1, ROUNDS + 1):
-        kind_e = bias[0] + np.bincount(pair_kind, w[pair_name], minlength=len(kinds))
+        kind_e = bias[0] + np.bincount(pair_kind, w[pair_name], minlength=n_kinds)
         e = kind_e[word]
         odds, x, z = marginals(e, cuts, params)
         p = _sigmoid(odds)
-        per_kind = np.bincount(word, tag - p, minlength=len(kinds))
+        per_kind = np.bincount(word, tag - p, minlength=n_kinds)
         grad_w = np.bincount(pair_name, per_kind[pair_kind], minlength=len(w)) / positive - DECAY * w
         grad_b = np.array([(tag - p).sum() / positive])
         # expected tag pairs: forward odds of the left word, the pair's weight, emission and backward odds of the right
@@ -187,7 +198,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         grad_p = np.append((seen_pairs - pairs) / positive, (tag[first] - p[first]).sum() / positive) - 1e-3 * params
         for a, g, s in zip((w, bias, params), (grad_w, grad_b, grad_p), states):
             _step(a, g, (*s, t), RATE)
-    model = Model({f: float(w[i]) for f, i in names.items() if abs(w[i]) > 0.03}, float(bias[0]), params, np.zeros(4))
+    model = Model({f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 0.03}, float(bias[0]), params, np.zeros(4))
     f = text_features(*model.odds(texts))
     design, scale = np.concatenate([np.ones((len(f), 1)), f], axis=1), np.zeros(4)
     state, weight = (np.zeros(4), np.zeros(4)), 1 / len(y)
