@@ -19,7 +19,7 @@ def histogram(df: DataFrame, keys: list[str], value: Column, bounds: tuple = BOU
     return g.select(*keys, F.inline(rows), "n", "total")
 
 
-def rate_steps(df: DataFrame, window, value: str) -> Column:
+def rate_steps(window, value: str) -> Column:
     """A counter's increase since the row before; after a reset its value."""
     before = F.lag(value).over(window)
     return F.when(F.col(value) >= before, F.col(value) - before).when(before.isNotNull(), F.col(value))

@@ -1 +1,87 @@
+"""Playlist projections: lines with sort keys, joined in order."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions.time import decimal_seconds
+from .inputs import HOUR, P, S, by_time, packets, samples, table
+from .registry import register
+from .retention import KEPT, window_rows
+
 QUERIES: dict = {}
+
+
+def q(sql=None):
+    return register(QUERIES, sql)
+
+
+SECONDS = "CASE WHEN dur % 1000000000 = 0 THEN CAST(dur // 1000000000 AS VARCHAR) ELSE (dur // 1000000000) || '.' || rtrim(lpad(CAST(dur % 1000000000 AS VARCHAR), 9, '0'), '0') END"
+
+
+@q(f"WITH {S}{KEPT}, v AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS n, lag(publication) OVER (PARTITION BY stream ORDER BY seq) AS before FROM k WHERE newer < 3 OR after < least), "
+   f"h AS (SELECT stream, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:9' || chr(10) || '#EXT-X-TARGETDURATION:' || max(greatest(1, (dur + 500000000) // 1000000000)) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:' || min(seq) AS head, "
+   f"string_agg(CASE WHEN before <> publication THEN '#EXT-X-DISCONTINUITY' || chr(10) ELSE '' END || '#EXTINF:' || {SECONDS} || ',' || chr(10) || stream || '/' || seq || '.m4s', chr(10) ORDER BY seq) AS body FROM v GROUP BY 1) SELECT stream, head || chr(10) || body AS playlist FROM h")
+def pl1_media_playlist(spark, d):
+    """PL-1, SNK-8: a media playlist a stream over its sliding window; the lines of one playlist are bounded by it."""
+    from ..functions.time import target_seconds
+    v = window_rows(spark, d).where("newer < 3 or after < least").withColumn("before", F.lag("publication").over(Window.partitionBy("stream").orderBy("seq")))
+    line = F.concat(F.when(F.col("before") != F.col("publication"), "#EXT-X-DISCONTINUITY\n").otherwise(""), F.lit("#EXTINF:"), decimal_seconds("dur"), F.lit(",\n"), F.col("stream").cast("string"), F.lit("/"), F.col("seq").cast("string"), F.lit(".m4s"))
+    g = v.withColumn("line", line).groupBy("stream").agg(F.max(target_seconds("dur")).alias("target"), F.min("seq").alias("first"), F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("lines"))
+    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:9\n#EXT-X-TARGETDURATION:"), F.col("target").cast("string"), F.lit("\n#EXT-X-MEDIA-SEQUENCE:"), F.col("first").cast("string"), F.lit("\n"))
+    return g.select("stream", F.concat(head, F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("playlist"))
+
+
+@q(f"WITH {S}{KEPT} SELECT stream, count(*) AS skipped FROM k WHERE (newer < 3 OR after < least) AND after > {60 * HOUR} AND newer > 0 GROUP BY 1")
+def pl3_delta(spark, d):
+    """PL-3: segments further than 60 hours before the last one's end are skipped; the last never."""
+    return window_rows(spark, d).where("newer < 3 or after < least").where((F.col("after") > 60 * HOUR) & (F.col("newer") > 0)).groupBy("stream").agg(F.count("*").alias("skipped"))
+
+
+@q(f"WITH {S}, x AS (SELECT *, lag(publication) OVER (PARTITION BY stream ORDER BY t, arrival) AS before FROM s) SELECT arrival, strftime(make_timestamp(t // 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS pdt FROM x WHERE before IS DISTINCT FROM publication")
+def pl5_program_date(spark, d):
+    """PL-5: program dates of first segments and after each discontinuity, in milliseconds."""
+    from ..functions.time import idiv
+    x = samples(spark, d).withColumn("before", F.lag("publication").over(by_time)).where("not (before <=> publication)")
+    ms = idiv("t", 1_000_000).cast("long")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")), "yyyy-MM-dd")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    s = ms % 86_400_000
+    text = F.concat(day, F.lit("T"), two(F.floor(s / 3_600_000)), F.lit(":"), two(F.floor(s / 60_000) % 60), F.lit(":"), two(F.floor(s / 1000) % 60), F.lit("."), F.lpad((s % 1000).cast("string"), 3, "0"), F.lit("Z"))
+    return x.select("arrival", text.alias("pdt"))
+
+
+@q("SELECT o_orderkey, greatest(6, CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 0 END, CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 0 END) AS version, CASE o_orderkey % 4 WHEN 0 THEN 36.0 WHEN 1 THEN 3.0 WHEN 2 THEN 36.0 ELSE 6.0 END::DOUBLE AS max_age, CASE WHEN o_custkey % 3 = 0 THEN 'cc' WHEN o_custkey % 3 = 1 THEN 'NONE' END AS captions FROM orders")
+def pl6_version(spark, d):
+    """PL-6, PL-9, PL-11: versions by feature, cache lifetimes by resource (target 6 s), caption references."""
+    k = F.col("o_orderkey")
+    age = F.when(k % 4 == 0, 6 * 6.0).when(k % 4 == 1, 6 / 2).when(k % 4 == 2, 6 * 6.0).otherwise(6.0)
+    captions = F.when(F.col("o_custkey") % 3 == 0, "cc").when(F.col("o_custkey") % 3 == 1, "NONE")
+    return table(spark, d, "orders").select("o_orderkey", F.greatest(F.lit(6), F.when(k % 2 == 0, 9).otherwise(0), F.when(k % 5 == 0, 10).otherwise(0)).alias("version"), age.alias("max_age"), captions.alias("captions"))
+
+
+@q(f"WITH {P}, g AS (SELECT stream, kind, max(bytes) AS top FROM p GROUP BY 1, 2) SELECT stream, string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || top || ',CODECS=\"' || kind || '\"' || chr(10) || stream || '/' || kind || '.m3u8', chr(10) ORDER BY top, kind) AS playlist FROM g GROUP BY 1")
+def pl7_multivariant(spark, d):
+    """PL-7: variants by bandwidth."""
+    g = packets(spark, d).groupBy("stream", "kind").agg(F.max("bytes").alias("top"))
+    line = F.concat(F.lit("#EXT-X-STREAM-INF:BANDWIDTH="), F.col("top").cast("string"), F.lit(',CODECS="'), "kind", F.lit('"\n'), F.col("stream").cast("string"), F.lit("/"), "kind", F.lit(".m3u8"))
+    lines = F.array_sort(F.collect_list(F.struct("top", "kind", line.alias("line"))))  # one entry a rendition
+    return g.groupBy("stream").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("playlist"))
+
+
+@q("SELECT c_custkey, c_nationkey AS grp, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal > 9000 DESC, c_custkey) = 1 AS is_default FROM customer")
+def pl8_defaults(spark, d):
+    """PL-8: one default a group: a marked one, else the first."""
+    w = Window.partitionBy("c_nationkey").orderBy((F.col("c_acctbal") > 9000).desc(), "c_custkey")
+    return table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("grp"), (F.row_number().over(w) == 1).alias("is_default"))
+
+
+@q()
+def src12_playlist_reader(spark, d):
+    """SRC-12: playlists read back: newest media and its position, by lines in order."""
+    lines = pl1_media_playlist(spark, d).select("stream", F.posexplode(F.split("playlist", "\n")).alias("n", "line"))
+    w = Window.partitionBy("stream").orderBy("n")
+    held = lines.withColumn("inf", F.regexp_extract("line", r"^#EXTINF:([0-9.]+),", 1)).withColumn("sec", F.when(F.col("inf") != "", F.col("inf").cast("decimal(28,9)")))
+    at = held.withColumn("end", F.sum("sec").over(w))
+    return at.where("not startswith(line, '#')").groupBy("stream").agg(F.max_by("line", "n").alias("newest"), F.max("end").cast("string").alias("end"), F.count("*").alias("children"))
