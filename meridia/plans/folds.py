@@ -1 +1,63 @@
+"""Queries whose next state depends on the last: folds, held against brute force in tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import folds
+from .inputs import HOUR, L, P, S, packets, samples, tiles
+from .registry import register
+
 QUERIES: dict = {}
+
+
+def q(sql=None):
+    return register(QUERIES, sql)
+
+
+@q(f"WITH RECURSIVE {P}, n AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY arrival) AS i FROM p), f AS (SELECT stream, i, t, t AS start FROM n WHERE i = 1 UNION ALL SELECT n.stream, n.i, n.t, CASE WHEN n.t >= f.start + {24 * HOUR} THEN n.t ELSE f.start END FROM f JOIN n ON n.stream = f.stream AND n.i = f.i + 1) SELECT stream, start, count(*) AS packets, count(*) > 4 AS dense FROM f GROUP BY 1, 2")
+def str2_density(spark, d):
+    """STR-2: packets in windows of 24 hours that start at their first row, not at an epoch."""
+    return folds.fold(packets(spark, d).select("stream", "t", "arrival"), "stream", ["arrival"], folds.density(24 * HOUR, 4), "stream long, start long, packets long, dense boolean")
+
+
+@q()
+def str3_floor(spark, d):
+    """STR-3, STR-4: windows of 48 hours that gained less media than half their length."""
+    rows = samples(spark, d).select("stream", "t", "arrival", F.least(F.col("dur"), F.lit(6 * HOUR)).alias("media"))
+    return folds.fold(rows, "stream", ["t", "arrival"], folds.floor_windows(48 * HOUR, 1, 2), "stream long, start long, elapsed long, media long, slow boolean")
+
+
+@q()
+def str6_gaps(spark, d):
+    """STR-6, STR-7, SUP-2: gaps and overlaps against a free-running clock, units of at most 5 hours, tolerance 1 hour."""
+    rows = samples(spark, d).select("stream", "t", "arrival", F.least(F.col("dur"), F.lit(5 * HOUR)).alias("dur"))
+    return folds.fold(rows, "stream", ["t", "arrival"], folds.gaps(HOUR), "stream long, arrival long, kind string, expected long, off long")
+
+
+@q()
+def str14_greedy(spark, d):
+    """STR-14: greedy parts of at most 60 over the lines of an order."""
+    return folds.fold(tiles(spark, d).select("parent", "idx", "start", "dur"), "parent", ["idx"], folds.greedy_parts(60), "parent long, part long, start long, size long, units long, why string")
+
+
+@q()
+def sort7_partition(spark, d):
+    """SORT-7, STR-15: the fewest parts of at most 60; an order's lines are few."""
+    @F.udf("array<int>")
+    def split(sizes):
+        return folds.fewest_parts(sizes, 60)
+    g = tiles(spark, d).groupBy("parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "dur"))), lambda x: x["dur"]).alias("sizes"))
+    return g.select("parent", split("sizes").alias("parts"))
+
+
+@q()
+def adm1_takeover(spark, d):
+    """ADM-1: claims on a stream, in order of arrival; leases of 12 hours."""
+    return folds.fold(packets(spark, d).select("stream", "t", "arrival", "ra"), "stream", ["arrival"], folds.takeover(12 * HOUR), "stream long, arrival long, verdict string")
+
+
+@q()
+def evt5_queue(spark, d):
+    """EVT-5, SORT-5: deliveries of a subject in order, 20 hours each, four waiting."""
+    return folds.fold(packets(spark, d).select("stream", "t", "arrival"), "stream", ["arrival"], folds.bounded_queue(4, 20 * HOUR), "stream long, arrival long, outcome string, waited long")
