@@ -42,7 +42,7 @@ def evt4_failures(spark, d):
     """EVT-4: one event at the opening of each run of failures, and how many were lost in it."""
     bad = (F.col("kind") == "error").alias("bad")
     p = packets(spark, d).select("*", bad)
-    island = F.row_number().over(by_time) - F.row_number().over(Window.partitionBy("stream", "bad").orderBy("t", "arrival"))
+    island = F.row_number().over(by_time()) - F.row_number().over(Window.partitionBy("stream", "bad").orderBy("t", "arrival"))
     return p.withColumn("island", island).where("bad").groupBy("stream", "island").agg(F.min("arrival").alias("opened"), F.count("*").alias("lost")).drop("island")
 
 

@@ -32,7 +32,9 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P = "p AS (SELECT user_id AS stream, epoch_us(ts) * 1000 AS t, event_id AS arrival, event_type AS kind, CAST(round(value * 100) AS BIGINT) AS bytes, event_type IN ('view', 'purchase') AS ra FROM events)"
 
-by_time = Window.partitionBy("stream").orderBy("t", "arrival")
+
+def by_time():
+    return Window.partitionBy("stream").orderBy("t", "arrival")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +42,9 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     publication counts sign-ups so far; seq counts rows from 1."""
     return (
         packets(spark, sf_dir)
-        .withColumn("dur", F.lead("t").over(by_time) - F.col("t"))
-        .withColumn("publication", F.sum(F.when(F.col("kind") == "signup", 1).otherwise(0)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("seq", F.row_number().over(by_time).cast("long"))
+        .withColumn("dur", F.lead("t").over(by_time()) - F.col("t"))
+        .withColumn("publication", F.sum(F.when(F.col("kind") == "signup", 1).otherwise(0)).over(by_time().rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("seq", F.row_number().over(by_time()).cast("long"))
         .where("dur is not null")
     )
 

@@ -43,7 +43,7 @@ def pl3_delta(spark, d):
 def pl5_program_date(spark, d):
     """PL-5: program dates of first segments and after each discontinuity, in milliseconds."""
     from ..functions.time import idiv
-    x = samples(spark, d).withColumn("before", F.lag("publication").over(by_time)).where("not (before <=> publication)")
+    x = samples(spark, d).withColumn("before", F.lag("publication").over(by_time())).where("not (before <=> publication)")
     ms = idiv("t", 1_000_000).cast("long")
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ms / 86_400_000).cast("int")), "yyyy-MM-dd")
     two = lambda c: F.lpad(c.cast("string"), 2, "0")

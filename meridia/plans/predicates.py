@@ -74,7 +74,7 @@ def pred9_policy(spark, d):
 @q(f"WITH {P}, w AS (SELECT *, lag(kind) OVER x AS prev, lag(bytes) OVER x AS before FROM p WINDOW x AS (PARTITION BY stream ORDER BY t, arrival)) SELECT arrival, CASE WHEN bytes = 0 THEN 'empty' WHEN prev = 'error' AND kind <> 'signup' THEN 'ended' WHEN prev IS NULL AND kind = 'click' THEN 'no_initialization' WHEN before > bytes * 50 THEN 'shrunk' ELSE 'ok' END AS verdict FROM w")
 def pred10_write(spark, d):
     """PRED-10: writes are refused by what came before in their stream."""
-    rows = packets(spark, d).withColumn("prev", F.lag("kind").over(by_time)).withColumn("before", F.lag("bytes").over(by_time))
+    rows = packets(spark, d).withColumn("prev", F.lag("kind").over(by_time())).withColumn("before", F.lag("bytes").over(by_time()))
     c = F.col
     verdict = pr.first_failure(("empty", c("bytes") == 0), ("ended", (c("prev") == "error") & (c("kind") != "signup")), ("no_initialization", c("prev").isNull() & (c("kind") == "click")), ("shrunk", c("before") > c("bytes") * 50))
     return rows.select("arrival", F.coalesce(verdict, F.lit("ok")).alias("verdict"))

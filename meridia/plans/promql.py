@@ -29,7 +29,7 @@ STEP = ", r AS (SELECT *, CASE WHEN bytes >= lag(bytes) OVER w THEN bytes - lag(
 
 
 def steps(spark, d):
-    return packets(spark, d).withColumn("step", rate_steps(by_time, "bytes"))
+    return packets(spark, d).withColumn("step", rate_steps(by_time(), "bytes"))
 
 
 @q(f"WITH {P}{STEP} SELECT stream, t // {DAY} AS day, CAST(sum(step) AS BIGINT) AS increase, CAST(sum(step) AS BIGINT) / 86400.0::DOUBLE AS rate FROM r GROUP BY 1, 2")
@@ -92,7 +92,7 @@ def pq13_held(spark, d):
     low = (F.col("bytes") < 5000).alias("low")
     p = packets(spark, d).select("*", low)
     own = Window.partitionBy("stream", "low").orderBy("t", "arrival")
-    f = p.withColumn("island", F.row_number().over(by_time) - F.row_number().over(own)).where("low")
+    f = p.withColumn("island", F.row_number().over(by_time()) - F.row_number().over(own)).where("low")
     return f.groupBy("stream", "island").agg(F.min("t").alias("since"), F.max("t").alias("until")).where(F.col("until") - F.col("since") >= 48 * HOUR).select("stream", "since", "until")
 
 

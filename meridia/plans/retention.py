@@ -10,8 +10,13 @@ from .registry import register
 
 QUERIES: dict = {}
 RETAIN = 120 * HOUR
-AFTER = by_time.rowsBetween(1, Window.unboundedFollowing)
-whole = Window.partitionBy("stream")
+
+def after():
+    return by_time().rowsBetween(1, Window.unboundedFollowing)
+
+
+def whole():
+    return Window.partitionBy("stream")
 
 
 def q(sql=None):
@@ -23,8 +28,8 @@ KEPT = f", k AS (SELECT *, CAST(coalesce(sum(dur) OVER (PARTITION BY stream ORDE
 
 def window_rows(spark, d):
     """A segment stays while fewer than 3 are newer or what is newer is shorter than the minimum: a suffix, so no recursion."""
-    s = samples(spark, d).withColumn("after", F.coalesce(F.sum("dur").over(AFTER), F.lit(0))).withColumn("newer", F.count("*").over(whole) - F.col("seq"))
-    return s.withColumn("least", F.greatest(F.lit(RETAIN), 3 * F.max("dur").over(whole)))
+    s = samples(spark, d).withColumn("after", F.coalesce(F.sum("dur").over(after()), F.lit(0))).withColumn("newer", F.count("*").over(whole()) - F.col("seq"))
+    return s.withColumn("least", F.greatest(F.lit(RETAIN), 3 * F.max("dur").over(whole())))
 
 
 @q(f"WITH {S}{KEPT} SELECT stream, arrival, seq, dur FROM k WHERE newer < 3 OR after < least")
@@ -51,7 +56,7 @@ def ret3_part_tags(spark, d):
 @q(f"WITH {S}{KEPT}, x AS (SELECT *, lag(publication) OVER (PARTITION BY stream ORDER BY t, arrival) AS before FROM k) SELECT stream, count(*) FILTER (before <> publication AND NOT (newer < 3 OR after < least)) AS discontinuity_sequence FROM x GROUP BY 1")
 def ret5_discontinuity(spark, d):
     """RET-5: discontinuities that have left the window."""
-    k = window_rows(spark, d).withColumn("before", F.lag("publication").over(by_time))
+    k = window_rows(spark, d).withColumn("before", F.lag("publication").over(by_time()))
     gone = (F.col("before") != F.col("publication")) & ~((F.col("newer") < 3) | (F.col("after") < F.col("least")))
     return k.groupBy("stream").agg(F.count_if(gone).alias("discontinuity_sequence"))
 
@@ -74,8 +79,8 @@ def ret9_idle(spark, d):
 @q(f"WITH {P}, c AS (SELECT *, lag(kind) OVER (PARTITION BY stream ORDER BY t, arrival) IS DISTINCT FROM kind AS changed FROM p) SELECT arrival, changed, CAST(sum(CASE WHEN changed THEN 1 ELSE 0 END) OVER (PARTITION BY stream ORDER BY t, arrival ROWS UNBOUNDED PRECEDING) AS BIGINT) AS init FROM c")
 def ret10_initialization(spark, d):
     """RET-10, PL-4, SUP-24: an identical header keeps its id; MAP is told on change."""
-    r = packets(spark, d).withColumn("changed", ~F.col("kind").eqNullSafe(F.lag("kind").over(by_time)))
-    return r.select("arrival", "changed", F.sum(F.col("changed").cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)).alias("init"))
+    r = packets(spark, d).withColumn("changed", ~F.col("kind").eqNullSafe(F.lag("kind").over(by_time())))
+    return r.select("arrival", "changed", F.sum(F.col("changed").cast("int")).over(by_time().rowsBetween(Window.unboundedPreceding, 0)).alias("init"))
 
 
 @q(f"WITH {L}, x AS (SELECT a.parent, sum(b.bytes) * 8.0 / sum(b.dur) AS rate, CAST(sum(b.dur) AS BIGINT) AS span FROM l a JOIN l b ON a.parent = b.parent AND b.idx >= a.idx JOIN l c ON a.parent = c.parent AND c.idx >= b.idx GROUP BY a.parent, a.idx, c.idx) SELECT parent, max(CAST(rate AS DECIMAL(38, 3))::DOUBLE) AS peak FROM x WHERE span BETWEEN 25 AND 75 GROUP BY 1")

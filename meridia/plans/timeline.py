@@ -86,8 +86,8 @@ def str18_late_cues(spark, d):
 @q(f"WITH {P}, c AS (SELECT *, lag(kind) OVER (PARTITION BY stream ORDER BY t, arrival) AS before FROM p), k AS (SELECT * FROM c WHERE before IS NULL OR before <> kind), e AS (SELECT *, lead(t) OVER (PARTITION BY stream ORDER BY t, arrival) AS nxt, (SELECT max(t) FROM p z WHERE z.stream = k.stream) AS clock FROM k) SELECT stream, arrival, t AS start, coalesce(nxt, clock) AS stop, kind AS text, coalesce(nxt, clock) - t >= {30 * HOUR} AS long_lived FROM e WHERE kind <> 'error'")
 def str19_replacement(spark, d):
     """STR-19, STR-20: a state lasts until the next; restatements join; 'error' clears; the end closes at the clock; 30 hours are long."""
-    p = packets(spark, d).withColumn("clock", F.max("t").over(Window.partitionBy("stream"))).withColumn("before", F.lag("kind").over(by_time))
-    k = p.where("before is null or before <> kind").withColumn("stop", F.coalesce(F.lead("t").over(by_time), "clock")).where("kind <> 'error'")
+    p = packets(spark, d).withColumn("clock", F.max("t").over(Window.partitionBy("stream"))).withColumn("before", F.lag("kind").over(by_time()))
+    k = p.where("before is null or before <> kind").withColumn("stop", F.coalesce(F.lead("t").over(by_time()), "clock")).where("kind <> 'error'")
     return k.select("stream", "arrival", F.col("t").alias("start"), "stop", F.col("kind").alias("text"), (F.col("stop") - F.col("t") >= 30 * HOUR).alias("long_lived"))
 
 
