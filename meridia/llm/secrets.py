@@ -90,7 +90,7 @@ def labelled_findings(n: int = LABELLED, seed: int = 7) -> list[tuple[str, str,
         if kind == 0:
             left, value = words(3) + " ", r.choice(["AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(b62, 36), "sk_live_" + some(b62, 24), "AIza" + some(b62, 35), "xoxb-" + some(string.digits, 12) + "-" + some(b62, 24)])
         elif kind == 1:
-            left, value = words(3) + " ", r.choice(["password", "passwd", "pwd", "secret"]) + r.choice(["=", ": ", ' = "']) + some(b62 + "!#%*", r.randint(8, 20))
+            left, value = words(3) + " ", r.choice(["password", "passwd", "pwd", "secret"]) + r.choice(["=", ": ", ' = "']) + r.choice([some(b62 + "!#%*", r.randint(8, 20)), words(1)[:9] + str(r.randint(1, 999)) + r.choice("!#%*") + r.choice(["", some(b62, 2)])])
         if not any(c.isdigit() for c in value):
             value += "7"
         out.append((left[-NEAR:], value, right[:NEAR], 1))
