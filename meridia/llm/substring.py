@@ -147,7 +147,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ids are kept. A run of one repeated word is cut to strings of bounded length.
     Other columns are ignored.
     """
-    buckets, blocks = groups_for(df.select(text_col), BUCKET_BYTES, 32), groups_for(df.select(text_col), BLOCK_BYTES, 32)
+    buckets, blocks = groups_for(df, BUCKET_BYTES, 32), groups_for(df, BLOCK_BYTES, 32)
     kind = df.select(id_col).schema[0].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
