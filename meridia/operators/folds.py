@@ -196,3 +196,19 @@ def bounded_queue(capacity: int, service: int):
 
         return step, lambda: drain(None)
     return make
+
+
+def ledger(limit: int):
+    """Commitments of a stream in order: refused where they would pass the limit; takeovers may, ends release all."""
+    def make(key):
+        s = {"held": 0}
+
+        def step(r):
+            after = 0 if r.kind == "error" else s["held"] + r.bytes
+            refused = after > limit and r.kind not in ("error", "signup")
+            if not refused:
+                s["held"] = after
+            return [(key, r.arrival, s["held"], refused)]
+
+        return step, lambda: []
+    return make
