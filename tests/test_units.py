@@ -92,6 +92,13 @@ def test_queue_fold(spark):
     assert sorted((r.arrival, r.outcome) for r in got) == [(0, "delivered"), (1, "evicted"), (2, "evicted"), (3, "evicted"), (4, "delivered"), (5, "delivered")]
 
 
+def test_ledger_fold(spark):
+    rows = [(1, 0, "view", 60), (1, 1, "view", 50), (1, 2, "view", 40), (1, 3, "signup", 30), (1, 4, "error", 9), (1, 5, "view", 100), (2, 6, "view", 101)]
+    df = spark.createDataFrame(rows, "stream long, arrival long, kind string, bytes long")
+    got = folds.fold(df, "stream", ["arrival"], folds.ledger(100), "stream long, arrival long, held long, refused boolean").collect()
+    assert sorted((r.arrival, r.held, r.refused) for r in got) == [(0, 60, False), (1, 60, True), (2, 100, False), (3, 130, False), (4, 0, False), (5, 100, False), (6, 0, True)]
+
+
 def test_joins(spark):
     r = random.Random(2)
     a = [(r.randint(0, 2), i, s, s + r.randint(0, 30)) for i, s in enumerate(r.choices(range(-50, 200), k=60))]
