@@ -162,9 +162,9 @@ def sup32_ledger(spark, d):
     return folds.fold(rows, "stream", ["arrival"], folds.ledger(LEDGER), "stream long, arrival long, held long, refused boolean")
 
 
-@q(f"WITH {P}, w AS (SELECT a.stream, a.arrival, b.t - a.t AS delta FROM p a JOIN p b ON a.stream = b.stream AND a.kind = 'view' AND b.kind = 'click' AND abs(b.t - a.t) <= {24 * HOUR}), c AS (SELECT stream, delta, count(*) OVER (PARTITION BY stream ORDER BY delta RANGE BETWEEN {4 * HOUR} PRECEDING AND {4 * HOUR} FOLLOWING) AS n FROM w), t AS (SELECT stream, max(n) AS n FROM c GROUP BY 1) SELECT c.stream, c.n AS members, min(delta) AS low, max(delta) AS high, CASE WHEN c.n >= 3 AND max(delta) - min(delta) <= {4 * HOUR} THEN min(delta) END AS consensus FROM c JOIN t USING (stream, n) GROUP BY 1, 2")
+@q(f"WITH {P}, w AS (SELECT a.stream, a.arrival, b.t - a.t AS delta FROM p a JOIN p b ON a.stream = b.stream AND a.kind = 'view' AND b.kind = 'click' AND abs(b.t - a.t) <= {24 * HOUR}), c AS (SELECT stream, delta, count(*) OVER (PARTITION BY stream ORDER BY delta RANGE BETWEEN {4 * HOUR} PRECEDING AND {4 * HOUR} FOLLOWING) AS n FROM w), t AS (SELECT stream, max(n) AS n FROM c GROUP BY 1), g AS (SELECT c.stream, c.n AS members, min(delta) AS low, max(delta) AS high FROM c JOIN t USING (stream, n) GROUP BY 1, 2) SELECT g.stream, members, low, high, CASE WHEN members >= 3 AND high - low <= {4 * HOUR} THEN median(delta) END AS consensus FROM g JOIN w ON g.stream = w.stream AND abs(delta - low) <= {4 * HOUR} GROUP BY 1, 2, 3, 4")
 def sup33_offsets(spark, d):
-    """SUP-33: offsets of clicks from views within a day; the densest cluster within 4 hours; none if centres disagree."""
+    """SUP-33: offsets of clicks from views within a day; the median of the densest cluster within 4 hours; none if centres disagree."""
     from ..operators.joins import overlap_join
 
     p = packets(spark, d)
@@ -175,7 +175,8 @@ def sup33_offsets(spark, d):
     g = w.withColumn("n", n).groupBy("stream", "n").agg(F.min("delta").alias("low"), F.max("delta").alias("high"))
     top = g.groupBy("stream").agg(F.max_by(F.struct("n", "low", "high"), "n").alias("x")).select("stream", "x.*")
     agreed = (F.col("n") >= 3) & (F.col("high") - F.col("low") <= 4 * HOUR)
-    return top.select("stream", F.col("n").alias("members"), "low", "high", F.when(agreed, F.col("low")).alias("consensus"))
+    members = top.join(w, "stream").where(F.abs(F.col("delta") - F.col("low")) <= 4 * HOUR).groupBy("stream", "n", "low", "high").agg(F.median("delta").alias("m"))
+    return members.select("stream", F.col("n").alias("members"), "low", "high", F.when(agreed, F.col("m")).alias("consensus"))
 
 
 @q(f"WITH {P}, m AS (SELECT stream, kind, median(bytes) AS m FROM p GROUP BY 1, 2) SELECT a.stream, a.kind, a.m - b.m AS off, abs(b.m) < 8000 AND abs(a.m - b.m) <= 1500 AS ok FROM m a JOIN m b ON a.stream = b.stream AND b.kind = 'view' WHERE a.kind <> 'view'")
