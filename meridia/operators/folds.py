@@ -7,6 +7,7 @@ as a whole and many short ones cost no call each.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -212,3 +213,31 @@ def ledger(limit: int):
 
         return step, lambda: []
     return make
+
+
+def spill(capacity: int):
+    """Rows held in memory until their bytes pass the high mark; then the oldest go until the low one.
+
+    An eighth of the capacity is kept for manifests, a sixteenth parts the marks. The state holds
+    the rows in memory, whose bytes the high mark bounds; rows without bytes are not held."""
+    high = capacity - capacity // 8 - capacity // 16
+    low = high - capacity // 16
+
+    def make(key):
+        waiting, held = deque(), 0
+
+        def step(r):
+            nonlocal held
+            if r.bytes > 0:
+                waiting.append((r.arrival, r.bytes))
+                held += r.bytes
+            out = []
+            if held > high:
+                while held > low:
+                    arrival, size = waiting.popleft()
+                    held -= size
+                    out.append((key, arrival, r.arrival, held))
+            return out
+
+        return step, lambda: []
+    return make
