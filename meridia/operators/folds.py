@@ -7,6 +7,7 @@ as a whole and many short ones cost no call each.
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -241,3 +242,22 @@ def spill(capacity: int):
 
         return step, lambda: []
     return make
+
+
+def permits(limit: int):
+    """Requests that hold a permit for ``dur``; one that finds ``limit`` held is refused and holds none.
+
+    The state is the ends of the permits held. A permit that ends at a moment is free at it."""
+    def make(key):
+        ends: list[int] = []
+
+        def step(r):
+            while ends and ends[0] <= r.t:
+                heapq.heappop(ends)
+            admitted = len(ends) < limit
+            if admitted:
+                heapq.heappush(ends, r.t + r.dur)
+            return [(key, r.arrival, 200 if admitted else 503, len(ends))]
+
+        return step, lambda: []
+    return make

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import http
 from ..operators import captions, folds
 from ..sources import store
-from .inputs import HOUR, P, by_time, packets, table
+from .inputs import HOUR, L, P, by_time, packets, table, tiles
 from .registry import register
 
 QUERIES: dict = {}
@@ -101,3 +101,77 @@ def sup25_dtvcc(spark, d):
     )
     names = F.array_sort(F.transform(captions.services(F.col("packet")), lambda s: s.cast("string")))
     return captions.reassemble(x, "stream", ["t", "arrival"]).select("stream", "number", F.size("packet").cast("long").alias("n_bytes"), F.array_join(names, ",").alias("services"))
+
+
+@q()
+def adm2_address(spark, d):
+    """ADM-2: publishers of an address (16 streams share one), at most 3 at once, 12 hours each."""
+    rows = packets(spark, d).select((F.col("stream") % 16).alias("address"), "t", "arrival", F.lit(12 * HOUR).alias("dur"))
+    return folds.fold(rows, "address", ["t", "arrival"], folds.permits(3), "address long, arrival long, status int, held int")
+
+
+@q()
+def adm4_admission(spark, d):
+    """ADM-4: requests of a stream that hold a permit until their body (ten seconds a byte) is read, at most 2."""
+    rows = packets(spark, d).select("stream", "t", "arrival", (F.col("bytes") * 10**10).alias("dur"))
+    return folds.fold(rows, "stream", ["t", "arrival"], folds.permits(2), "stream long, arrival long, status int, held int")
+
+
+BAD = "kind IN ('error', 'click')"
+
+
+@q(f"WITH {P}, r AS (SELECT *, sum(CASE WHEN {BAD} THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY t, arrival ROWS UNBOUNDED PRECEDING) AS run FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY stream, run ORDER BY t, arrival) AS nth FROM r WHERE {BAD}) SELECT arrival, CAST(least(5 * pow(2, nth - 1), 20) AS BIGINT) AS pause FROM n")
+def adm3_backoff(spark, d):
+    """ADM-3: pauses after failures (errors and clicks): 5, doubling to 20, afresh after a success."""
+    runs = by_time().rowsBetween(Window.unboundedPreceding, 0)
+    bad = F.col("kind").isin("error", "click")
+    r = packets(spark, d).withColumn("run", F.sum(F.when(bad, 0).otherwise(1)).over(runs)).where(bad)
+    nth = F.row_number().over(Window.partitionBy("stream", "run").orderBy("t", "arrival"))
+    # past the third doubling the ceiling holds, so the power stays small
+    return r.select("arrival", F.least(F.pow(F.lit(2), F.least(nth, F.lit(10)) - 1) * 5, F.lit(20)).cast("long").alias("pause"))
+
+
+@q(f"WITH {P}, m AS (SELECT stream, kind, max(bytes // 9000) FILTER (arrival % 2 = 0) AS a, max(bytes // 9000) FILTER (arrival % 2 = 1) AS b, count(*) FILTER (arrival % 2 = 0) AS na, count(*) FILTER (arrival % 2 = 1) AS nb FROM p GROUP BY 1, 2) SELECT stream, CASE WHEN bool_or(na = 0 OR nb = 0) THEN 'track_set_changed' WHEN bool_or(a <> b) THEN 'codec_parameters_changed' END AS verdict, CASE WHEN NOT bool_or(na = 0 OR nb = 0) THEN min(kind) FILTER (a <> b) END AS track FROM m GROUP BY 1")
+def src11_catalog(spark, d):
+    """SRC-11: two catalogs of a stream (its even and its odd arrivals): other keys come before other parameters,
+    and of those the first track is named."""
+    p = packets(spark, d).select("stream", "kind", "arrival", F.expr("bytes div 9000").alias("level"))
+
+    def catalog(odd: int, name: str):
+        return p.where(F.col("arrival") % 2 == odd).groupBy("stream", "kind").agg(F.max("level").alias(name))
+
+    both = catalog(0, "a").join(catalog(1, "b"), ["stream", "kind"], "full")
+    keys = F.bool_or(F.col("a").isNull() | F.col("b").isNull())
+    track = F.min(F.when(F.col("a") != F.col("b"), F.col("kind")))
+    g = both.groupBy("stream").agg(keys.alias("keys"), track.alias("track"))
+    verdict = F.when(F.col("keys"), "track_set_changed").when(F.col("track").isNotNull(), "codec_parameters_changed")
+    return g.select("stream", verdict.alias("verdict"), F.when(~F.col("keys"), F.col("track")).alias("track"))
+
+
+@q("SELECT o_orderkey, CAST(coalesce(CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 10 + 1 END, 6) * CASE o_orderkey % 5 WHEN 0 THEN 6 WHEN 1 THEN 0.5 WHEN 2 THEN 6 WHEN 3 THEN 4 ELSE 1 END AS DOUBLE) AS max_age, o_orderkey % 5 = 2 AS immutable FROM orders")
+def pl9_lifetimes(spark, d):
+    """PL-9: multiples of the target (6 s if unknown): blocking playlists 6, others a half, media 6, what is missing 4
+    for blocking requests and 1 for others."""
+    k, c = F.col("o_orderkey") % 5, F.col("o_custkey")
+    target = F.coalesce(F.when(c % 4 > 0, c % 10 + 1), F.lit(6))
+    times = F.when(k == 0, 6.0).when(k == 1, 0.5).when(k == 2, 6.0).when(k == 3, 4.0).otherwise(1.0)
+    return table(spark, d, "orders").select("o_orderkey", (target * times).alias("max_age"), (k == 2).alias("immutable"))
+
+
+@q(f"WITH {L} SELECT parent, min(start) AS start, CAST(sum(bytes) AS BIGINT) AS bytes, count(*) AS parts FROM l GROUP BY 1 HAVING count(DISTINCT idx // 4) = 1 AND bool_and(start + dur <= 150) AND bool_and(NOT ra OR idx < 2)")
+def sup20_compaction(spark, d):
+    """SUP-20: segments whose parts are all hidden, expired and in one file become one range of it."""
+    g = tiles(spark, d).withColumn("file", F.expr("idx div 4")).groupBy("parent")
+    one, expired, hidden = F.min("file") == F.max("file"), F.max(F.col("start") + F.col("dur")) <= 150, F.bool_and(~F.col("ra") | (F.col("idx") < 2))
+    r = g.agg(F.min("start").alias("start"), F.sum("bytes").alias("bytes"), F.count("*").alias("parts"), (one & expired & hidden).alias("whole"))
+    return r.where("whole").drop("whole")
+
+
+@q(f"WITH {P}, f AS (SELECT stream, CASE WHEN kind IN ('view', 'click') THEN '608/' ELSE '708/' END || kind AS channel, min(arrival) AS arrival FROM p WHERE kind <> 'error' GROUP BY 1, 2), s AS (SELECT stream, arrival, list_sort(list(channel) OVER (PARTITION BY stream ORDER BY arrival ROWS UNBOUNDED PRECEDING)) AS c FROM f) SELECT stream, arrival, array_to_string(c, ',') AS services, c[1] AS default_service FROM s")
+def sup24_services(spark, d):
+    """SUP-24: caption services are told when their set grows; 608 before 708, the first one the default.
+    A stream has as many rows in the window as it has channels."""
+    channel = F.concat(F.when(F.col("kind").isin("view", "click"), "608/").otherwise("708/"), "kind")
+    f = packets(spark, d).where("kind <> 'error'").groupBy("stream", channel.alias("channel")).agg(F.min("arrival").alias("arrival"))
+    c = F.array_sort(F.collect_list("channel").over(Window.partitionBy("stream").orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0)))
+    return f.select("stream", "arrival", F.array_join(c, ",").alias("services"), F.get(c, F.lit(0)).alias("default_service"))

@@ -130,3 +130,18 @@ def test_store_sink(spark, tmp_path):
         q = jobs.events(spark, f"{DIR}/event[s].parquet").select("event_id").writeStream.foreachBatch(store.sink(root)).trigger(availableNow=True).start()
         q.awaitTermination()
     assert store.read(spark, root, "event_id long").count() == spark.read.parquet(f"{DIR}/events.parquet").count()
+
+
+def test_permits(spark):
+    rng = random.Random(10)
+    rows = [(k, t, t, rng.choice([0, 1, 3, 9])) for k in range(3) for t in range(150)]
+    df = spark.createDataFrame(rows, "k int, arrival int, t int, dur int")
+    got = {(r.k, r.arrival): (r.status, r.held) for r in folds.fold(df, "k", ["t"], folds.permits(2), "k int, arrival int, status int, held int").collect()}
+    for k in range(3):
+        taken = []
+        for _, arrival, t, dur in (r for r in rows if r[0] == k):
+            busy = sum(e > t for e in taken)
+            if busy < 2:
+                taken.append(t + dur)
+            assert got[k, arrival] == ((200, busy + 1) if busy < 2 else (503, 2))
+    assert {s for s, _ in got.values()} == {200, 503}
