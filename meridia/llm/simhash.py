@@ -7,7 +7,9 @@ neighbours, and those of even parity also all values two bits away. Emissions
 are dealt by a linear hash over GF(2): H(x ^ e) = H(x) ^ H(e). A bucket can thus
 be sent each fingerprint once, in packed blocks, and make its own share of the
 variants there; no variant is ever a row. Each run of equal variants links its
-members to one that is at most one bit away, and linked pairs are verified.
+members to one that is at most one bit away, and linked pairs are verified; where
+the key is a slice of a longer sketch, members that this leaves apart are compared
+with each other.
 Buckets return spanning forests, so a dense group of m fingerprints returns at
 most m - 1 edges a bucket, not its pairs.
 """
@@ -86,8 +88,8 @@ def _syndrome(x: np.ndarray, p: int) -> np.ndarray:
     return out
 
 
-def _bucket_edges(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs that meet in this bucket: linear in the number of emissions."""
+def _bucket_runs(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, owner, is near) of this bucket's emissions, by runs of two or more equal variants."""
     near, far = _errors(bits)
     s_near, s_far, s_key = _syndrome(near, p), _syndrome(far, p), _syndrome(keys, p)
     even = (np.bitwise_count(keys) & 1) == 0
@@ -100,7 +102,7 @@ def _bucket_edges(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.
                 owners.append(np.repeat(who.astype(np.int32), len(errors)))
                 is_near.append(np.full(len(values[-1]), flag))
     if not values:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
     values, owners, is_near = map(np.concatenate, (values, owners, is_near))
     order = np.argsort(values, kind="stable")
     values = values[order]
@@ -108,7 +110,11 @@ def _bucket_edges(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.
     run = np.cumsum(first) - 1
     alone = np.bincount(run) == 1
     keep = ~alone[run]
-    run, owners, is_near = run[keep], owners[order][keep], is_near[order][keep]
+    return run[keep], owners[order][keep], is_near[order][keep]
+
+
+def _run_edges(run: np.ndarray, owners: np.ndarray, is_near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star and a chain of each run's members, as index pairs."""
     if not len(run):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     centre = np.full(run[-1] + 1, np.iinfo(np.int32).max, np.int32)
@@ -122,10 +128,45 @@ def _bucket_edges(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.
     return pair >> 32, pair & 0xFFFFFFFF
 
 
+def _bucket_edges(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that meet in this bucket: linear in the number of emissions."""
+    return _run_edges(*_bucket_runs(keys, bits, bucket, p))
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(1)
 
 
+def _open_run_edges(words: np.ndarray, run: np.ndarray, owners: np.ndarray, root: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within ``most`` that connect what any pairs of a run's members do.
+
+    ``root`` has the trees known so far: a run inside one tree needs nothing more. In
+    others a member just reached is compared with all not reached yet, so that every pair
+    is compared unless its members are connected already.
+    """
+    u, v, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
+    if len(run):
+        starts = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+        ends = np.append(starts[1:], len(run))
+        tree = root[owners]
+        several = np.minimum.reduceat(tree, starts) != np.maximum.reduceat(tree, starts)
+        for i in np.flatnonzero(several & (ends - starts > 2)):
+            rest = np.sort(owners[starts[i] : ends[i]]).astype(np.int64)
+            if rest.tobytes() in seen:
+                continue
+            seen.add(rest.tobytes())
+            while len(rest) > 1:
+                reached, rest = [rest[0]], rest[1:]
+                while reached and len(rest):
+                    c = reached.pop()
+                    near = _distance(words[rest], words[c]) <= most
+                    hit, rest = rest[near], rest[~near]
+                    u.append(np.full(len(hit), c))
+                    v.append(hit)
+                    reached.extend(hit)
+    return np.concatenate(u), np.concatenate(v)
+
+
 def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int, count: int) -> DataFrame:
     """Edges (u, v) between ``nodes`` (node long, sketch binary of 8 * lanes bytes).
 
@@ -158,10 +199,15 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
         node, sketch = rows[:, :8].copy().view("<i8").ravel(), rows[:, 8:].copy()
         order = np.argsort(node, kind="stable")
         node, sketch = node[order], sketch[order]
-        u, v = _bucket_edges(_slice(sketch, t, bits), bits, bucket, p)
+        runs = _bucket_runs(_slice(sketch, t, bits), bits, bucket, p)
+        u, v = _run_edges(*runs)
         words = sketch.view("<u8")
         ok = np.concatenate([_distance(words[u[i : i + PACK]], words[v[i : i + PACK]]) <= most for i in range(0, len(u), PACK)] or [np.empty(0, bool)])
-        root = forest(u[ok], v[ok], len(node))
+        u, v = u[ok], v[ok]
+        root = forest(u, v, len(node))
+        if bits < 8 * width:  # members of a run share a slice only: its centre need not link them
+            more = _open_run_edges(words, *runs[:2], root, most)
+            root = forest(np.concatenate([u, more[0]]), np.concatenate([v, more[1]]), len(node))
         linked = root != np.arange(len(node))
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 

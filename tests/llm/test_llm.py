@@ -196,6 +196,17 @@ def test_pipeline_copies(spark):
     assert ids == list(range(41)) and got.columns == docs(spark, ["a"]).columns
 
 
+def test_slices_compare_all_members_of_a_run(spark):
+    r = np.random.default_rng(13)
+    x = r.integers(0, 256, (12, 32), dtype=np.uint8)
+    x[:, :4] = x[0, :4]
+    x[9] = x[3]
+    x[9, 4::4] ^= 31  # 5 bits in each of the other seven slices
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, sketch binary")
+    got = {(e.u, e.v) for e in simhash.ball_links(nodes, 4, 8, 32, 44, 12).collect()}
+    assert got == {(9, 3)}
+
+
 def test_components(spark):
     r = random.Random(7)
     e = [(i, i + 1) for i in range(40)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(300, x) for x in range(301, 340)] + [(5, 5)]
