@@ -16,6 +16,7 @@ most m - 1 edges a bucket, not its pairs.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -31,6 +32,10 @@ from .components import connected_components
 
 VARIANTS_PER_BUCKET = 6_000_000
 PACK = 65_536
+#: a bucket of a slice is worked off in 2**INNER parts, so that rows are sent to fewer
+INNER = 2
+#: members of a group of candidates that meet in one cell, from each of two blocks
+BLOCK = 128
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -72,6 +77,26 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int
     return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, sketch binary")
 
 
+def set_sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int) -> DataFrame:
+    """(id, hash, digest, sketch) of each row: an MD5 of the text, a digest of its set of
+    shingles, and the sketch of that set."""
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in bytes_of(b.column(2))]
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            got = [pa.array(digests, pa.binary()), pa.array([simhash(s, lanes) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *got], names=["id", "hash", "digest", "sketch"])
+
+    kind = df.select(id_col).schema[0].dataType.simpleString()
+    t = F.col(text_col).cast("string")
+    return df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), t.alias("t")).mapInArrow(run, f"id {kind}, hash string, digest binary, sketch binary")
+
+
+def text_hash(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))
+
+
 def _errors(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Masks of weight at most 1, and of weight 2."""
     one = np.uint64(1) << np.arange(bits, dtype=np.uint64)
@@ -175,7 +200,9 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
     ``most`` 3 that finds every such pair's connection.
     """
     per = 1 + bits + bits * (bits - 1) // 4
+    inner = INNER if tables > 1 else 0
     p = max(3 if tables > 1 else 5, math.ceil(math.log2(max(2, count * per / VARIANTS_PER_BUCKET))))
+    sent = p - inner
     width = 8 * lanes
 
     def emit(batches):
@@ -187,8 +214,10 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
                 s_key, even = _syndrome(keys, p), (np.bitwise_count(keys) & 1) == 0
                 near, far = _errors(bits)
                 has_near, has_far = (np.bincount(_syndrome(x, p), minlength=1 << p) > 0 for x in (near, far))
-                for bucket in range(1 << p):
-                    to = has_near[s_key ^ bucket] | (even & has_far[s_key ^ bucket])
+                for bucket in range(1 << sent):
+                    to = np.zeros(len(keys), bool)
+                    for part in range(bucket, 1 << p, 1 << sent):
+                        to |= has_near[s_key ^ part] | (even & has_far[s_key ^ part])
                     if to.any():
                         rows = np.concatenate([node[to].view(np.uint8).reshape(-1, 8), sketch[to]], axis=1)
                         yield pa.RecordBatch.from_arrays([pa.array([t << 24 | bucket], pa.int64()), pa.array([rows.tobytes()], pa.binary())], names=["bucket", "rows"])
@@ -199,15 +228,16 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
         node, sketch = rows[:, :8].copy().view("<i8").ravel(), rows[:, 8:].copy()
         order = np.argsort(node, kind="stable")
         node, sketch = node[order], sketch[order]
-        runs = _bucket_runs(_slice(sketch, t, bits), bits, bucket, p)
-        u, v = _run_edges(*runs)
-        words = sketch.view("<u8")
-        ok = np.concatenate([_distance(words[u[i : i + PACK]], words[v[i : i + PACK]]) <= most for i in range(0, len(u), PACK)] or [np.empty(0, bool)])
-        u, v = u[ok], v[ok]
-        root = forest(u, v, len(node))
-        if bits < 8 * width:  # members of a run share a slice only: its centre need not link them
-            more = _open_run_edges(words, *runs[:2], root, most)
-            root = forest(np.concatenate([u, more[0]]), np.concatenate([v, more[1]]), len(node))
+        words, keys, root = sketch.view("<u8"), _slice(sketch, t, bits), np.arange(len(node))
+        for part in range(bucket, 1 << p, 1 << sent):
+            runs = _bucket_runs(keys, bits, part, p)
+            u, v = _run_edges(*runs)
+            ok = np.concatenate([_distance(words[u[i : i + PACK]], words[v[i : i + PACK]]) <= most for i in range(0, len(u), PACK)] or [np.empty(0, bool)])
+            u, v = np.concatenate([root, u[ok]]), np.concatenate([np.arange(len(node)), v[ok]])
+            root = forest(u, v, len(node))
+            if bits < 8 * width:  # members of a run share a slice only: its centre need not link them
+                more = _open_run_edges(words, *runs[:2], root, most)
+                root = forest(np.concatenate([u, more[0]]), np.concatenate([v, more[1]]), len(node))
         linked = root != np.arange(len(node))
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 
@@ -245,24 +275,80 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(classes, "node").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-#: 256 bits hold cosines to about 0.03; 44 of them is a cosine of 0.86, which two
-#: texts of one length reach at a Jaccard similarity of 0.75, one deviation below 0.8.
-PIPELINE = {"shingle": 5, "lanes": 4, "tables": 8, "bits": 32, "most": 44}
+def exact_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) that connect what the pairs of one root's members do whose sets of
+    shingles have a Jaccard similarity of at least ``similarity``, a fraction.
+
+    ``members`` is (node, root, id, hash). All of a root's members are compared, in blocks:
+    each two blocks meet in a cell, and a cell returns a spanning forest.
+    """
+    over, under = similarity
+    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    m = members.join(sizes, "root").withColumn("mine", mine)
+    texts = df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("t"))
+    rows = texts.join(m, ["id", "hash"]).groupBy("id", "hash").agg(*[F.first(c).alias(c) for c in ("t", "node", "root", "mine", "blocks")])
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (x != F.col("mine")) | (F.col("blocks") == 1))
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "t")
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets = [], []
+        for x in batches:
+            nodes += x.column("node").to_pylist()
+            sets += [np.unique(shingle_hashes(t, shingle)) for t in bytes_of(x.column("t"))]
+        u, v = _set_edges(sets, over, under)
+        node = np.array(nodes, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
+
+    return rows.groupBy("root", "a", "b").applyInArrow(compare, "u long, v long")
+
+
+def _set_edges(sets: list[np.ndarray], over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs with a Jaccard similarity of at least over / under."""
+    size = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(size)
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    u, v, rest = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(sets))
+    while len(rest) > 1:
+        reached, rest = [rest[0]], rest[1:]
+        while reached and len(rest):
+            c = reached.pop()
+            mark = np.zeros(len(kinds), bool)
+            mark[flat[ends[c] - size[c] : ends[c]]] = True
+            upto = np.concatenate([[0], np.cumsum(mark[flat])])
+            both = upto[ends[rest]] - upto[ends[rest] - size[rest]]
+            near = under * both >= over * (size[c] + size[rest] - both)
+            hit, rest = rest[near], rest[~near]
+            u.append(np.full(len(hit), c))
+            v.append(hit)
+            reached.extend(hit)
+    return np.concatenate(u), np.concatenate(v)
+
+
+#: two sets at a Jaccard similarity of 0.8 have a cosine of 0.89 or more and differ in 78 of
+#: 512 bits, with a deviation of 8; candidates may differ in 128, six deviations more.
+PIPELINE = {"shingle": 5, "lanes": 8, "tables": 16, "bits": 32, "most": 128}
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 4, tables: int = 8, bits: int = 32, most: int = 44) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, tables: int = 16, bits: int = 32, most: int = 128, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row of each group of near copies, the one with the least id; all columns stay.
 
-    Near copies share word 5-shingles at a similarity of 0.8 or more, as 256 bits
-    tell it; candidates meet in any of eight 32-bit slices within 3 bits. Rows with
-    a null id are no one's copies here: all stay.
+    Near copies are texts whose sets of word 5-shingles have a Jaccard similarity of 0.8 or
+    more. Candidates meet in any of sixteen 32-bit slices of a sketch within 3 bits; all
+    texts that candidates connect are then compared by their sets. Rows with a null id are
+    no one's copies here: all stay.
     """
-    docs, at = materialize(sketches(df, id_col, text_col, shingle, lanes), "simhash")
-    groups, at_groups = materialize(docs.where("id is not null").groupBy("sketch").agg(F.min("id").alias("node")), "groups")
-    links = ball_links(groups.select(F.col("node").cast("long").alias("node"), "sketch"), lanes, tables, bits, most, groups.count())
-    roots = connected_components(links)
-    kept, _ = materialize(groups.join(roots.where("node <> root"), "node", "left_anti").select(F.col("node").alias(id_col)).distinct(), "kept")
-    for path in (at, at_groups):
+    with_id = df.where(F.col(id_col).isNotNull())
+    docs, at = materialize(set_sketches(with_id, id_col, text_col, shingle, lanes), "simhash")
+    groups = docs.groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("low"), F.first("sketch").alias("sketch"))
+    groups, at_groups = materialize(groups.select(F.monotonically_increasing_id().alias("node"), "low.id", "low.hash", "sketch"), "groups")
+    loose = connected_components(ball_links(groups.select("node", "sketch"), lanes, tables, bits, most, groups.count()))
+    members, at_members = materialize(groups.drop("sketch").join(loose, "node"), "members")
+    roots = connected_components(exact_links(members, with_id, id_col, text_col, shingle, similarity))
+    member = groups.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    kept, _ = materialize(member.groupBy("root").agg(F.min("id").alias(id_col)).select(id_col).distinct(), "kept")
+    for path in (at, at_groups, at_members):
         delete(df.sparkSession, path)
-    with_id = df.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    with_id = with_id.join(kept, id_col, "left_semi").dropDuplicates([id_col])
     return with_id.unionByName(df.where(F.col(id_col).isNull())).select(df.columns)

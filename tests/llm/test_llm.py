@@ -207,6 +207,33 @@ def test_slices_compare_all_members_of_a_run(spark):
     assert got == {(9, 3)}
 
 
+def test_pipeline_copies_at_the_similarity(spark):
+    r, texts = random.Random(14), []
+    for i in range(100):  # 180 shingles each: 20 changed is 0.8, 21 is 0.791
+        w = words(r, 184, 10**9).split()
+        texts += [" ".join(w), " ".join(w[: 184 - 20 - i % 2] + words(r, 20 + i % 2, 10**9).split())]
+    got = {x.doc_id for x in simhash.drop_near_duplicates(docs(spark, texts), **simhash.PIPELINE).select("doc_id").collect()}
+    found = sum(4 * i + 1 not in got for i in range(50))
+    assert all(2 * i in got for i in range(100)) and all(4 * i + 3 in got for i in range(50)) and found >= 48
+
+
+def test_sets_are_compared_as_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    r = random.Random(15)
+    base, texts = words(r, 100, 10**9).split(), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(100)] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    low = classes(60, lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    df = docs(spark, texts)
+    members = df.select(df.doc_id.alias("node"), (df.doc_id * 0).alias("root"), df.doc_id.alias("id"), simhash.text_hash("text").alias("hash"))
+    links = [(x.u, x.v) for x in simhash.exact_links(members, df, "doc_id", "text", 5, (4, 5)).collect()]
+    assert classes(60, lambda i, j: (i, j) in links or (j, i) in links) == low and len(set(low)) > 1
+
+
 def test_components(spark):
     r = random.Random(7)
     e = [(i, i + 1) for i in range(40)] + [(r.randint(100, 200), r.randint(100, 200)) for _ in range(60)] + [(300, x) for x in range(301, 340)] + [(5, 5)]
