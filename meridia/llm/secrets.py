@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 import string
 from functools import lru_cache
 
@@ -34,9 +35,14 @@ DICTIONARY = (
 #: fixed values: formats of known issuers
 ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,20000}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
-ASSIGNED = r"""(?i:passw(?:or)?d|passphrase|pwd|secret)["']?[ \t]{0,3}[:=][ \t]{0,3}["']?[^\s"'<>]{6,}+"""
-#: 16 or more characters of a key's alphabet with a digit among them
-PLAIN = r"(?<![A-Za-z0-9+/=_\-])(?=[A-Za-z+/=_\-]*+[0-9])[A-Za-z0-9+/=_\-]{16,}+"
+#: a name with one of KEY_NAMES in it, := or =, and an opening quote: it is no part of the value
+NAME = (
+    r"""(?<![A-Za-z0-9_.\-])(?=[A-Za-z0-9_.\-]{1,80}+["'`]?[ \t]{0,3}[:=])(?i:[a-z0-9_.\-]*?(?:passphrase|""" + "|".join(KEY_NAMES) + r""")[a-z0-9_.\-]*+)"""
+    r"""["'`]?[ \t]{0,3}(?::=|=>|==?|:)[ \t]{0,3}["'`]?"""
+)
+ASSIGNED = NAME + r"""[^\s"'`<>]{6,}+"""
+#: 16 or more characters of a key's alphabet with a digit among them; = only pads it
+PLAIN = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{16,}+={0,2}"
 CANDIDATE = f"{PEM}|{ASSIGNED}|{ISSUED}|{PLAIN}"
 MARK = "[SECRET]"
 NEAR = 48
@@ -47,13 +53,14 @@ TREES, DEPTH, LEAST_LEAF, LABELLED = 15, 6, 4, 2400
 
 def describe(c: Column, left: Column, right: Column) -> Column:
     """A struct of FEATURES (doubles) of a candidate and the text beside it."""
-    value = F.regexp_replace(c, f"^(?:{ASSIGNED.split('[^')[0]})", "")
+    value = F.regexp_replace(c, f"^(?:{NAME})", "")
     low, n = F.lower(value), F.greatest(F.length(value), F.lit(1)).cast("double")
     count = lambda s, p: F.coalesce(F.regexp_count(s, F.lit(p)), F.lit(0)).cast("double")
     flag = lambda b: F.when(b, 1.0).otherwise(0.0)
     names = "|".join(KEY_NAMES)
+    own = F.regexp_extract(c, f"^(?:{NAME})", 0)
     before = F.lower(left)
-    covered = "(?:" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")"
+    covered = "(?:" + "|".join(sorted({*DICTIONARY, *KEY_NAMES}, key=lambda w: (-len(w), w))) + ")"
     return F.struct(
         F.length(value).cast("double").alias("length"),
         (count(value, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n).alias("transitions"),
@@ -64,10 +71,10 @@ def describe(c: Column, left: Column, right: Column) -> Column:
         flag(low.rlike("^[0-9a-f]+$")).alias("hex"),
         flag(value.rlike(r"^[0-9\-]+$")).alias("number"),
         (count(value, "/") + flag(left.rlike(r"(?:[/.@]|://\S{0,40})$")) + flag(right.rlike(r"^\.?(?:[a-z]{2,4}\b|/|@)"))).alias("path"),
-        flag(before.rlike(f"(?:{names})[^a-z\n]{{0,6}}(?:is|as)?[^a-z\n]{{0,6}}$") | F.lower(c).rlike(f"^(?:{names})")).alias("named"),
-        flag(left.rlike(r"[=:][ \t]{0,3}[\"'`]?$") | c.rlike(f"^(?:{ASSIGNED})")).alias("assigned"),
-        flag(left.rlike(r"[\"'`]$") & right.rlike(r"^[\"'`]")).alias("quoted"),
-        flag(c.rlike(f"^(?:{ISSUED}|-----BEGIN )")).alias("issued"),
+        flag(before.rlike(f"(?:{names})[^a-z\n]{{0,6}}(?:is|as)?[^a-z\n]{{0,6}}$") | (own != "")).alias("named"),
+        flag(left.rlike(r"[=:][ \t]{0,3}[\"'`]?$") | (own != "")).alias("assigned"),
+        flag((left.rlike(r"[\"'`]$") | own.rlike(r"[\"'`]$")) & right.rlike(r"^[\"'`]")).alias("quoted"),
+        flag(value.rlike(f"{ISSUED}|^-----BEGIN ")).alias("issued"),
         (count(low, r"(.)\1") / n).alias("repeats"),
     )
 
@@ -91,10 +98,13 @@ def labelled_findings(n: int = LABELLED, seed: int = 7) -> list[tuple[str, str,
             left, value = words(3) + " ", r.choice(["AKIA" + some(string.ascii_uppercase + string.digits, 16), "ghp_" + some(b62, 36), "sk_live_" + some(b62, 24), "AIza" + some(b62, 35), "xoxb-" + some(string.digits, 12) + "-" + some(b62, 24)])
         elif kind == 1:
             left, value = words(3) + " ", r.choice(["password", "passwd", "pwd", "secret"]) + r.choice(["=", ": ", ' = "']) + r.choice([some(b62 + "!#%*", r.randint(8, 20)), words(1)[:9] + str(r.randint(1, 999)) + r.choice("!#%*") + r.choice(["", some(b62, 2)])])
-        if not any(c.isdigit() for c in value):
+        elif kind in (2, 3):  # any value of a named assignment: short, or of letters only; as in an environment file
+            value = r.choice([some(b62, r.randint(8, 15)), some(b62[:52], r.randint(10, 32)), some(b62[:26], r.randint(14, 32)), some(b62, r.randint(8, 40))])
+            left = r.choice([left, words(2) + "\n" + r.choice(["", "MY_", "DB_", "GITHUB_", "AWS_"]) + r.choice(KEY_NAMES).upper() + r.choice(["", "_KEY", "_ID"]) + "=" + q])
+        if not any(c.isdigit() for c in value) and not re.search(r"[:=]\s?[\"']?$", left):
             value += "7"
         out.append((left[-NEAR:], value, right[:NEAR], 1))
-        kind = i % 9
+        kind = i % 11
         left, right = words(4) + " ", " " + words(3)
         if kind == 0:
             value = some(string.digits, r.choice([16, 16, 18, 20]))
@@ -113,6 +123,11 @@ def labelled_findings(n: int = LABELLED, seed: int = 7) -> list[tuple[str, str,
             value = "".join(syllable() for _ in range(r.randint(8, 12))) + str(r.randint(0, 999))
         elif kind == 7:
             value, left = some(hexa, 8) + "-" + some(hexa, 4) + "-4" + some(hexa, 3) + "-a" + some(hexa, 3) + "-" + some(hexa, 12), words(3) + r.choice([" id ", " uuid ", " urn:", " page/"])
+        elif kind in (9, 10):  # words, code and addresses after such a name
+            word = r.choice([r.choice(DICTIONARY), words(1), words(1)])
+            value = r.choice([word + r.choice(["", ",", "."]), word + "_" + r.choice(DICTIONARY), r.choice(["get", "os.", "self.", "config."]) + r.choice(DICTIONARY + KEY_NAMES).capitalize() + r.choice(["()", "", "(x)"]), "${" + r.choice(DICTIONARY).upper() + "}", "-".join(r.sample(DICTIONARY, 2)), "".join(x.capitalize() for x in r.sample(DICTIONARY, 2)), "https://www." + word + ".com/" + r.choice(DICTIONARY), "undefined", "required", "disabled", "********", "xxxxxxxx"])
+            left = words(3) + " " + caps(name()) + r.choice([": ", " = ", "=", ": '", '="'])
+            right = {"'": "'", '"': '"'}.get(left[-1], "") + " " + words(3)
         else:
             value = r.choice(["=", "-", "_"]) * r.randint(16, 40) + str(r.randint(1, 9))
         out.append((left[-NEAR:], value, right[:NEAR], 0))
@@ -153,8 +168,20 @@ def fit_forest(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
     return out
 
 
+def cut(left: str, finding: str, right: str) -> tuple[str, str, str]:
+    """(left, candidate, right) as CANDIDATE cuts the whole text: the candidate that has most
+    of the finding; all empty where no candidate has any of it."""
+    text, a, b = left + finding + right, len(left), len(left) + len(finding)
+    spans = [(min(m.end(), b) - max(m.start(), a), -m.start(), m.end()) for m in re.finditer(CANDIDATE, text)]
+    most, start, end = max(spans, default=(0, -a, a))
+    if most <= 0:
+        return "", "", ""
+    return text[:-start][-NEAR:], text[-start:end], text[end:][:NEAR]
+
+
 def finding_rows(spark: SparkSession, findings: list) -> DataFrame:
-    rows = json.dumps([{"l": a, "c": b, "r": c, "y": y} for a, b, c, y in findings])
+    """(l, c, r, y) of whole texts, as their candidates are cut."""
+    rows = json.dumps([dict(zip("lcr", cut(a, b, c))) | {"y": y} for a, b, c, y in findings])
     kind = "array<struct<l:string,c:string,r:string,y:int>>"
     return spark.range(1).select(F.explode(F.from_json(F.lit(rows), kind)).alias("x")).select("x.*")
 
@@ -196,7 +223,7 @@ def scan(df: DataFrame, text_col: str = "text", trees: list | None = None, thres
         for t in trees:
             total = total + _case(t, x["f"])
         c = x["c"]
-        named = F.length(F.regexp_extract(c, f"^(?:{ASSIGNED.split('[^')[0]})", 0))
+        named = F.length(F.regexp_extract(c, f"^(?:{NAME})", 0))
         return F.struct(c.alias("c"), named.alias("name"), (total / len(trees)).alias("score"))
 
     df = df.withColumn("_found", F.transform(F.transform(F.col("_cut.c"), one), judged))

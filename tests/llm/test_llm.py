@@ -333,6 +333,16 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_secrets_of_any_named_assignment(spark):
+    key = hashlib.sha1(b"k").hexdigest()
+    named = [("api_key = '", "qwertyuiopasdfghjklz", "'"), ("token: ", "abcDEFghiJKLmno", ""), ("access_key: '", "Zk9x2LmQ", "'"), ("GITHUB_TOKEN=", "ghp_" + "a1B2" * 9, ""),
+             ("AWS_ACCESS_KEY_ID=", "AKIA" + "Q7RT" * 4, ""), ("DB_PASSWORD=", "hunter2abcd", ""), ("MY_API_KEY=", key, "")]
+    clean = ["the key: something else", "password: required", "token = getToken()", "see author: information", "session=undefined", "monkey: business as usual"]
+    texts = [f"words before {a}{b}{c} and after" for a, b, c in named] + clean
+    got = [x.redacted for x in secrets.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == [f"words before {a}[SECRET]{c} and after" for a, _, c in named] + clean
+
+
 def test_secret_forest_on_other_findings(spark):
     from pyspark.sql import functions as F
 
