@@ -34,7 +34,8 @@ DICTIONARY = (
 ).split()
 #: fixed values: formats of known issuers
 ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_\-]{35}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"
-PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[^-]{0,20000}+(?:-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+#: up to the END line; without one, as far as header lines, base64 and white space go
+PEM = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=:,\-\s\\]*+)"
 #: a name with one of KEY_NAMES in it, := or =, and an opening quote: it is no part of the value
 NAME = (
     r"""(?<![A-Za-z0-9_.\-])(?=[A-Za-z0-9_.\-]{1,80}+["'`]?[ \t]{0,3}[:=])(?i:[a-z0-9_.\-]*?(?:passphrase|""" + "|".join(KEY_NAMES) + r""")[a-z0-9_.\-]*+)"""
@@ -66,7 +67,7 @@ def describe(c: Column, left: Column, right: Column) -> Column:
         (count(value, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])") / n).alias("transitions"),
         (count(low, "(?=th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|ou|io|le|me|de|ve|ic|ro|ch|co|ma|li|ra|ne)") / n).alias("common_pairs"),
         (count(value, "[0-9]") / n).alias("digits"),
-        (F.size(F.array_distinct(F.split(F.substring(low, 1, 256), ""))).cast("double") / F.least(n, F.lit(40.0))).alias("distinct"),
+        (F.size(F.array_distinct(F.split(low, ""))).cast("double") / F.least(n, F.lit(40.0))).alias("distinct"),
         ((n - F.length(F.regexp_replace(low, covered, "")).cast("double")) / n).alias("covered"),
         flag(low.rlike("^[0-9a-f]+$")).alias("hex"),
         flag(value.rlike(r"^[0-9\-]+$")).alias("number"),
@@ -204,7 +205,9 @@ def scan(df: DataFrame, text_col: str = "text", trees: list | None = None, thres
     redacted, the text with each secret replaced. Columns of those names are replaced.
 
     Offsets count characters from 0. A null text has null results, an empty one none. Of
-    ``password = x`` only the value is replaced. Repeated rows each get a result.
+    ``password = x`` only the value is replaced. A private key goes from its BEGIN line to
+    the next END line of one; if there is none, to the first character that is not white
+    space or of a header line or base64. Repeated rows each get a result.
     """
     trees = trees or forest()
     text = F.col(text_col).cast("string")

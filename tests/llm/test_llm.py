@@ -343,6 +343,16 @@ def test_secrets_of_any_named_assignment(spark):
     assert got == [f"words before {a}[SECRET]{c} and after" for a, _, c in named] + clean
 
 
+def test_private_keys_are_replaced_whole(spark):
+    r = random.Random(16)
+    body = "\n".join("".join(r.choice("abcdefghijKLMNOPQ+/") for _ in range(64)) for _ in range(500))
+    head = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D4E5F60718293A4B5C6D7E8F9\n\n"
+    end = "\n-----END RSA PRIVATE KEY-----"
+    texts = ["a " + head + body + end + " b-c", "a " + head + body + end + "\n" + head + body + end, "a " + head + body + ". And more"]
+    got = [x.redacted for x in secrets.scan(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got == ["a [SECRET] b-c", "a [SECRET]\n[SECRET]", "a [SECRET]. And more"]
+
+
 def test_secret_forest_on_other_findings(spark):
     from pyspark.sql import functions as F
 
