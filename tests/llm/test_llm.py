@@ -429,6 +429,16 @@ def test_urls(spark):
     assert urls.judge(df.where("false"), urls.fit([], [])).count() == 0
 
 
+def test_url_models_count_all_ruled_urls(spark):
+    good, bad = ([f"http://{host}/p{i}" for i in range(300)] for host in ("a.com", "b.net/es"))
+    df = spark.createDataFrame([(i, u) for i, u in enumerate((good + bad) * 2)], "page_id long, url string")
+    f = urls.train(df, per_class=20)
+    for model, every in ((f.accepted, good), (f.rejected, bad)):
+        n = sum(len(u) + 1 for u in every)
+        assert n - 20 * max(map(len, every)) - 20 <= model.known[""][1] < n
+        assert sum(model.known["/p"][0].values()) == 280
+
+
 def test_url_model_on_unseen_urls():
     r = random.Random(12)
     good = [f"https://blog{i}.site.org/story/{r.choice(['sun', 'tree', 'river'])}-{i}" for i in range(400)]
