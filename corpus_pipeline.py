@@ -34,10 +34,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix has it, 0 to 3 times."""
-    copies = mix.mix(docs).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    names = docs.columns
-    repeated = docs.join(copies.withColumnRenamed("copies", "_copies"), "doc_id")
-    return repeated.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*names)
+    return mix.repeated(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

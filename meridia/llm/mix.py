@@ -51,13 +51,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, cap: int = CAP) -> DataF
     return t.select("source", "source_size", target.alias("target"))
 
 
+def row_hash(id_col: str, text_col: str):
+    return F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS)
+
+
 def hashed(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, size, hash): size in words, hash 60 bits of an MD5 of the id (of the
     text where the id is null), as hex digits."""
     return df.select(
         F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.col(text_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS).alias("hash"),
+        row_hash(id_col, text_col).alias("hash"),
     )
 
 
@@ -112,6 +116,17 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """df with each row as often as ``mix`` has it: rows meet their source's threshold, not
+    each other, so ids may be null or repeated. The columns stay as they are."""
+    docs, _ = materialize(hashed(df, id_col, text_col, source_col), "sizes")
+    goal = thresholds(docs).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    rows = df.join(goal, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    copies = F.least(F.col("_whole") + (row_hash(id_col, text_col) <= F.col("_threshold")).cast("int"), F.lit(CAP))
+    rows = rows.withColumn("_copies", copies).where("_copies > 0")
+    return rows.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+
+
 #: DuckDB's form of the mix: the same hashes, sorted.
 SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

@@ -130,6 +130,19 @@ def test_mix(spark):
     assert mix.mix(df.where("false")).count() == 0
 
 
+def test_pipeline_mix_keeps_rows_with_null_ids(spark):
+    import corpus_pipeline as cp
+
+    r = random.Random(17)
+    rows = [(None if i % 3 == 0 else i, words(r, 20 + i), r.choice(["a", "b", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    # the null-id rows of a source and hash cannot be told apart by id: give mix their texts instead
+    alike = spark.createDataFrame([(str(i) if i is not None else t, t, s) for i, t, s in rows], "doc_id string, text string, source string")
+    want = sorted(x.size for x in mix.mix(alike).collect() for _ in range(x.copies))
+    got = cp.mix_sources(spark, df, "")
+    assert sorted(len(x.text.split()) for x in got.collect()) == want and got.where("doc_id is null").count() and got.columns == df.columns
+
+
 # --- 4: SimHash
 
 def brute_fingerprint(t):
