@@ -337,7 +337,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Near copies are texts whose sets of word 5-shingles have a Jaccard similarity of 0.8 or
     more. Candidates meet in any of sixteen 32-bit slices of a sketch within 3 bits; all
     texts that candidates connect are then compared by their sets. Rows with a null id are
-    no one's copies here: all stay.
+    no one's copies here: all stay. Rows that repeat an id with other texts are judged each
+    by its text; of one id's near copies the least MD5 of a text stays, and of rows alike in
+    id and text any one.
     """
     with_id = df.where(F.col(id_col).isNotNull())
     docs, at = materialize(set_sketches(with_id, id_col, text_col, shingle, lanes), "simhash")
@@ -346,9 +348,10 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     loose = connected_components(ball_links(groups.select("node", "sketch"), lanes, tables, bits, most, groups.count()))
     members, at_members = materialize(groups.drop("sketch").join(loose, "node"), "members")
     roots = connected_components(exact_links(members, with_id, id_col, text_col, shingle, similarity))
-    member = groups.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    kept, _ = materialize(member.groupBy("root").agg(F.min("id").alias(id_col)).select(id_col).distinct(), "kept")
+    member = groups.join(roots, "node", "left").select(F.struct("id", "hash").alias("low"), F.coalesce("root", "node").alias("root"))
+    kept, _ = materialize(member.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias("_id"), F.col("low.hash").alias("_hash")), "kept")
     for path in (at, at_groups, at_members):
         delete(df.sparkSession, path)
-    with_id = with_id.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    with_id = with_id.withColumn("_hash", text_hash(text_col)).withColumn("_id", F.col(id_col))
+    with_id = with_id.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(df.columns)
     return with_id.unionByName(df.where(F.col(id_col).isNull())).select(df.columns)

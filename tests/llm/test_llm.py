@@ -230,6 +230,15 @@ def test_pipeline_copies_at_the_similarity(spark):
     assert all(2 * i in got for i in range(100)) and all(4 * i + 3 in got for i in range(50)) and found >= 48
 
 
+def test_pipeline_copies_with_repeated_ids(spark):
+    r = random.Random(18)
+    base, other, x, y = (words(r, 100, 10**9) for _ in range(4))
+    rows = [(0, base), (5, base + " end"), (5, other), (7, x), (7, y), (7, y), (None, base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.drop_near_duplicates(df, **simhash.PIPELINE).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(0, base), (5, other), (7, x), (7, y), (None, base)], key=str)
+
+
 def test_sets_are_compared_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 8)
     r = random.Random(15)
