@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +97,16 @@ def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat, offsets
 
 
+def parts(batch: pa.RecordBatch, place: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of whole rows whose texts, column ``place``, have about ``most`` bytes together."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(place)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def bytes_of(texts: pa.Array) -> list:
     """The UTF-8 of each text, None for nulls."""
     return texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary()).to_pylist()
