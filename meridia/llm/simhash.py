@@ -3,15 +3,17 @@
 A pair that differs in at most 3 bits has a value between them, one bit from one
 and two from the other. Its fingerprints' parities differ exactly when the
 distance is odd, so it suffices that every fingerprint emits itself and its 64
-neighbours, and those of even parity also all values two bits away. Emissions
-are dealt by a linear hash over GF(2): H(x ^ e) = H(x) ^ H(e). A bucket can thus
-be sent each fingerprint once, in packed blocks, and make its own share of the
-variants there; no variant is ever a row. Each run of equal variants links its
-members to one that is at most one bit away, and linked pairs are verified; where
-the key is a slice of a longer sketch, members that this leaves apart are compared
-with each other.
-Buckets return spanning forests, so a dense group of m fingerprints returns at
-most m - 1 edges a bucket, not its pairs.
+neighbours, and those of even parity also all values two bits away. A variant's
+bucket is its first p bits. A fingerprint's variants lie in 1 + p + p(p-1)/2 buckets
+at most (1 + p for odd parity), so it is sent to each of those once, in packed blocks,
+and a bucket makes its own share of the variants, part by part; no variant is ever a
+row. p follows from the bytes that a bucket may hold: what is sent of a fingerprint
+grows with the square of log n, not with n.
+
+Each run of equal variants links its members to one that is at most one bit away, and
+linked pairs are verified; where the key is a slice of a longer sketch, members that
+this leaves apart are compared with each other. Buckets return spanning forests, so a
+dense group of m fingerprints returns at most m - 1 edges a bucket, not its pairs.
 """
 
 from __future__ import annotations
@@ -30,10 +32,14 @@ from pyspark.sql import functions as F
 from .common import bytes_of, delete, forest, materialize, mix64
 from .components import connected_components
 
-VARIANTS_PER_BUCKET = 6_000_000
-PACK = 65_536
-#: a bucket of a slice is worked off in 2**INNER parts, so that rows are sent to fewer
-INNER = 2
+#: variants that a task makes at once, and bytes of fingerprints that a bucket is to hold
+VARIANTS_AT_ONCE, BUCKET_BYTES = 4_000_000, 96 << 20
+#: emitted bytes that a task holds before it sends them on, and pairs verified at once
+HELD_BYTES, PACK = 32 << 20, 65_536
+#: members of a run that are compared with those next to them, before any are searched for trees
+NEXT = 8
+#: lanes of a sketch that a pair met in a slice is compared by
+CHECK = 2
 #: members of a group of candidates that meet in one cell, from each of two blocks
 BLOCK = 128
 
@@ -54,15 +60,15 @@ def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
 
 def simhash(hashes: np.ndarray, lanes: int = 1) -> bytes:
     """64 * lanes majority bits, little-endian; further lanes mix the same hashes anew."""
-    n, out = len(hashes), []
-    for lane in range(lanes):
-        h = hashes if not lane else mix64(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        total = np.zeros(64, np.int64)
-        for i in range(0, n, 65_536):
-            part = np.ascontiguousarray(h[i : i + 65_536], "<u8")
-            total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * total > n, bitorder="little").tobytes() if n else bytes(8))
-    return b"".join(out)
+    n, total = len(hashes), np.zeros(64 * lanes, np.int64)
+    if not n:
+        return bytes(8 * lanes)
+    add = np.array([lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1 for lane in range(lanes)], np.uint64)
+    for i in range(0, n, 255):  # 255 ones are the most that a byte counts
+        h = hashes[i : i + 255, None] + add
+        h[:, 1:] = mix64(h[:, 1:])
+        total += np.unpackbits(np.ascontiguousarray(h, "<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * total > n, bitorder="little").tobytes()
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int) -> DataFrame:
@@ -104,58 +110,114 @@ def _errors(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[np.uint64(0)], one]), one[i] ^ one[j]
 
 
-def _syndrome(x: np.ndarray, p: int) -> np.ndarray:
-    """p parity bits, linear over GF(2)."""
-    out = np.zeros(x.shape, np.int64)
-    masks = mix64(np.arange(1, p + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    for j in range(p):
-        out |= (np.bitwise_count(x & masks[j]) & 1).astype(np.int64) << j
-    return out
+def _classes(errors: np.ndarray, bits: int, p: int) -> dict[int, np.ndarray]:
+    """The errors by their first p bits."""
+    first = (errors >> np.uint64(bits - p)).astype(np.int64) if p else np.zeros(len(errors), np.int64)
+    return {int(x): errors[first == x] for x in np.unique(first)}
 
 
-def _bucket_runs(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(run, owner, is near) of this bucket's emissions, by runs of two or more equal variants."""
+def sent_to(keys: np.ndarray, bits: int, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) for each bucket that holds a variant of a row's key, once each."""
+    near, far = _errors(bits)
+    home = (keys >> np.uint64(bits - p)).astype(np.int64) if p else np.zeros(len(keys), np.int64)
+    even = np.flatnonzero((np.bitwise_count(keys) & 1) == 0)
+    all_rows = np.arange(len(keys))
+    few, more = _classes(near, bits, p), _classes(far, bits, p)
+    to, rows = [], []
+    for e in few.keys() | more.keys():
+        who = all_rows if e in few else even
+        to.append(home[who] ^ e)
+        rows.append(who)
+    return np.concatenate(to), np.concatenate(rows)
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, run) of the values that occur more than once, by runs of equal ones."""
+    n = len(values)
+    mask = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    # sorting one number each is far quicker than sorting indices; hashes cut short only find candidates
+    packed = np.sort((mix64(values) & ~mask) | np.arange(n, dtype=np.uint64))
+    same = (packed[1:] & ~mask) == (packed[:-1] & ~mask)
+    some = np.zeros(n, bool)
+    some[1:] |= same
+    some[:-1] |= same
+    index = (packed[some] & mask).astype(np.int64)
+    if not len(index):
+        return index, index
+    index = index[np.lexsort((index, values[index]))]
+    value = values[index]
+    run = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
+    keep = np.bincount(run)[run] > 1
+    return index[keep], run[keep]
+
+
+def _bucket_runs(keys: np.ndarray, bits: int, bucket: int, p: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(run, owner, is near) of this bucket's variants, by runs of two or more equal ones.
+    ``keys`` are ascending. A bucket of too many variants is made in parts, by further bits."""
+    shift = bits - p
     near, far = _errors(bits)
-    s_near, s_far, s_key = _syndrome(near, p), _syndrome(far, p), _syndrome(keys, p)
-    even = (np.bitwise_count(keys) & 1) == 0
+    few, more = _classes(near, bits, p), _classes(far, bits, p)
+    kinds = sorted(few.keys() | more.keys())
+    low = np.array([(bucket ^ e) << shift for e in kinds], np.uint64)
+    a = np.searchsorted(keys, low, "left")
+    b = np.searchsorted(keys, low | np.uint64((1 << shift) - 1), "right")
+    size = sum((y - x) * (len(few.get(e, ())) + len(more.get(e, ())) // 2) for e, x, y in zip(kinds, a.tolist(), b.tolist()))
+    if size > VARIANTS_AT_ONCE and shift > 1:
+        for half in (0, 1):
+            yield from _bucket_runs(keys, bits, 2 * bucket + half, p + 1)
+        return
     values, owners, is_near = [], [], []
-    for s in np.unique(s_key):
-        mine = np.flatnonzero(s_key == s)
-        for who, errors, flag in ((mine, near[s_near == (s ^ bucket)], True), (mine[even[mine]], far[s_far == (s ^ bucket)], False)):
-            if len(who) and len(errors):
-                values.append((keys[who][:, None] ^ errors[None, :]).ravel())
-                owners.append(np.repeat(who.astype(np.int32), len(errors)))
+    for e, x, y in zip(kinds, a.tolist(), b.tolist()):
+        who = np.arange(x, y)
+        even = who[(np.bitwise_count(keys[x:y]) & 1) == 0]
+        for rows, errors, flag in ((who, few.get(e, ()), True), (even, more.get(e, ()), False)):
+            if len(rows) and len(errors):
+                values.append((keys[rows][:, None] ^ errors[None, :]).ravel())
+                owners.append(np.repeat(rows, len(errors)))
                 is_near.append(np.full(len(values[-1]), flag))
-    if not values:
-        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
-    values, owners, is_near = map(np.concatenate, (values, owners, is_near))
-    order = np.argsort(values, kind="stable")
-    values = values[order]
-    first = np.concatenate([[True], values[1:] != values[:-1]])
-    run = np.cumsum(first) - 1
-    alone = np.bincount(run) == 1
-    keep = ~alone[run]
-    return run[keep], owners[order][keep], is_near[order][keep]
-
-
-def _run_edges(run: np.ndarray, owners: np.ndarray, is_near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star and a chain of each run's members, as index pairs."""
+    if values:
+        index, run = _runs(np.concatenate(values))
+        yield run, np.concatenate(owners)[index], np.concatenate(is_near)[index]
+
+
+def _star(run: np.ndarray, owners: np.ndarray, is_near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each run's members and one that is at most a bit away, as index pairs."""
     if not len(run):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    centre = np.full(run[-1] + 1, np.iinfo(np.int32).max, np.int32)
+    none = np.iinfo(np.int64).max
+    centre = np.full(run[-1] + 1, none)
     np.minimum.at(centre, run[is_near], owners[is_near])
     c = centre[run]
-    ok = (c != np.iinfo(np.int32).max) & (c != owners)
-    u, v = c[ok].astype(np.int64), owners[ok].astype(np.int64)
-    follow = (run[1:] == run[:-1]) & (owners[1:] != owners[:-1])
-    u, v = np.concatenate([u, owners[:-1][follow]]), np.concatenate([v, owners[1:][follow]])
-    pair = np.unique(np.minimum(u, v) << 32 | np.maximum(u, v))
-    return pair >> 32, pair & 0xFFFFFFFF
+    ok = (c != none) & (c != owners)
+    return c[ok], owners[ok]
 
 
 def _bucket_edges(keys: np.ndarray, bits: int, bucket: int, p: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that meet in this bucket: linear in the number of emissions."""
-    return _run_edges(*_bucket_runs(keys, bits, bucket, p))
+    found = [_star(*part) for part in _bucket_runs(keys, bits, bucket, p)]
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The trees ``root`` with the edges (u, v) added."""
+    a, b = root[u], root[v]
+    if (a == b).all():
+        return root
+    nodes, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = np.arange(len(root))
+    up[nodes] = nodes[forest(of[: len(a)], of[len(a) :], len(nodes))]
+    return up[root]
+
+
+def _verified(words: np.ndarray, u: np.ndarray, v: np.ndarray, root: np.ndarray, most: int) -> np.ndarray:
+    """``root`` with those of the pairs that differ in at most ``most`` bits joined."""
+    for i in range(0, len(u), PACK):
+        a, b = u[i : i + PACK], v[i : i + PACK]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+        ok = _distance(words[a], words[b]) <= most
+        root = _joined(root, a[ok], b[ok])
+    return root
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -165,8 +227,8 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _open_run_edges(words: np.ndarray, run: np.ndarray, owners: np.ndarray, root: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs within ``most`` that connect what any pairs of a run's members do.
 
-    ``root`` has the trees known so far: a run inside one tree needs nothing more. In
-    others a member just reached is compared with all not reached yet, so that every pair
+    ``root`` has the trees known so far: a run inside one tree needs nothing more, nor one
+    whose members were all next to each other. In others a member just reached is compared with all not reached yet, so that every pair
     is compared unless its members are connected already.
     """
     u, v, seen = [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
@@ -175,7 +237,7 @@ def _open_run_edges(words: np.ndarray, run: np.ndarray, owners: np.ndarray, root
         ends = np.append(starts[1:], len(run))
         tree = root[owners]
         several = np.minimum.reduceat(tree, starts) != np.maximum.reduceat(tree, starts)
-        for i in np.flatnonzero(several & (ends - starts > 2)):
+        for i in np.flatnonzero(several & (ends - starts > NEXT + 1)):  # others are compared in full already
             rest = np.sort(owners[starts[i] : ends[i]]).astype(np.int64)
             if rest.tobytes() in seen:
                 continue
@@ -192,57 +254,86 @@ def _open_run_edges(words: np.ndarray, run: np.ndarray, owners: np.ndarray, root
     return np.concatenate(u), np.concatenate(v)
 
 
+def buckets_bits(count: int, row_bytes: int, bits: int, least: int) -> int:
+    """p: so many first bits of a variant name its bucket that a bucket holds at most about
+    ``BUCKET_BYTES`` of ``count`` fingerprints, and at least ``least``."""
+    p = least
+    while p < bits - 2 and count * row_bytes * sent_times(p) / (1 << p) > BUCKET_BYTES:
+        p += 1
+    return p
+
+
+def sent_times(p: int) -> float:
+    """To how many buckets a fingerprint is sent, on average."""
+    return (min(1 << p, 1 + p) + min(1 << p, 1 + p + p * (p - 1) // 2)) / 2
+
+
 def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int, count: int) -> DataFrame:
     """Edges (u, v) between ``nodes`` (node long, sketch binary of 8 * lanes bytes).
 
-    A table is a slice of ``bits`` bits; pairs within 3 bits in a slice and within
-    ``most`` in the whole sketch link. With one slice of the whole sketch and
-    ``most`` 3 that finds every such pair's connection.
+    With one lane the 64-bit sketch is the key, ``node`` is its value as a long, and pairs
+    within ``most`` (3) bits link: that finds every such pair's connection. With more, a table
+    is a slice of ``bits`` bits, and pairs within 3 bits in a slice and within ``most`` of the
+    CHECK lanes that follow the slice's own link.
     """
-    per = 1 + bits + bits * (bits - 1) // 4
-    inner = INNER if tables > 1 else 0
-    p = max(3 if tables > 1 else 5, math.ceil(math.log2(max(2, count * per / VARIANTS_PER_BUCKET))))
-    sent = p - inner
-    width = 8 * lanes
+    whole = lanes == 1
+    kind = np.dtype([("node", "<i8")] if whole else [("node", "<i8"), ("key", f"<u{bits // 8}"), ("check", "<u8", (CHECK,))])
+    p = buckets_bits(count, kind.itemsize, bits, 5 if whole else 1)
+
+    def packed(node: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t in range(tables):
+            rows = np.empty(len(node), kind)
+            rows["node"] = node
+            if whole:
+                keys = node.view(np.uint64)
+            else:
+                keys, own = _slice(sketch, t, bits), t * bits // 64
+                rows["key"] = keys
+                rows["check"] = sketch.view("<u8")[:, [(own + 1 + i) % lanes for i in range(CHECK)]]
+            to, who = sent_to(keys, bits, p)
+            order = np.argsort(to, kind="stable")
+            to, rows = to[order], rows[who[order]]
+            first = np.flatnonzero(np.diff(to, prepend=-1))
+            ends = np.append(first, len(to)) * kind.itemsize
+            data = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(rows.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(to[first] | t << 40, pa.int64()), data.cast(pa.binary())], names=["bucket", "rows"])
 
     def emit(batches):
+        held, most_held = [], max(1, int(HELD_BYTES / (kind.itemsize * sent_times(p))))
         for b in batches:
-            node = b.column(0).to_numpy().astype("<i8")
-            sketch = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, width)
-            for t in range(tables):
-                keys = _slice(sketch, t, bits)
-                s_key, even = _syndrome(keys, p), (np.bitwise_count(keys) & 1) == 0
-                near, far = _errors(bits)
-                has_near, has_far = (np.bincount(_syndrome(x, p), minlength=1 << p) > 0 for x in (near, far))
-                for bucket in range(1 << sent):
-                    to = np.zeros(len(keys), bool)
-                    for part in range(bucket, 1 << p, 1 << sent):
-                        to |= has_near[s_key ^ part] | (even & has_far[s_key ^ part])
-                    if to.any():
-                        rows = np.concatenate([node[to].view(np.uint8).reshape(-1, 8), sketch[to]], axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array([t << 24 | bucket], pa.int64()), pa.array([rows.tobytes()], pa.binary())], names=["bucket", "rows"])
+            held.append(b)
+            if sum(x.num_rows for x in held) >= most_held:
+                yield from flush(held)
+                held = []
+        yield from flush(held)
+
+    def flush(held):
+        if sum(x.num_rows for x in held):
+            node = np.concatenate([x.column(0).to_numpy() for x in held]).astype("<i8")
+            yield from packed(node, None if whole else np.frombuffer(b"".join(c for x in held for c in x.column(1).to_pylist()), np.uint8).reshape(-1, 8 * lanes))
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 8 + width) for b in batches for x in b.column("rows").to_pylist()])
-        t, bucket = key[0].as_py() >> 24, key[0].as_py() & 0xFFFFFF
-        node, sketch = rows[:, :8].copy().view("<i8").ravel(), rows[:, 8:].copy()
-        order = np.argsort(node, kind="stable")
-        node, sketch = node[order], sketch[order]
-        words, keys, root = sketch.view("<u8"), _slice(sketch, t, bits), np.arange(len(node))
-        for part in range(bucket, 1 << p, 1 << sent):
-            runs = _bucket_runs(keys, bits, part, p)
-            u, v = _run_edges(*runs)
-            ok = np.concatenate([_distance(words[u[i : i + PACK]], words[v[i : i + PACK]]) <= most for i in range(0, len(u), PACK)] or [np.empty(0, bool)])
-            u, v = np.concatenate([root, u[ok]]), np.concatenate([np.arange(len(node)), v[ok]])
-            root = forest(u, v, len(node))
-            if bits < 8 * width:  # members of a run share a slice only: its centre need not link them
-                more = _open_run_edges(words, *runs[:2], root, most)
-                root = forest(np.concatenate([u, more[0]]), np.concatenate([v, more[1]]), len(node))
-        linked = root != np.arange(len(node))
-        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
-
-    packed = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, rows binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "u long, v long")
+        bucket = key[0].as_py() & (1 << 40) - 1
+        rows = np.concatenate([np.frombuffer(x, kind) for b in batches for x in b.column("rows").to_pylist()])
+        keys = rows["node"].view(np.uint64) if whole else rows["key"].astype(np.uint64)
+        rows = rows[np.lexsort((rows["node"], keys))]
+        keys = rows["node"].copy().view(np.uint64) if whole else rows["key"].astype(np.uint64)
+        words = keys[:, None] if whole else rows["check"]
+        root = np.arange(len(rows))
+        for run, owners, is_near in _bucket_runs(keys, bits, bucket, p):
+            root = _verified(words, *_star(run, owners, is_near), root, most)
+            if not whole:  # members of a run share a slice only: its centre need not link them
+                for step in range(1, NEXT + 1):
+                    i = np.flatnonzero(run[step:] == run[:-step])
+                    if not len(i):
+                        break
+                    root = _verified(words, owners[i], owners[i + step], root, most)
+                root = _joined(root, *_open_run_edges(words, run, owners, root, most))
+        linked = root != np.arange(len(root))
+        yield pa.RecordBatch.from_arrays([pa.array(rows["node"][linked]), pa.array(rows["node"][root[linked]])], names=["u", "v"])
+
+    sent = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, rows binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "u long, v long")
 
 
 def _slice(sketch: np.ndarray, t: int, bits: int) -> np.ndarray:
@@ -326,12 +417,12 @@ def _set_edges(sets: list[np.ndarray], over: int, under: int) -> tuple[np.ndarra
     return np.concatenate(u), np.concatenate(v)
 
 
-#: two sets at a Jaccard similarity of 0.8 have a cosine of 0.89 or more and differ in 78 of
-#: 512 bits, with a deviation of 8; candidates may differ in 128, six deviations more.
-PIPELINE = {"shingle": 5, "lanes": 8, "tables": 16, "bits": 32, "most": 128}
+#: two sets at a Jaccard similarity of 0.8 have a cosine of 0.89 or more and differ in 19.4 of
+#: 128 bits, with a deviation of 4.1; candidates may differ in 40, five deviations more.
+PIPELINE = {"shingle": 5, "lanes": 8, "tables": 16, "bits": 32, "most": 40}
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, tables: int = 16, bits: int = 32, most: int = 128, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, tables: int = 16, bits: int = 32, most: int = 40, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """One row of each group of near copies, the one with the least id; all columns stay.
 
     Near copies are texts whose sets of word 5-shingles have a Jaccard similarity of 0.8 or

@@ -189,13 +189,41 @@ def test_ball_hashing_finds_all_pairs_within_three(distance):
     for i in range(40):
         for bit in r.choice(64, distance, replace=False):
             b[i] ^= np.uint64(1 << int(bit))
-    keys, met = np.concatenate([a, b]), set()
+    order = np.argsort(np.concatenate([a, b]))
+    keys, met = np.concatenate([a, b])[order], set()
     for bucket in range(32):
         u, v = simhash._bucket_edges(keys, 64, bucket, 5)
-        met |= {(int(x), int(y)) for x, y in zip(u, v) if bin(int(keys[x] ^ keys[y])).count("1") <= 3}
+        met |= {tuple(sorted((int(order[x]), int(order[y])))) for x, y in zip(u, v) if bin(int(keys[x] ^ keys[y])).count("1") <= 3}
     assert met == ({(i, i + 40) for i in range(40)} if distance <= 3 else set())
 
 
+def test_fingerprints_are_sent_to_the_buckets_of_their_variants(monkeypatch):
+    r = np.random.default_rng(21)
+    keys = np.sort(r.integers(0, 2**63, 60, dtype=np.uint64))
+    near, far = simhash._errors(64)
+    for p in (0, 1, 5, 9):
+        to, rows = simhash.sent_to(keys, 64, p)
+        want = set()
+        for i, x in enumerate(keys):
+            some = np.concatenate([near, far]) if int(x).bit_count() % 2 == 0 else near
+            want |= {(int(v) >> (64 - p), i) for v in x ^ some}
+        assert len(to) == len(want) and set(zip(to.tolist(), rows.tolist())) == want
+    monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", 500)  # parts of a bucket find what the whole does
+    keys = np.sort(np.concatenate([keys, keys ^ np.uint64(7), keys[:5] ^ np.uint64(1 << 63)]))
+    parts = {tuple(sorted(e)) for e in zip(*(x.tolist() for x in simhash._bucket_edges(keys, 64, 0, 0)))}
+    monkeypatch.setattr(simhash, "VARIANTS_AT_ONCE", 10**9)
+    assert parts == {tuple(sorted(e)) for e in zip(*(x.tolist() for x in simhash._bucket_edges(keys, 64, 0, 0)))}
+
+
+@pytest.mark.parametrize("count", [10**5, 10**7])
+def test_what_is_sent_of_a_fingerprint_does_not_grow_with_the_table(count):
+    p = simhash.buckets_bits(count, 8, 64, 5)
+    keys = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
+    assert len(simhash.sent_to(keys, 64, p)[0]) * 8 / len(keys) < 100  # bytes, of 2,000 a document
+    # and up to 10^11 documents with the square of the logarithm
+    assert 8 * simhash.sent_times(simhash.buckets_bits(10**11, 8, 64, 5)) < 1200
+
+
 def test_pipeline_copies(spark):
     r = random.Random(6)
     base, clean = words(r, 300, 10**6).split(), [words(r, 200, 10**6) for _ in range(40)]
@@ -217,7 +245,7 @@ def test_slices_compare_all_members_of_a_run(spark):
     x[9] = x[3]
     x[9, 4::4] ^= 31  # 5 bits in each of the other seven slices
     nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in enumerate(x)], "node long, sketch binary")
-    got = {(e.u, e.v) for e in simhash.ball_links(nodes, 4, 8, 32, 44, 12).collect()}
+    got = {(max(e), min(e)) for e in simhash.ball_links(nodes, 4, 8, 32, 40, 12).collect()}
     assert got == {(9, 3)}
 
 
