@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of characters other than ASCII white space. ``bytes.split()``
@@ -32,8 +34,50 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: folders made and not deleted, those of the innermost open ``scratch`` last
+_made: list[list[str]] = [[]]
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made[-1].append(path)
+    return path
+
+
+class scratch:
+    """Deletes the folders made within it, but for those kept: what a result is read from.
+    Those pass to the ``scratch`` around it, and go at the end of the session at last."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, []
+
+    def __enter__(self) -> scratch:
+        _made.append([])
+        return self
+
+    def keep(self, df: DataFrame, what: str = "result") -> DataFrame:
+        """``df``, written to a folder that stays."""
+        df, path = materialize(df, what)
+        self.kept.append(path)
+        return df
+
+    def __exit__(self, *_) -> None:
+        for path in _made.pop():
+            if path in self.kept:
+                _made[-1].append(path)
+            else:
+                delete(self.spark, path)
+
+
+@atexit.register
+def _tidy() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in sum(_made, []):
+            try:
+                delete(spark, path)
+            except (Py4JError, OSError):  # the session's JVM has ended
+                return
 
 
 def _hadoop_path(spark: SparkSession, path: str):

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, scratch
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: hex digits of the hash by which each level splits its boundary bucket: 60 bits in all
@@ -109,8 +109,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     any partitioning; rows that repeat an id are taken alike. Null and blank texts have
     size 0, count for nothing and follow their source's threshold. An empty table gives none.
     """
-    docs, _ = materialize(hashed(df, id_col, text_col, source_col), "sizes")
-    goal = thresholds(docs).select(F.col("source").alias("s"), "source_size", "target", "whole", "threshold")
+    with scratch(df.sparkSession) as made:
+        docs = made.keep(hashed(df, id_col, text_col, source_col), "sizes")
+        goal = made.keep(thresholds(docs).select(F.col("source").alias("s"), "source_size", "target", "whole", "threshold"), "goals")
     out = docs.join(goal, F.col("source").eqNullSafe(F.col("s")))
     copies = F.least(F.col("whole") + (F.col("hash") <= F.col("threshold")).cast("int"), F.lit(CAP))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
@@ -118,9 +119,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """df with each row as often as ``mix`` has it: rows meet their source's threshold, not
-    each other, so ids may be null or repeated. The columns stay as they are."""
-    docs, _ = materialize(hashed(df, id_col, text_col, source_col), "sizes")
-    goal = thresholds(docs).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    each other, so ids may be null or repeated. The columns stay as they are. Null and blank
+    texts count for nothing and follow their source's threshold; a null source is a source."""
+    with scratch(df.sparkSession) as made:
+        docs, _ = materialize(hashed(df, id_col, text_col, source_col), "sizes")
+        goal = made.keep(thresholds(docs).select(F.col("source").alias("_source"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold")), "goals")
     rows = df.join(goal, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
     copies = F.least(F.col("_whole") + (row_hash(id_col, text_col) <= F.col("_threshold")).cast("int"), F.lit(CAP))
     rows = rows.withColumn("_copies", copies).where("_copies > 0")

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, delete, forest, materialize, mix64
+from .common import bytes_of, forest, materialize, mix64, scratch
 from .components import connected_components
 
 #: variants that a task makes at once, and bytes of fingerprints that a bucket is to hold
@@ -40,8 +40,8 @@ HELD_BYTES, PACK = 32 << 20, 65_536
 NEXT = 8
 #: lanes of a sketch that a pair met in a slice is compared by
 CHECK = 2
-#: members of a group of candidates that meet in one cell, from each of two blocks
-BLOCK = 128
+#: members of a group of candidates in one block, and bytes of their texts together
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
@@ -269,7 +269,7 @@ def sent_times(p: int) -> float:
 
 
 def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int, count: int) -> DataFrame:
-    """Edges (u, v) between ``nodes`` (node long, sketch binary of 8 * lanes bytes).
+    """Edges (u, v) between ``nodes`` (node long; sketch binary of 8 * lanes bytes, if more than one).
 
     With one lane the 64-bit sketch is the key, ``node`` is its value as a long, and pairs
     within ``most`` (3) bits link: that finds every such pair's connection. With more, a table
@@ -332,7 +332,7 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
         linked = root != np.arange(len(root))
         yield pa.RecordBatch.from_arrays([pa.array(rows["node"][linked]), pa.array(rows["node"][root[linked]])], names=["u", "v"])
 
-    sent = nodes.select("node", "sketch").mapInArrow(emit, "bucket long, rows binary")
+    sent = nodes.select("node", *(() if whole else ("sketch",))).mapInArrow(emit, "bucket long, rows binary")
     return sent.groupBy("bucket").applyInArrow(meet, "u long, v long")
 
 
@@ -350,19 +350,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     take part and get the component of their fingerprint (null if it has no id).
     Repeated rows each get a result. Other columns are ignored.
     """
-    docs, _ = materialize(sketches(df, id_col, text_col, shingle, 1), "simhash")
-    # big-endian hex, and as a signed long, which is exact for any 64 bits
-    hexed = F.hex("sketch")
-    big = F.lower(F.concat(*[F.substring(hexed, 15 - 2 * i, 2) for i in range(8)]))
-    half = lambda a: F.conv(F.substring("fingerprint", a, 8), 16, 10).cast("long")
-    docs = docs.withColumn("fingerprint", big).withColumn("node", F.shiftleft(half(1), 32).bitwiseOR(half(9)))
-    groups, at = materialize(docs.groupBy("node").agg(F.min("id").alias("low"), F.first("sketch").alias("sketch")), "groups")
-    links = ball_links(groups.select("node", "sketch"), 1, 1, 64, 3, groups.count())
-    roots, _ = materialize(connected_components(links), "roots")
-    member = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    least = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes, _ = materialize(member.join(least, "root").select("node", "component_id"), "classes")
-    delete(df.sparkSession, at)
+    with scratch(df.sparkSession) as made:
+        docs = made.keep(sketches(df, id_col, text_col, shingle, 1), "simhash")
+        # big-endian hex, and as a signed long, which is exact for any 64 bits
+        hexed = F.hex("sketch")
+        big = F.lower(F.concat(*[F.substring(hexed, 15 - 2 * i, 2) for i in range(8)]))
+        half = lambda a: F.conv(F.substring("fingerprint", a, 8), 16, 10).cast("long")
+        docs = docs.withColumn("fingerprint", big).withColumn("node", F.shiftleft(half(1), 32).bitwiseOR(half(9)))
+        groups, _ = materialize(docs.groupBy("node").agg(F.min("id").alias("low")), "groups")
+        roots = connected_components(ball_links(groups.select("node"), 1, 1, 64, 3, groups.count()))
+        member = groups.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+        least = member.groupBy("root").agg(F.min("low").alias("component_id"))
+        classes = made.keep(member.join(least, "root").select("node", "component_id"), "classes")
     return docs.join(classes, "node").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
@@ -370,46 +369,92 @@ def exact_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, s
     """Edges (u, v) that connect what the pairs of one root's members do whose sets of
     shingles have a Jaccard similarity of at least ``similarity``, a fraction.
 
-    ``members`` is (node, root, id, hash). All of a root's members are compared, in blocks:
-    each two blocks meet in a cell, and a cell returns a spanning forest.
+    ``members`` is (node, root, id, hash), each root among its own members. A root's members
+    are dealt into blocks, and each block is compared in itself and with the root's own text.
+    Members that this leaves apart from the root's visit all other blocks, in parts; two
+    members that are connected to it need not meet. So a group of copies of one text costs
+    one comparison a member, and no pair is left out.
     """
     over, under = similarity
-    sizes = members.groupBy("root").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    m = members.join(sizes, "root").withColumn("mine", mine)
     texts = df.select(F.col(id_col).alias("id"), text_hash(text_col).alias("hash"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(m, ["id", "hash"]).groupBy("id", "hash").agg(*[F.first(c).alias(c) for c in ("t", "node", "root", "mine", "blocks")])
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: (x != F.col("mine")) | (F.col("blocks") == 1))
-    rows = rows.withColumn("other", F.explode(others))
-    rows = rows.select("root", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "node", "t")
-
-    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, sets = [], []
-        for x in batches:
-            nodes += x.column("node").to_pylist()
-            sets += [np.unique(shingle_hashes(t, shingle)) for t in bytes_of(x.column("t"))]
-        u, v = _set_edges(sets, over, under)
-        node = np.array(nodes, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(node[u]), pa.array(node[v])], names=["u", "v"])
-
-    return rows.groupBy("root", "a", "b").applyInArrow(compare, "u long, v long")
-
-
-def _set_edges(sets: list[np.ndarray], over: int, under: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the pairs with a Jaccard similarity of at least over / under."""
+    rows = texts.join(members, ["id", "hash"]).groupBy("id", "hash").agg(*[F.first(c).alias(c) for c in ("t", "node", "root")])
+    rows, _ = materialize(rows.select("root", "node", "t"), "texts")
+
+    def blocks_of(some: DataFrame, name: str) -> DataFrame:
+        size = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum(F.coalesce(F.octet_length("t"), F.lit(0))) / F.lit(BLOCK_BYTES)), F.lit(1))
+        return some.groupBy("root").agg(size.cast("long").alias(name))
+
+    sized = rows.join(blocks_of(rows, "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    to = F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
+
+    def within(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, sets = _node_sets(batches, shingle)
+        centre = np.argsort(node != key[0].as_py(), kind="stable")
+        node, sets = node[centre], [sets[i] for i in centre.tolist()]
+        label = forest(*_set_edges(sets, over, under), len(sets))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key[0].as_py())), pa.array(node), pa.array(node[label])], names=["root", "u", "v"])
+
+    inside = sized.withColumn("to", F.explode(to)).select("root", "to", "node", "t").groupBy("root", "to").applyInArrow(within, "root long, u long, v long")
+    inside, _ = materialize(inside, "within")
+    apart = inside.where("v <> root").select(F.col("u").alias("node"))
+    left = sized.where("blocks > 1").join(apart, "node", "left_semi")
+    left = left.join(blocks_of(left, "parts"), "root").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")))
+    left, _ = materialize(left, "apart")
+    visits = left.withColumn("to", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))))
+    parts = left.select("root", "parts").distinct()
+    homes = sized.join(parts, "root").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = visits.select("root", "to", "part", F.lit(True).alias("visits"), "node", "t").unionByName(homes.select("root", F.col("block").alias("to"), "part", F.lit(False).alias("visits"), "node", "t"))
+
+    def across(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        visitor = np.concatenate([b.column("visits").to_numpy(zero_copy_only=False) for b in batches])
+        node, sets = _node_sets(batches, shingle)
+        label = forest(*_set_edges(sets, over, under, visitor), len(sets))
+        linked = label != np.arange(len(label))
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["u", "v"])
+
+    return cells.groupBy("root", "to", "part").applyInArrow(across, "u long, v long").unionByName(inside.where("u <> v").select("u", "v"))
+
+
+def _node_sets(batches: Iterable[pa.RecordBatch], shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    nodes, sets = [], []
+    for x in batches:
+        nodes += x.column("node").to_pylist()
+        sets += [np.unique(shingle_hashes(t, shingle)) for t in bytes_of(x.column("t"))]
+    return np.array(nodes, np.int64), sets
+
+
+def _set_edges(sets: list[np.ndarray], over: int, under: int, visitor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs that connect what the pairs do that have a Jaccard similarity of at least
+    over / under; with ``visitor`` only pairs of a visitor and another count.
+
+    One member after another is compared with all that are not reached yet, in one pass."""
     size = np.array([len(x) for x in sets], np.int64)
     ends = np.cumsum(size)
     kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(len(kinds), bool)
     u, v, rest = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.arange(len(sets))
+
+    def similar(c: int, to: np.ndarray) -> np.ndarray:
+        own = flat[ends[c] - size[c] : ends[c]]
+        mark[own] = True
+        upto = np.concatenate([[0], np.cumsum(mark[flat])])
+        mark[own] = False
+        both = upto[ends[to]] - upto[ends[to] - size[to]]
+        return under * both >= over * (size[c] + size[to] - both)
+
+    if visitor is not None:
+        homes = np.flatnonzero(~visitor)
+        for c in np.flatnonzero(visitor).tolist() if len(homes) else ():
+            hit = homes[similar(c, homes)]
+            u.append(np.full(len(hit), c))
+            v.append(hit)
+        return np.concatenate(u), np.concatenate(v)
     while len(rest) > 1:
         reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
             c = reached.pop()
-            mark = np.zeros(len(kinds), bool)
-            mark[flat[ends[c] - size[c] : ends[c]]] = True
-            upto = np.concatenate([[0], np.cumsum(mark[flat])])
-            both = upto[ends[rest]] - upto[ends[rest] - size[rest]]
-            near = under * both >= over * (size[c] + size[rest] - both)
+            near = similar(c, rest)
             hit, rest = rest[near], rest[~near]
             u.append(np.full(len(hit), c))
             v.append(hit)
@@ -430,19 +475,20 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     texts that candidates connect are then compared by their sets. Rows with a null id are
     no one's copies here: all stay. Rows that repeat an id with other texts are judged each
     by its text; of one id's near copies the least MD5 of a text stays, and of rows alike in
-    id and text any one.
+    id and text any one. Null and blank texts have the empty set and are copies of each other:
+    one of them stays. An empty table gives an empty one.
     """
     with_id = df.where(F.col(id_col).isNotNull())
-    docs, at = materialize(set_sketches(with_id, id_col, text_col, shingle, lanes), "simhash")
-    groups = docs.groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("low"), F.first("sketch").alias("sketch"))
-    groups, at_groups = materialize(groups.select(F.monotonically_increasing_id().alias("node"), "low.id", "low.hash", "sketch"), "groups")
-    loose = connected_components(ball_links(groups.select("node", "sketch"), lanes, tables, bits, most, groups.count()))
-    members, at_members = materialize(groups.drop("sketch").join(loose, "node"), "members")
-    roots = connected_components(exact_links(members, with_id, id_col, text_col, shingle, similarity))
-    member = groups.join(roots, "node", "left").select(F.struct("id", "hash").alias("low"), F.coalesce("root", "node").alias("root"))
-    kept, _ = materialize(member.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias("_id"), F.col("low.hash").alias("_hash")), "kept")
-    for path in (at, at_groups, at_members):
-        delete(df.sparkSession, path)
+    with scratch(df.sparkSession) as made:
+        docs, _ = materialize(set_sketches(with_id, id_col, text_col, shingle, lanes), "simhash")
+        groups = docs.groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("low"), F.first("sketch").alias("sketch"))
+        groups, _ = materialize(groups.select(F.monotonically_increasing_id().alias("node"), "low.id", "low.hash", "sketch"), "groups")
+        loose = connected_components(ball_links(groups.select("node", "sketch"), lanes, tables, bits, most, groups.count()))
+        members, _ = materialize(groups.drop("sketch").join(loose, "node"), "members")
+        roots = connected_components(exact_links(members, with_id, id_col, text_col, shingle, similarity))
+        member = groups.join(roots, "node", "left").select(F.struct("id", "hash").alias("low"), F.coalesce("root", "node").alias("root"))
+        low = member.groupBy("root").agg(F.min("low").alias("low"))
+        kept = made.keep(low.select(F.col("low.id").alias("_id"), F.col("low.hash").alias("_hash")), "kept")
     with_id = with_id.withColumn("_hash", text_hash(text_col)).withColumn("_id", F.col(id_col))
     with_id = with_id.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(df.columns)
     return with_id.unionByName(df.where(F.col(id_col).isNull())).select(df.columns)
