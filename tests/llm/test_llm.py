@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meridia.llm import components, embed, mix, pieces, secrets, simhash, substring, topk, toxicity, urls, warc
 
@@ -95,6 +96,56 @@ def test_topk(spark):
     assert topk.top_k(df.where("false"), df.where("false")).count() == 0
 
 
+def brute_top(x, queries, k):
+    out = {}
+    for i in queries:
+        got = sorted((-sum(int(a) * int(b) for a, b in zip(x[i], y)), j) for j, y in enumerate(x) if j != i)[:k]
+        out |= {(i, n + 1): (j, -s) for n, (s, j) in enumerate(got)}
+    return out
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_topk_over_many_blocks_is_exact(spark, monkeypatch, large):
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 12)
+    monkeypatch.setattr(topk, "CHUNK_BYTES", 1 << 10)
+    r = np.random.default_rng(22)
+    q = r.integers(-40, 40, (700, 4)) * r.choice([1, 2, 30], (700, 1))
+    q[30:60] = q[29]  # ties at the cut
+    if large:  # scores beyond 2**53, a unit apart
+        q = q * 2**20 + r.integers(-2, 3, q.shape)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(q)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), scale=1).collect()
+    assert {(t.query_id, t["rank"]): (t.vec_id, t.score) for t in got} == brute_top(q, range(0, 700, 50), 5)
+    assert not large or max(t.score for t in got) > 2**53
+
+
+def test_topk_few_rows_repeated_ids_and_too_large_scores(spark):
+    kind = "vec_id long, embedding array<double>, score string"
+    few = spark.createDataFrame([(1, [1.0, 0.0], "x"), (1, [2.0, 0.0], "x"), (2, [3.0], "x"), (3, [], "x")], kind)
+    got = sorted((t.query_id, t["rank"], t.vec_id, t.score) for t in topk.top_k(few, few.where("vec_id = 2"), scale=1).collect())
+    assert got == [(2, 1, 1, 6), (2, 2, 1, 3), (2, 3, 3, 0)]
+    huge = spark.createDataFrame([(1, [2.0**40], "x"), (2, [2.0**40], "x")], kind)
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(huge, huge, scale=1).count()
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(huge.withColumn("embedding", F.array(F.lit(1e30))), huge).count()
+
+
+def test_topk_bounds_save_products():
+    r = np.random.default_rng(23)
+    x = np.floor(256 * r.normal(size=(6000, 64)) * np.exp(-np.arange(64) / 6) * r.lognormal(0, 0.5, (6000, 1))).astype(np.int64)
+    rotation = np.linalg.svd(x[:3000].astype(float), full_matrices=False)[2].T
+    ids = np.arange(6000)
+    q = topk.Side(x[::50], ids[::50], rotation)
+    best, order, scored = topk.Best(120, 5), np.argsort(-(x.astype(float) ** 2).sum(1)), 0
+    for s in range(0, 6000, 1000):
+        some = order[s : s + 1000]
+        scored += topk.search_block(q, topk.Side(x[some], ids[some], rotation), best)
+    want = brute_top(x, range(0, 6000, 2000), 5)
+    assert all((best.id[i // 50, n - 1], best.score[i // 50, n - 1]) == v for (i, n), v in want.items())
+    assert scored < 0.2 * 120 * 6000
+
+
 # --- 3: mix
 
 def brute_targets(sizes):
