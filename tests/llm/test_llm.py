@@ -516,6 +516,23 @@ def test_embeddings(spark, monkeypatch):
     assert embed.near_vectors(df.where("false")).count() == 0
 
 
+def test_embeddings_with_null_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.0, 2.0]), (None, [-1.0, 0.0]), (3, [5.0, 0.0])]
+    got = sorted(map(tuple, embed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    # each row by its own vector: an id that repeats has a result for each; components are named by ids alone
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 1, 1, False), (None, 0, None, False), (3, 2, 1, False)], key=str)
+
+
+def test_embedding_blocks_are_sent_where_visitors_come(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 64)
+    monkeypatch.setattr(embed, "CHUNK", 64)
+    r = np.random.default_rng(24)
+    far = np.eye(20)[np.arange(2000) % 20] + 0.003 * r.normal(size=(2000, 20))  # 20 tight clusters at right angles
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(far)], "vec_id long, embedding array<double>")
+    got = embed.near_vectors(df).collect()
+    assert all(x.n_links == 99 and x.component_id == x.vec_id % 20 for x in got)
+
+
 # --- 10: URLs
 
 def test_urls(spark):
