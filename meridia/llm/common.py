@@ -106,18 +106,6 @@ def materialize(df: DataFrame, what: str = "table") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's size of ``df`` in bytes; 0 where it has none. Only used to
-    choose numbers of groups, never to decide what takes part."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
-
-
-def groups_for(df: DataFrame, bytes_each: int, least: int = 16) -> int:
-    """How many groups keep each near ``bytes_each`` of stored input."""
-    return max(least, -(-plan_bytes(df) // bytes_each))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser, elementwise on uint64."""
     with np.errstate(over="ignore"):
@@ -126,6 +114,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def equal_runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index, run) of the values that occur more than once, by runs of equal ones."""
+    n = len(values)
+    mask = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
+    # sorting one number each is far quicker than sorting indices; hashes cut short only find candidates
+    packed = np.sort((mix64(values) & ~mask) | np.arange(n, dtype=np.uint64))
+    same = (packed[1:] & ~mask) == (packed[:-1] & ~mask)
+    some = np.zeros(n, bool)
+    some[1:] |= same
+    some[:-1] |= same
+    index = (packed[some] & mask).astype(np.int64)
+    if not len(index):
+        return index, index
+    index = index[np.lexsort((index, values[index]))]
+    value = values[index]
+    run = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
+    keep = np.bincount(run)[run] > 1
+    return index[keep], run[keep]
+
+
 def arrow_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words of all texts in one Arrow array, and each text's first word's index
     (one more entry than texts). Nulls have no words."""

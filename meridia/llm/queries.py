@@ -31,8 +31,8 @@ def op4_simhash(spark, sf_dir):
 
 
 def op5_warc(spark, sf_dir):
-    index, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
-    return warc.read(index, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    _, folder = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return warc.read_folder(spark, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_toxicity(spark, sf_dir):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, forest, materialize, mix64, scratch
+from .common import bytes_of, equal_runs, forest, materialize, mix64, scratch
 from .components import connected_components
 
 #: variants that a task makes at once, and bytes of fingerprints that a bucket is to hold
@@ -131,26 +131,6 @@ def sent_to(keys: np.ndarray, bits: int, p: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(to), np.concatenate(rows)
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index, run) of the values that occur more than once, by runs of equal ones."""
-    n = len(values)
-    mask = np.uint64((1 << max(1, (n - 1).bit_length())) - 1)
-    # sorting one number each is far quicker than sorting indices; hashes cut short only find candidates
-    packed = np.sort((mix64(values) & ~mask) | np.arange(n, dtype=np.uint64))
-    same = (packed[1:] & ~mask) == (packed[:-1] & ~mask)
-    some = np.zeros(n, bool)
-    some[1:] |= same
-    some[:-1] |= same
-    index = (packed[some] & mask).astype(np.int64)
-    if not len(index):
-        return index, index
-    index = index[np.lexsort((index, values[index]))]
-    value = values[index]
-    run = np.cumsum(np.concatenate([[True], value[1:] != value[:-1]])) - 1
-    keep = np.bincount(run)[run] > 1
-    return index[keep], run[keep]
-
-
 def _bucket_runs(keys: np.ndarray, bits: int, bucket: int, p: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(run, owner, is near) of this bucket's variants, by runs of two or more equal ones.
     ``keys`` are ascending. A bucket of too many variants is made in parts, by further bits."""
@@ -176,7 +156,7 @@ def _bucket_runs(keys: np.ndarray, bits: int, bucket: int, p: int) -> Iterator[t
                 owners.append(np.repeat(rows, len(errors)))
                 is_near.append(np.full(len(values[-1]), flag))
     if values:
-        index, run = _runs(np.concatenate(values))
+        index, run = equal_runs(np.concatenate(values))
         yield run, np.concatenate(owners)[index], np.concatenate(is_near)[index]
 
 

@@ -18,10 +18,10 @@ import zlib
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, make_folder, materialize, new_folder
+from .common import delete, make_folder, materialize, new_folder, scratch
 
 LEAST_REVISIT = 100
 DATE = "2024-01-01T00:00:00Z"
@@ -92,8 +92,9 @@ def inflate(source):
         while chunk:
             if inflater is None:
                 inflater = zlib.decompressobj(31)
-            yield inflater.decompress(chunk)
-            chunk = b""
+            # so much at once, however well a chunk is compressed
+            yield inflater.decompress(chunk, CHUNK)
+            chunk = inflater.unconsumed_tail
             if inflater.eof:
                 chunk, inflater = inflater.unused_data, None
     if inflater is not None:
@@ -151,12 +152,8 @@ def normalise(archives: DataFrame, source: str, folder: str) -> DataFrame:
                         squeeze = zlib.compressobj(1, wbits=31)
                         member = squeeze.compress(raw) + squeeze.flush()
                         out.write(member)
-                        stated = headers.get("warc-payload-digest", "").removeprefix("sha256:")
-                        revisit = headers["warc-type"] == "revisit"
-                        digest, size = (stated, int(headers.get("x-payload-length", 0))) if revisit else (hashlib.sha256(payload).hexdigest(), len(payload))
-                        if stated and stated != digest:
-                            raise ValueError(f"a payload of {archive} does not have its stated digest")
-                        rows.append((name, i, offset, len(member), headers.get("warc-record-id"), headers["warc-type"], _page(headers.get("warc-record-id")), _page(headers.get("warc-refers-to")) if revisit else None, size, digest))
+                        kind, page, refers, size, digest = described(headers, payload)
+                        rows.append((name, i, offset, len(member), headers.get("warc-record-id"), kind, page, refers, size, digest))
                         offset += len(member)
                         if len(rows) >= 10_000:
                             yield _index(rows)
@@ -174,29 +171,47 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
 
 def read(index: DataFrame, folder: str, payload: bool = True) -> DataFrame:
     """Read each record of the index at its offset: page_id, record_type, refers_to,
-    payload_bytes, payload_digest (computed for responses), record_ok, url and, on request,
-    the payload (null for revisits)."""
+    payload_bytes, payload_digest, url and, on request, the payload (null for revisits).
+
+    All values are the record's own: a response's size and digest are computed from its
+    payload, a revisit states those of the payload it refers to. A record that is not what
+    the index says, or whose payload does not have its stated digest, is an error."""
 
     def run(batches):
         fs, root = open_folder(folder)
         name, source = None, None
         for b in batches:
             out = []
-            for archive, offset, length, page, refers, size, digest in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length", "page_id", "refers_to", "payload_bytes", "payload_digest"))):
+            for archive, offset, length, *told in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length", "record_type", "page_id", "refers_to", "payload_bytes", "payload_digest"))):
                 if archive != name:
                     name, source = archive, fs.open_input_file(posixpath.join(root, archive))
-                raw, headers, body = next(parse([zlib.decompress(source.read_at(length, offset), 31)]))
-                kind = headers["warc-type"]
-                whole = kind == "revisit" or (len(body) == size and hashlib.sha256(body).hexdigest() == digest)
-                out.append((page, kind, refers, size, digest, whole and _page(headers["warc-record-id"]) == page, headers.get("warc-target-uri"), body if payload and kind != "revisit" else None))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.binary()]
-            cols = list(zip(*out)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 8 if payload else 7], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "record_ok", "url", "payload"][: 8 if payload else 7])
-
-    kind = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, record_ok boolean, url string"
+                try:
+                    raw, headers, body = next(parse([zlib.decompress(source.read_at(length, offset), 31)]))
+                    row = described(headers, body)
+                except (zlib.error, StopIteration, KeyError) as error:
+                    raise ValueError(f"no whole record at {offset} of {archive}") from error
+                if list(row) != told:
+                    raise ValueError(f"the record at {offset} of {archive} is not what the index says")
+                kind, page, refers, size, digest = row
+                out.append((page, kind, refers, size, digest, headers.get("warc-target-uri"), body if payload and kind != "revisit" else None))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+            cols = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 6 + payload], names=["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "url", "payload"][: 6 + payload])
+
+    kind = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, url string"
     return index.mapInArrow(run, kind + ", payload binary" * payload)
 
 
+def described(headers: dict[str, str], payload: bytes) -> tuple:
+    """(record_type, page_id, refers_to, payload_bytes, payload_digest) of a record."""
+    stated = headers.get("warc-payload-digest", "").removeprefix("sha256:")
+    revisit = headers["warc-type"] == "revisit"
+    digest, size = (stated, int(headers.get("x-payload-length", 0))) if revisit else (hashlib.sha256(payload).hexdigest(), len(payload))
+    if stated and stated != digest:
+        raise ValueError("a payload does not have its stated digest")
+    return headers["warc-type"], _page(headers.get("warc-record-id")), _page(headers.get("warc-refers-to")) if revisit else None, size, digest
+
+
 def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``pages`` (page_id, url, html) with digest and refers_to: of rows with equal payloads of
     at least ``least`` bytes that with the smallest page_id is the response, others revisit it.
@@ -212,19 +227,28 @@ def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def archive_pages(df: DataFrame, folder: str | None = None) -> tuple[DataFrame, str]:
-    """Write pages (page_id, url, html) as archives and give their index and folder.
+    """Write pages (page_id, url, html) as archives and give their index and folder. The index
+    is a sidecar of the archives: Parquet in ``index`` within the folder, so that
+    ``read_folder`` needs nothing else.
 
     A null html is an empty payload, a null url an empty target, a null page_id a record
     named ``none`` that is always a response. Rows that repeat a page_id and a payload are
     captures of one record and share its type. Empty tables give an empty index.
     """
     spark = df.sparkSession
-    raw, out = (make_folder(spark, folder or new_folder(spark, "warc")) + x for x in ("/whole", "/members"))
-    pages = revisits(df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
-    archives, at = materialize(write_monolithic(pages, make_folder(spark, raw)), "archives")
-    # one row an archive: dealt out, so that no task has many of them
-    n = max(1, archives.count())
-    index, _ = materialize(normalise(archives.repartition(min(n, 4096)), raw, make_folder(spark, out)), "warc-index")
+    home = folder or new_folder(spark, "warc")
+    raw, out = (make_folder(spark, home) + x for x in ("/whole", "/members"))
+    with scratch(spark):
+        pages = revisits(df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
+        archives, _ = materialize(write_monolithic(pages, make_folder(spark, raw)), "archives")
+        # one row an archive: dealt out, so that no task has many of them
+        n = max(1, archives.count())
+        index = normalise(archives.repartition(min(n, 4096)), raw, make_folder(spark, out))
+        index.write.parquet(out + "/index")
     delete(spark, raw)
-    delete(spark, at)
-    return index, out
+    return spark.read.schema(INDEX).parquet(out + "/index"), out
+
+
+def read_folder(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
+    """All records of a folder that ``archive_pages`` gave, by its sidecar index."""
+    return read(spark.read.schema(INDEX).parquet(folder + "/index"), folder, payload)

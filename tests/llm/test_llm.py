@@ -360,10 +360,41 @@ def test_warc(spark):
         first = min(copies) if len(body) >= 100 else page
         x = got[page]
         assert (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) == (len(body), hashlib.sha256(body).hexdigest(), "response" if page == first else "revisit", None if page == first else first)
-        assert x.record_ok and (x.payload is None if page != first else bytes(x.payload) == body)
+        assert x.payload is None if page != first else bytes(x.payload) == body
     assert warc.archive_pages(df.where("false"))[0].count() == 0
 
 
+def test_warc_null_and_repeated_ids_and_a_sidecar(spark, tmp_path):
+    same, other = "s" * 150, "o" * 150
+    rows = [(None, "u", same), (7, "u", same), (7, "v", same), (7, "w", other), (3, None, other), (None, None, None), (9, "u", same)]
+    folder = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/a")[1]
+    got = sorted(((x.page_id, x.payload_bytes, x.record_type, x.refers_to) for x in warc.read_folder(spark, folder).collect()), key=str)
+    # captures of one page and payload share their type; a null id is always a response
+    assert got == sorted([(None, 150, "response", None), (7, 150, "response", None), (7, 150, "response", None), (7, 150, "revisit", 3), (3, 150, "response", None), (None, 0, "response", None), (9, 150, "revisit", 7)], key=str)
+    assert (tmp_path / "a/members/index").is_dir() and not (tmp_path / "a/whole").exists()
+
+
+def test_warc_bad_records_are_errors(spark, tmp_path):
+    folder = warc.archive_pages(spark.createDataFrame([(i, "u", "x" * 500 + str(i)) for i in range(4)], "page_id long, url string, html string"), f"file://{tmp_path}/a")[1]
+    archives = sorted((tmp_path / "a/members").glob("*.warc.gz"))
+    whole = archives[0].read_bytes()
+    archives[0].write_bytes(whole[:60] + bytes([whole[60] ^ 255]) + whole[61:])
+    with pytest.raises(Exception, match="no whole record|not what the index says|not have its stated digest"):
+        warc.read_folder(spark, folder).collect()
+    # a whole record in another's place
+    record = warc.record(0, "u", b"y" * 501, hashlib.sha256(b"y" * 501).hexdigest())
+    with pytest.raises(ValueError):
+        warc.described({"warc-type": "response", "warc-payload-digest": "sha256:00"}, b"y")
+    assert warc.described(next(warc.parse([record]))[1], b"y" * 501)[3] == 501
+
+
+def test_warc_inflates_in_bounded_steps():
+    import io
+
+    steps = [len(x) for x in warc.inflate(io.BytesIO(gzip.compress(b"a" * 50_000_000)))]
+    assert sum(steps) == 50_000_000 and max(steps) <= warc.CHUNK
+
+
 def test_warc_streams(tmp_path):
     raw = [warc.record(i, "http://a", b"x" * i, hashlib.sha256(b"x" * i).hexdigest()) for i in range(5)]
     import io
@@ -496,6 +527,39 @@ def test_substring(spark):
     assert substring.remove_repeats(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_substring_with_hot_minimisers_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(substring, "LEAST_HOT", 3)
+    r = random.Random(25)
+    phrase = words(r, 12)
+    texts = [f"{words(r, 40)} {phrase} {words(r, 40)}" for _ in range(60)]
+    texts += [f"{words(r, 5)} {texts[i]} {words(r, 5)}" for i in range(0, 20, 2)]
+    df = spark.createDataFrame([(None if i % 7 == 0 else i % 50, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_words int")
+    got = sorted((x.n_words, x.n_removed, x.kept_sha256) for x in substring.remove_repeats(df).collect())
+    assert got == sorted(brute_repeats(texts))
+
+
+def test_refined_minimisers_still_join_equal_windows():
+    r = random.Random(26)
+    text = words(r, 400, 30)
+    words_ = pa.array(f"{words(r, 9)} {text} {words(r, 50)} {text}".split())
+    h = substring._hash_words(words_)
+    plain = substring._minimisers(h, 35, np.empty(0, np.uint64))
+    hot = np.unique(plain)[::2]
+    low = substring._minimisers(h, 35, hot)
+    first = [i for i in range(9, 9 + 400 - 34)]
+    assert all(low[i] == low[i + 450] for i in first) and (low != plain).any() and (low[np.isin(plain, hot, invert=True)] == plain[np.isin(plain, hot, invert=True)]).all()
+
+
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    r = np.random.default_rng(27)
+    ids = r.integers(0, 2, 60).astype(np.int32)
+    monkeypatch.setattr(substring, "equal_runs", lambda h: (np.arange(len(h)), np.zeros(len(h), int)))
+    got = substring._window_duplicates(ids, np.array([60]), np.array([1]), 5)
+    seen = [tuple(ids[i : i + 5]) for i in range(56)]
+    assert got.tolist() == [seen.count(x) > 1 for x in seen]
+
+
 # --- 9: embeddings
 
 def test_embeddings(spark, monkeypatch):
