@@ -38,8 +38,8 @@ ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-
 PEM = r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----(?:[\s\S]*?-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=:,\-\s\\]*+)"
 #: a name with one of KEY_NAMES in it, := or =, and an opening quote: it is no part of the value
 NAME = (
-    r"""(?<![A-Za-z0-9_.\-])(?=[A-Za-z0-9_.\-]{1,80}+["'`]?[ \t]{0,3}[:=])(?i:[a-z0-9_.\-]*?(?:passphrase|""" + "|".join(KEY_NAMES) + r""")[a-z0-9_.\-]*+)"""
-    r"""["'`]?[ \t]{0,3}(?::=|=>|==?|:)[ \t]{0,3}["'`]?"""
+    r"""(?<![A-Za-z0-9_.\-])(?=[A-Za-z0-9_.\-]++["'`]?[ \t]*+[:=])(?i:[a-z0-9_.\-]*?(?:passphrase|""" + "|".join(KEY_NAMES) + r""")[a-z0-9_.\-]*+)"""
+    r"""["'`]?[ \t]*+(?::=|=>|==?|:)[ \t]*+["'`]?"""
 )
 ASSIGNED = NAME + r"""[^\s"'`<>]{6,}+"""
 #: 16 or more characters of a key's alphabet with a digit among them; = only pads it
@@ -73,7 +73,7 @@ def describe(c: Column, left: Column, right: Column) -> Column:
         flag(value.rlike(r"^[0-9\-]+$")).alias("number"),
         (count(value, "/") + flag(left.rlike(r"(?:[/.@]|://\S{0,40})$")) + flag(right.rlike(r"^\.?(?:[a-z]{2,4}\b|/|@)"))).alias("path"),
         flag(before.rlike(f"(?:{names})[^a-z\n]{{0,6}}(?:is|as)?[^a-z\n]{{0,6}}$") | (own != "")).alias("named"),
-        flag(left.rlike(r"[=:][ \t]{0,3}[\"'`]?$") | (own != "")).alias("assigned"),
+        flag(left.rlike(r"[=:][ \t]*[\"'`]?$") | (own != "")).alias("assigned"),
         flag((left.rlike(r"[\"'`]$") | own.rlike(r"[\"'`]$")) & right.rlike(r"^[\"'`]")).alias("quoted"),
         flag(value.rlike(f"{ISSUED}|^-----BEGIN ")).alias("issued"),
         (count(low, r"(.)\1") / n).alias("repeats"),
@@ -92,7 +92,7 @@ def labelled_findings(n: int = LABELLED, seed: int = 7) -> list[tuple[str, str,
     out = []
     for i in range(n // 2):
         q = r.choice(['"', "'", "", '"'])
-        left, right = words(r.randint(0, 4)) + " " + caps(name()) + r.choice([" = ", "=", ": ", " := ", " is "]) + q, q + r.choice(["", " ", "\n", ";", "!! ", "### "]) + words(2)
+        left, right = words(r.randint(0, 4)) + " " + caps(name()) + r.choice([" = ", "=", ": ", " := ", " is ", "     = "]) + q, q + r.choice(["", " ", "\n", ";", ", ", ")"]) + words(2)
         value = r.choice([some(hexa, r.choice([32, 40, 64])), some(hexa, 40), some(hexa, 40).upper(), some(b62, r.randint(16, 48)), some(b62 + "+/", 43) + "=", some(b62, 24) + "-" + some(b62, 12)])
         kind = i % 8
         if kind == 0:

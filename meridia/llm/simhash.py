@@ -369,12 +369,14 @@ def exact_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, s
 
     def within(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         node, sets = _node_sets(batches, shingle)
-        centre = np.argsort(node != key[0].as_py(), kind="stable")
+        root = key[0].as_py()["root"]
+        centre = np.argsort(node != root, kind="stable")
         node, sets = node[centre], [sets[i] for i in centre.tolist()]
         label = forest(*_set_edges(sets, over, under), len(sets))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key[0].as_py())), pa.array(node), pa.array(node[label])], names=["root", "u", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), root)), pa.array(node), pa.array(node[label])], names=["root", "u", "v"])
 
-    inside = sized.withColumn("to", F.explode(to)).select("root", "to", "node", "t").groupBy("root", "to").applyInArrow(within, "root long, u long, v long")
+    # one key of all columns: rows that lie by root already would else stay there, a group in one task
+    inside = sized.withColumn("to", F.explode(to)).select(F.struct("root", "to").alias("cell"), "node", "t").groupBy("cell").applyInArrow(within, "root long, u long, v long")
     inside, _ = materialize(inside, "within")
     apart = inside.where("v <> root").select(F.col("u").alias("node"))
     left = sized.where("blocks > 1").join(apart, "node", "left_semi")
@@ -383,7 +385,8 @@ def exact_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, s
     visits = left.withColumn("to", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: x != F.col("block"))))
     parts = left.select("root", "parts").distinct()
     homes = sized.join(parts, "root").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cells = visits.select("root", "to", "part", F.lit(True).alias("visits"), "node", "t").unionByName(homes.select("root", F.col("block").alias("to"), "part", F.lit(False).alias("visits"), "node", "t"))
+    cells = visits.select(F.struct("root", "to", "part").alias("cell"), F.lit(True).alias("visits"), "node", "t")
+    cells = cells.unionByName(homes.select(F.struct("root", F.col("block").alias("to"), "part").alias("cell"), F.lit(False).alias("visits"), "node", "t"))
 
     def across(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -393,7 +396,7 @@ def exact_links(members: DataFrame, df: DataFrame, id_col: str, text_col: str, s
         linked = label != np.arange(len(label))
         yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[label[linked]])], names=["u", "v"])
 
-    return cells.groupBy("root", "to", "part").applyInArrow(across, "u long, v long").unionByName(inside.where("u <> v").select("u", "v"))
+    return cells.groupBy("cell").applyInArrow(across, "u long, v long").unionByName(inside.where("u <> v").select("u", "v"))
 
 
 def _node_sets(batches: Iterable[pa.RecordBatch], shingle: int) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -216,8 +216,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_co
         sets, _ = materialize(sets.mapInArrow(seed, "ids binary, vecs binary, floors binary, least double, chunk int"), "sets")
         # dealt by hash, so every task has blocks of all lengths
         left = packed.withColumn("task", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-        left = left.join(sets.groupBy("chunk").agg(F.min("least").alias("least")), "chunk").where("top >= least").select("task", "chunk", "ids", "vecs", "top")
-        right = sets.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select("task", "chunk", "ids", "vecs", "floors")
+        left = left.join(sets.groupBy("chunk").agg(F.min("least").alias("least")), "chunk").where("top >= least").select(F.struct("task", "chunk").alias("cell"), "ids", "vecs", "top")
+        right = sets.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).select(F.struct("task", "chunk").alias("cell"), "ids", "vecs", "floors")
 
         def run(_: tuple[pa.Scalar, ...], a: pa.Table, q: pa.Table) -> pa.Table:
             order = np.argsort(-np.array(a.column("top").to_pylist(), float), kind="stable").tolist()
@@ -231,6 +231,6 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id_co
             cols = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64)] * 3
             return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("query_id", "vec_id", "score"), cols)})
 
-        got = left.groupBy("task", "chunk").cogroup(right.groupBy("task", "chunk")).applyInArrow(run, "query_id long, vec_id long, score long")
+        got = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, "query_id long, vec_id long, score long")
         w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         return made.keep(got.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk")

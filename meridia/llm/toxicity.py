@@ -1,11 +1,11 @@
 """Toxic spans by a linear-chain conditional random field.
 
-Each word has one of two tags. Features are the lower-cased word and its prefixes; tags of
-neighbouring words share a 2x2 table. Forward-backward gives each word's marginal, words
+Each word has one of two tags. Features are the lower-cased word, its prefixes and its shape,
+and the words beside it; tags of neighbouring words share a 2x2 table. Forward-backward gives each word's marginal, words
 over one half are offending spans, and a logistic function of the marginals scores the text.
 
 Labels are of documents. Words of toxic training documents are labelled toxic where one of
-their features is much more frequent (by documents) in toxic than in clean documents; all
+their letters' features is much more frequent (by documents) in toxic than in clean documents; all
 words of clean documents are labelled clean, so the field unlearns what both have.
 """
 
@@ -13,23 +13,38 @@ from __future__ import annotations
 
 import math
 from array import array
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: at most so many labelled documents of each class are read for training
 SAMPLE_PER_CLASS = 1200
-ROUNDS, RATE, DECAY, PIECE = 60, 0.3, 2e-4, 256
+ROUNDS, RATE, DECAY, BESIDE_DECAY, PIECE = 60, 0.3, 2e-4, 2e-3, 256
+#: marks of the word before and of the word after, among features
+BEFORE, AFTER = ">", "<"
 REMEMBERED = 300_000
+#: bytes of text scored at once; a longer text is one part
+PART = 4 << 20
 PREFIXES = (4, 5, 6, 7)
 EDGES = "\"'`.,;:!?()[]{}<>*&%$#@~|/\\-_=+…«»“”‘’¡¿"
 
 
+def bare(word: str) -> str:
+    return word.lower().strip(EDGES)
+
+
 def features(word: str) -> list[str]:
-    w = word.lower().strip(EDGES)
-    return [w, *("^" + w[:k] for k in PREFIXES if len(w) > k)] if w else []
+    """A word's own features; '^' marks a prefix, '#' a shape: runs of capitals, small letters, digits, others."""
+    w = bare(word)
+    if not w:
+        return []
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else "." for c in word)
+    return [w, *("^" + w[:k] for k in PREFIXES if len(w) > k), "#" + "".join(k for k, _ in groupby(kinds))[:8]]
 
 
 def marginals(e: np.ndarray, starts: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,24 +101,33 @@ def text_features(odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, weights: dict[str, float], bias: float, params: np.ndarray, scale: np.ndarray):
         self.weights, self.bias, self.params, self.scale = weights, bias, params, scale
-        self.kept: dict[str, float] = {}
-
-    def emission(self, word: str) -> float:
-        got = self.kept.get(word)
-        if got is None:
-            if len(self.kept) >= REMEMBERED:
-                self.kept.clear()
-            got = self.kept[word] = self.bias + sum(self.weights.get(f, 0.0) for f in features(word))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        #: of each numbered word: its own log odds, and what it adds to those of the next and the last word
+        self.values: list[tuple[float, float, float]] = []
+
+    def _learn(self, word: str) -> int:
+        w, known = bare(word), self.weights.get
+        self.values.append((self.bias + sum(known(f, 0.0) for f in features(word)), known(BEFORE + w, 0.0), known(AFTER + w, 0.0)))
+        got = self.number[word] = len(self.values) - 1
         return got
 
     def odds(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
-        parts, starts = [], [0]
-        emission, kept = self.emission, self.kept
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        parts, starts = [np.empty(0, np.int64)], [0]
+        number, learn = self.number, self._learn
         for t in texts:
             words = (t or "").split()
-            parts.append(np.fromiter((kept[w] if w in kept else emission(w) for w in words), float, len(words)))
+            parts.append(np.fromiter((number[w] if w in number else learn(w) for w in words), np.int64, len(words)))
             starts.append(starts[-1] + len(words))
-        e, starts = np.concatenate(parts) if parts else np.empty(0), np.array(starts)
+        at, starts = np.concatenate(parts), np.array(starts)
+        own, before, after = np.array(self.values).reshape(-1, 3)[at].T
+        e, inner = own.copy(), inside(starts)
+        e[inner] += before[inner - 1]
+        e[inner - 1] += after[inner]
         return marginals(e, starts, self.params)[0], starts
 
     def score(self, odds: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -125,6 +149,13 @@ class Model:
         return out
 
 
+def inside(starts: np.ndarray) -> np.ndarray:
+    """The places that do not begin a text."""
+    out = np.ones(starts[-1], bool)
+    out[starts[:-1][starts[:-1] < starts[-1]]] = False
+    return np.flatnonzero(out)
+
+
 def _step(w, grad, state, rate):
     """Adam."""
     m, v, t = state
@@ -162,7 +193,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
             seen[label, np.unique(np.concatenate([flat[ends[k] : ends[k + 1]] for k in own]))] += 1
     del rows
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    telling = (seen[1] >= max(4, 0.004 * n1)) & (np.log((seen[1] + 0.1) / n1) - np.log((seen[0] + 0.5) / n0) > 2.3)
+    shapes = np.array([f[0] == "#" for f in ids], bool)
+    telling = ~shapes & (seen[1] >= max(4, 0.004 * n1)) & (np.log((seen[1] + 0.1) / n1) - np.log((seen[0] + 0.5) / n0) > 2.3)
     hot = np.bincount(pair_kind, telling[flat], minlength=len(ends) - 1) > 0
     # only features of three texts or more have weights
     use = seen.sum(0) >= 3
@@ -172,9 +204,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     kept = use[flat]
     pair_kind, pair_name = pair_kind[kept], number[flat[kept]]
     n_kinds = len(ends) - 1
+    # the word that a neighbour sees: a kind's first feature, or none (the last number)
+    seen_as = np.full(n_kinds, len(names))
+    some = np.flatnonzero(np.diff(ends) > 0)
+    seen_as[some] = np.where(use[flat[ends[some]]], number[flat[ends[some]]], len(names))
+    beside, next_to = seen_as[word], inside(starts)
     tag = hot[word] & np.repeat(y == 1, np.diff(starts))
     w, bias, params = np.zeros(len(names)), np.array([-3.0]), np.zeros(5)
-    states = [(np.zeros_like(a), np.zeros_like(a)) for a in (w, bias, params)]
+    w_before, w_after = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    states = [(np.zeros_like(a), np.zeros_like(a)) for a in (w, bias, params, w_before, w_after)]
     first = cuts[:-1]
     inner = np.ones(len(word), bool)
     inner[first] = False
@@ -184,8 +222,15 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     for t in range(1, ROUNDS + 1):
         kind_e = bias[0] + np.bincount(pair_kind, w[pair_name], minlength=n_kinds)
         e = kind_e[word]
+        e[next_to] += w_before[beside[next_to - 1]]
+        e[next_to - 1] += w_after[beside[next_to]]
         odds, x, z = marginals(e, cuts, params)
         p = _sigmoid(odds)
+        by_side = []
+        for v, it, seen_by in ((w_before, next_to - 1, next_to), (w_after, next_to, next_to - 1)):
+            g = np.bincount(beside[it], (tag - p)[seen_by], minlength=len(v)) / positive - BESIDE_DECAY * v
+            g[-1] = 0.0
+            by_side.append(g)
         per_kind = np.bincount(word, tag - p, minlength=n_kinds)
         grad_w = np.bincount(pair_name, per_kind[pair_kind], minlength=len(w)) / positive - DECAY * w
         grad_b = np.array([(tag - p).sum() / positive])
@@ -196,9 +241,10 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         pairs = np.exp(logs)
         pairs = (pairs / pairs.sum(0)).sum(1)
         grad_p = np.append((seen_pairs - pairs) / positive, (tag[first] - p[first]).sum() / positive) - 1e-3 * params
-        for a, g, s in zip((w, bias, params), (grad_w, grad_b, grad_p), states):
+        for a, g, s in zip((w, bias, params, w_before, w_after), (grad_w, grad_b, grad_p, *by_side), states):
             _step(a, g, (*s, t), RATE)
-    model = Model({f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 0.03}, float(bias[0]), params, np.zeros(4))
+    weights = {mark + f: float(v[i]) for mark, v in (("", w), (BEFORE, w_before), (AFTER, w_after)) for i, f in enumerate(names) if abs(v[i]) > 0.03}
+    model = Model(weights, float(bias[0]), params, np.zeros(4))
     f = text_features(*model.odds(texts))
     design, scale = np.concatenate([np.ones((len(f), 1)), f], axis=1), np.zeros(4)
     state, weight = (np.zeros(4), np.zeros(4)), 1 / len(y)
@@ -215,16 +261,18 @@ def held_out(id_col) -> F.col:
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
     """Fit on at most ``per_class`` labelled, not held-out documents of each class, those
-    with the least hash of their id; only texts and labels are read."""
+    with the least hash of their id; only texts and labels are read. Of labels that contradict
+    each other 1 counts; of rows that repeat an id the least text; of texts alike the label of
+    the least id. Labels of null ids and other values than 0 and 1 do not count."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))
     picked = None
     for label in (0, 1):
-        some = known.where(F.col("label") == label).orderBy(F.xxhash64(F.col(id_col).cast("long")), id_col).limit(per_class)
+        some = known.where(F.col("label") == label).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     # 2 * per_class rows at most, so the join may broadcast them
     rows = df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text")).collect()
     # copies would count a text's words more than once
-    unique = {r.text: r.label for r in sorted(rows, key=lambda r: -r[id_col])}
+    unique = {r.text: r.label for r in sorted(rows, key=lambda r: r[id_col], reverse=True)}
     texts = sorted((t for t in unique if t is not None))
     return fit(texts, [int(unique[t]) for t in texts])
 
@@ -232,19 +280,6 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 _local: dict = {}
 
 
-def _parts(texts: list, most: int = 20_000_000):
-    """Runs of whole texts of about ``most`` characters together."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "") + 1
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def _scored(df: DataFrame, model: Model, text_col: str):
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast((model.weights, model.bias, model.params, model.scale))
@@ -252,13 +287,11 @@ def _scored(df: DataFrame, model: Model, text_col: str):
     def score(texts: list) -> tuple[np.ndarray, list]:
         if _local.get("id") != id(sent.value):
             _local.update(id=id(sent.value), model=Model(*sent.value), keep=sent.value)
-        m, scores, spans = _local["model"], [], []
-        for part in _parts(texts):
-            odds, starts = m.odds(part)
-            scores.append(m.score(odds, starts))
-            hot = np.concatenate([[0], np.cumsum(odds > 0)])
-            spans += [m.spans(t, odds[a:b]) if hot[b] > hot[a] else [] for t, a, b in zip(part, starts[:-1].tolist(), starts[1:].tolist())]
-        return np.concatenate(scores) if scores else np.empty(0), spans
+        m = _local["model"]
+        odds, starts = m.odds(texts)
+        hot = np.concatenate([[0], np.cumsum(odds > 0)])
+        spans = [m.spans(t, odds[a:b]) if hot[b] > hot[a] else [] for t, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist())]
+        return m.score(odds, starts), spans
 
     return score
 
@@ -271,7 +304,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 2, PART)):
             scores, spans = run_score(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, span)], names=["id", "held_out", "score", "predicted", "spans"])
 
@@ -285,7 +318,7 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     run_score, place = _scored(df, model, text_col), df.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, place, PART)):
             yield b.filter(pa.array(run_score(b.column(place).to_pylist())[0] < 0.5))
 
     return df.mapInArrow(run, df.schema)
