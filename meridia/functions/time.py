@@ -29,6 +29,12 @@ def idiv(a, b) -> Column:
     return F.try_divide(_wide(a) - _wide(a) % _wide(b), _wide(b)).cast("decimal(38,0)")
 
 
+def floor_div(a, b: int) -> Column:
+    """Floor of a long by a positive constant, exact for all longs."""
+    a, b = _c(a), F.lit(b).cast("long")
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
 def rescale(ticks, num, den, out_num, out_den) -> Column:
     """Ticks of num/den seconds in ticks of out_num/out_den: nearest, halves away from zero."""
     top, bottom = _wide(ticks) * _wide(num) * _wide(out_den), _wide(den) * _wide(out_num)
@@ -83,5 +89,15 @@ def clock(millis) -> Column:
     """HH:MM:SS.mmm of milliseconds; hours may have more than two digits."""
     m = _c(millis)
     two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
-    hours, minutes, seconds = (F.floor(m / 3_600_000), F.floor(m / 60_000) % 60, F.floor(m / 1000) % 60)
+    hours, minutes, seconds = (floor_div(m, 3_600_000), floor_div(m, 60_000) % 60, floor_div(m, 1000) % 60)
     return F.concat(two(hours), F.lit(":"), two(minutes), F.lit(":"), two(seconds), F.lit("."), F.lpad((m % 1000).cast("string"), 3, "0"))
+
+
+def program_date(ns) -> Column:
+    """Nanoseconds since 1970 as a program date, in milliseconds."""
+    ms = floor_div(ns, 1_000_000)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), floor_div(ms, 86_400_000).cast("int")), "yyyy-MM-dd")
+    s = F.pmod(ms, F.lit(86_400_000))
+    clock = F.concat_ws(":", two(floor_div(s, 3_600_000)), two(floor_div(s, 60_000) % 60), two(floor_div(s, 1000) % 60))
+    return F.concat(day, F.lit("T"), clock, F.lit("."), F.lpad((s % 1000).cast("string"), 3, "0"), F.lit("Z"))

@@ -6,13 +6,10 @@ touch, so the join shuffles on (key, bucket) and a hot stream spreads over its b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def bucket(t: Column, width: int) -> Column:
-    """Floor of t / width, exact for 64-bit t."""
-    return ((t - F.pmod(t, F.lit(width).cast("long"))).cast("decimal(38,0)") / width).cast("long")
+from ..functions.time import floor_div
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_start: str, left_end: str, right_start: str, right_end: str, width: int) -> DataFrame:
@@ -22,22 +19,23 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, left_start: str, l
     is taken in the bucket where its overlap begins.
     """
     def spread(df, s, e):
-        return df.withColumn("_b", F.explode(F.sequence(bucket(F.col(s), width), bucket(F.col(e) - 1, width)))).where(F.col(e) > F.col(s))
+        return df.withColumn("_b", F.explode(F.sequence(floor_div(F.col(s), width), floor_div(F.col(e) - 1, width)))).where(F.col(e) > F.col(s))
     right = right.withColumnRenamed(key, "_key")
     a, b = spread(left, left_start, left_end), spread(right, right_start, right_end).withColumnRenamed("_b", "_b2")
     hit = (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_b2")) & (F.col(left_start) < F.col(right_end)) & (F.col(left_end) > F.col(right_start))
-    return a.join(b, hit).where(F.col("_b") == bucket(F.greatest(left_start, right_start), width)).drop("_b", "_b2", "_key")
+    return a.join(b, hit).where(F.col("_b") == floor_div(F.greatest(left_start, right_start), width)).drop("_b", "_b2", "_key")
 
 
 def as_of_forward(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, value: str) -> DataFrame:
     """left with ``value`` of the first right row at or after its time (null if none).
 
-    One union sorted per key: no row is multiplied, whatever the distances. At equal
-    times rows of the right side come last, so that they are still ahead."""
+    One union sorted per key: no row is multiplied, whatever the distances. Rows are passed
+    from the last to the first, so a frame only ever grows; at equal times rows of the right
+    side come first, so that they count as ahead."""
     a = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_t"), F.lit(0).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
     b = right.select(F.col(key).alias("_k"), F.col(right_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = a.unionByName(b).withColumn("_found", F.first(F.when(F.col("_side") == 1, F.struct("_v")), ignorenulls=True).over(w))
+    w = Window.partitionBy("_k").orderBy(F.col("_t").desc(), F.col("_side").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = a.unionByName(b).withColumn("_found", F.last(F.when(F.col("_side") == 1, F.struct("_v")), ignorenulls=True).over(w))
     return found.where("_side = 0").select("_row.*", F.col("_found._v").alias(value))
 
 

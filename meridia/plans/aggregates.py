@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from ..operators.aggregates import BOUNDS, histogram
 from .inputs import HOUR, L, P, S, by_time, packets, samples, table, tiles
 from .registry import register
@@ -136,7 +137,7 @@ def sup9_fragments(spark, d):
 @q(f"WITH {P}, w AS (SELECT stream, t // {24 * HOUR} AS batch, count(*) AS n, max(bytes) AS most, CAST(sum(bytes) AS BIGINT) AS total FROM p GROUP BY 1, 2) SELECT stream, batch, CASE WHEN n > 6 THEN 'packets' WHEN most > 9000 THEN 'packet_bytes' WHEN total > 20000 THEN 'batch_bytes' END AS error FROM w WHERE n > 6 OR most > 9000 OR total > 20000")
 def src7_bounded_batch(spark, d):
     """SRC-7: batches (days) over their bounds are errors, not truncated."""
-    w = packets(spark, d).groupBy("stream", F.floor(F.col("t") / (24 * HOUR)).alias("batch")).agg(F.count("*").alias("n"), F.max("bytes").alias("most"), F.sum("bytes").alias("total"))
+    w = packets(spark, d).groupBy("stream", floor_div(F.col("t"), 24 * HOUR).alias("batch")).agg(F.count("*").alias("n"), F.max("bytes").alias("most"), F.sum("bytes").alias("total"))
     error = F.when(F.col("n") > 6, "packets").when(F.col("most") > 9000, "packet_bytes").when(F.col("total") > 20000, "batch_bytes")
     return w.select("stream", "batch", error.alias("error")).where("error is not null")
 

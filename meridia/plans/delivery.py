@@ -41,9 +41,14 @@ def snk10_log(spark, d):
     return packets(spark, d).select("arrival", F.to_json(F.struct(F.col("t").alias("ts_ns"), F.col("stream").alias("session"), "kind", fields)).alias("line"))
 
 
-@q()
+@q(f"""WITH RECURSIVE {P}, n AS (SELECT stream, arrival, bytes, row_number() OVER (PARTITION BY stream ORDER BY t, arrival) AS i FROM p),
+ f AS (SELECT stream, CAST(1 AS BIGINT) AS i, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS waiting, CAST(0 AS BIGINT) AS held, CAST(NULL AS BIGINT) AS cause, CAST(NULL AS BIGINT) AS arrival FROM n WHERE i = 1
+  UNION ALL SELECT stream, CASE WHEN now IS NULL THEN i + 1 ELSE i END, CASE WHEN cause IS NOT NULL THEN waiting[2:] WHEN bytes > 0 THEN list_append(waiting, {{'a': a, 'b': bytes}}) ELSE waiting END, after, now, CASE WHEN cause IS NOT NULL THEN waiting[1].a END FROM
+   (SELECT *, CASE WHEN cause IS NOT NULL THEN CASE WHEN after > {30_000} THEN cause END WHEN after > {32_500} THEN a END AS now FROM
+    (SELECT f.stream, f.i, f.waiting, f.held, f.cause, n.arrival AS a, n.bytes, CASE WHEN f.cause IS NOT NULL THEN f.held - f.waiting[1].b WHEN n.bytes > 0 THEN f.held + n.bytes ELSE f.held END AS after FROM f JOIN n ON n.stream = f.stream AND n.i = f.i)))
+ SELECT stream, arrival, spilled_by AS cause, held FROM (SELECT x.stream, x.arrival, x.held, n.arrival AS spilled_by FROM (SELECT *, CASE WHEN cause IS NULL THEN i - 1 ELSE i END AS at FROM f WHERE arrival IS NOT NULL) x JOIN n ON n.stream = x.stream AND n.i = x.at)""")
 def ret7_spill(spark, d):
-    """RET-7, SNK-5: which row goes to disk, and on which arrival, with 40,000 bytes for a stream."""
+    """RET-7: which row goes to disk, and on which arrival, with 40,000 bytes for a stream."""
     rows = packets(spark, d).select("stream", "t", "arrival", "bytes")
     return folds.fold(rows, "stream", ["t", "arrival"], folds.spill(40_000), "stream long, arrival long, cause long, held long")
 
@@ -103,14 +108,26 @@ def sup25_dtvcc(spark, d):
     return captions.reassemble(x, "stream", ["t", "arrival"]).select("stream", "number", F.size("packet").cast("long").alias("n_bytes"), F.array_join(names, ",").alias("services"))
 
 
-@q()
+def _permits(source: str, limit: int) -> str:
+    """SQL: which rows of ``source`` (key, t, arrival, dur) find a permit."""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY t, arrival) AS i FROM {source}),
+ f AS (SELECT key, i, arrival, CAST(200 AS INTEGER) AS status, [t + dur] AS ends FROM n WHERE i = 1
+  UNION ALL SELECT key, i, arrival, CASE WHEN len(ends) < {limit} THEN 200 ELSE 503 END, CASE WHEN len(ends) < {limit} THEN list_append(ends, t + dur) ELSE ends END FROM (SELECT n.*, list_filter(f.ends, lambda e: e > n.t) AS ends FROM f JOIN n ON n.key = f.key AND n.i = f.i + 1))"""
+
+
+#: four streams share an address
+ADDRESS = "'10.' || stream // 262144 % 256 || '.' || stream // 1024 % 256 || '.' || stream // 4 % 256"
+
+
+@q(f"WITH RECURSIVE {P}, x AS (SELECT {ADDRESS} AS key, t, arrival, {12 * HOUR} AS dur FROM p), {_permits('x', 3)} SELECT key AS address, arrival, status, CAST(len(ends) AS INTEGER) AS held FROM f")
 def adm2_address(spark, d):
-    """ADM-2: publishers of an address (16 streams share one), at most 3 at once, 12 hours each."""
-    rows = packets(spark, d).select((F.col("stream") % 16).alias("address"), "t", "arrival", F.lit(12 * HOUR).alias("dur"))
-    return folds.fold(rows, "address", ["t", "arrival"], folds.permits(3), "address long, arrival long, status int, held int")
+    """ADM-2: publishers of an address, at most 3 at once, 12 hours each."""
+    parts = [F.expr(f"cast(stream div {n} % 256 as string)") for n in (262144, 1024, 4)]
+    rows = packets(spark, d).select(F.concat(F.lit("10."), parts[0], F.lit("."), parts[1], F.lit("."), parts[2]).alias("address"), "t", "arrival", F.lit(12 * HOUR).alias("dur"))
+    return folds.fold(rows, "address", ["t", "arrival"], folds.permits(3), "address string, arrival long, status int, held int")
 
 
-@q()
+@q(f"WITH RECURSIVE {P}, x AS (SELECT stream AS key, t, arrival, bytes * 10000000000 AS dur FROM p), {_permits('x', 2)} SELECT key AS stream, arrival, status, CAST(len(ends) AS INTEGER) AS held FROM f")
 def adm4_admission(spark, d):
     """ADM-4: requests of a stream that hold a permit until their body (ten seconds a byte) is read, at most 2."""
     rows = packets(spark, d).select("stream", "t", "arrival", (F.col("bytes") * 10**10).alias("dur"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from .inputs import HOUR, P, S, by_time, packets, samples, table
 from .registry import register
 
@@ -52,7 +53,7 @@ def evt6_retry(spark, d):
     """EVT-6, SNK-6: the first terminal attempt of five decides."""
     k = F.col("kind")
     verdict = F.when(k.isin("view", "purchase"), "delivered").when(k == "signup", "rejected").otherwise("retry")
-    a = packets(spark, d).withColumn("event", F.floor(F.col("t") / (48 * HOUR))).withColumn("verdict", verdict)
+    a = packets(spark, d).withColumn("event", floor_div(F.col("t"), 48 * HOUR)).withColumn("verdict", verdict)
     a = a.withColumn("attempt", F.row_number().over(Window.partitionBy("stream", "event").orderBy("t")))
     final = (F.col("verdict") != "retry") & (F.col("attempt") <= 5)
     f = a.groupBy("stream", "event").agg(F.count("*").alias("tries"), F.min(F.when(final, F.struct("attempt", "verdict"))).alias("x"))
@@ -70,7 +71,7 @@ def evt7_subscriptions(spark, d):
 @q(f"WITH {S} SELECT stream, publication, t // {24 * HOUR} AS day, count(*) AS parts, CAST(sum(bytes) AS BIGINT) AS bytes, list(arrival ORDER BY t) AS ordered FROM s WHERE kind <> 'error' GROUP BY 1, 2, 3")
 def snk2_recorder(spark, d):
     """SNK-2: what each recorded file holds, parts in order; a file's parts are a day's."""
-    g = samples(spark, d).where("kind <> 'error'").groupBy("stream", "publication", F.floor(F.col("t") / (24 * HOUR)).alias("day"))
+    g = samples(spark, d).where("kind <> 'error'").groupBy("stream", "publication", floor_div(F.col("t"), 24 * HOUR).alias("day"))
     return g.agg(F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), F.transform(F.array_sort(F.collect_list(F.struct("t", "arrival"))), lambda x: x["arrival"]).alias("ordered"))
 
 

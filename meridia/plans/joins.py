@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from ..operators.joins import as_of_forward, latest, overlap_join
 from .inputs import HOUR, L, P, S, packets, samples, table, tiles
 from .registry import register
@@ -32,7 +33,7 @@ def join1_unknown(spark, d):
 @q(f"WITH {P} SELECT t // {HOUR} AS instant FROM p WHERE ra GROUP BY 1 HAVING count(DISTINCT kind) = 2")
 def join2_common_keyframes(spark, d):
     """JOIN-2, SET-2: hours in which both kinds of random access occur."""
-    p = packets(spark, d).where("ra").withColumn("instant", F.floor(F.col("t") / HOUR))
+    p = packets(spark, d).where("ra").withColumn("instant", floor_div(F.col("t"), HOUR))
     return p.groupBy("instant").agg(F.countDistinct("kind").alias("n")).where("n = 2").select("instant")
 
 
@@ -40,7 +41,7 @@ def join2_common_keyframes(spark, d):
 def join3_covering(spark, d):
     """JOIN-3, JOIN-8: the unit that covers each boundary of a 12-hour grid."""
     s = samples(spark, d)
-    g = s.select("stream", ((F.floor(F.col("t") / GRID) + 1) * GRID).alias("b")).distinct().withColumn("b_end", F.col("b") + 1)
+    g = s.select("stream", ((floor_div(F.col("t"), GRID) + 1) * GRID).alias("b")).distinct().withColumn("b_end", F.col("b") + 1)
     return overlap_join(g, s.select("stream", "arrival", "t", (F.col("t") + F.col("dur")).alias("t_end")), "stream", "b", "b_end", "t", "t_end", 24 * HOUR).select("stream", "b", "arrival")
 
 
@@ -48,15 +49,15 @@ def join3_covering(spark, d):
 def join4_cut(spark, d):
     """JOIN-4: the first purchase at or after each boundary, forward as-of."""
     p = packets(spark, d)
-    g = p.select("stream", (F.floor(F.col("t") / GRID) * GRID).alias("b")).distinct()
+    g = p.select("stream", (floor_div(F.col("t"), GRID) * GRID).alias("b")).distinct()
     return as_of_forward(g, p.where("kind = 'purchase'").select("stream", "t", F.col("t").alias("cut")), "stream", "b", "t", "cut")
 
 
 @q(f"WITH {P}, g AS (SELECT DISTINCT stream, (t // {GRID}) * {GRID} AS b FROM p), c AS (SELECT g.stream, g.b, p.arrival, p.t - g.b AS off, row_number() OVER (PARTITION BY g.stream, g.b ORDER BY p.arrival) AS n FROM g JOIN p ON p.stream = g.stream AND p.ra AND p.t BETWEEN g.b - {2 * HOUR} AND g.b + {3 * HOUR}) SELECT stream, b, arrival, off FROM c WHERE n = 1")
 def join5_band(spark, d):
-    """JOIN-5, STR-12, SORT-2: the first keyframe within [-2 h, +3 h] of each boundary, both inclusive."""
+    """JOIN-5, SORT-2: the first keyframe within [-2 h, +3 h] of each boundary, both inclusive."""
     p = packets(spark, d)
-    g = p.select("stream", (F.floor(F.col("t") / GRID) * GRID).alias("b")).distinct().withColumn("lo", F.col("b") - 2 * HOUR).withColumn("hi", F.col("b") + 3 * HOUR + 1)
+    g = p.select("stream", (floor_div(F.col("t"), GRID) * GRID).alias("b")).distinct().withColumn("lo", F.col("b") - 2 * HOUR).withColumn("hi", F.col("b") + 3 * HOUR + 1)
     k = p.where("ra").select("stream", "arrival", "t", (F.col("t") + 1).alias("t_end"))
     hit = overlap_join(g, k, "stream", "lo", "hi", "t", "t_end", GRID)
     return hit.groupBy("stream", "b").agg(F.min(F.struct("arrival", (F.col("t") - F.col("b")).alias("off"))).alias("x")).select("stream", "b", "x.*")
@@ -66,7 +67,7 @@ def join5_band(spark, d):
 def join6_gap_split(spark, d):
     """JOIN-6, JOIN-7, STR-16: gaps of over 6 hours are copied to each 12-hour window they overlap, and clipped."""
     s = samples(spark, d).where(F.col("dur") > 6 * HOUR)
-    rows = s.withColumn("w", F.explode(F.sequence(F.floor(F.col("t") / GRID), F.floor((F.col("t") + F.col("dur") - 1) / GRID))))
+    rows = s.withColumn("w", F.explode(F.sequence(floor_div(F.col("t"), GRID), floor_div(F.col("t") + F.col("dur") - 1, GRID))))
     return rows.select("arrival", "w", F.greatest(F.col("t"), F.col("w") * GRID).alias("start"), F.least(F.col("t") + F.col("dur"), (F.col("w") + 1) * GRID).alias("stop"))
 
 
@@ -132,7 +133,40 @@ def set3_except(spark, d):
 
 @q("SELECT c_nationkey, min(c_custkey) AS first FROM customer GROUP BY 1 UNION SELECT s_nationkey, min(s_suppkey) FROM supplier GROUP BY 1")
 def set1_union(spark, d):
-    """SET-1, SET-4, SET-5: unions and distinct members."""
+    """SET-1: unions and distinct members."""
     c = table(spark, d, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("first"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.min("s_suppkey").alias("first"))
     return c.unionByName(s).distinct()
+
+
+@q("WITH v AS (SELECT l_suppkey AS stream, l_partkey AS rendition, min(l_orderkey) AS combination FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2) SELECT stream, rendition, combination, row_number() OVER (PARTITION BY stream ORDER BY combination, rendition) AS line FROM v")
+def set4_variants(spark, d):
+    """SET-4: of combinations (orders) with a primary rendition (the part on their first line) one variant line a
+    rendition, where the first combination that has it puts it."""
+    v = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_suppkey").alias("stream"), F.col("l_partkey").alias("rendition")).agg(F.min("l_orderkey").alias("combination"))
+    return v.withColumn("line", F.row_number().over(Window.partitionBy("stream").orderBy("combination", "rendition")))
+
+
+@q("WITH x AS (SELECT l_orderkey AS c, l_partkey AS g, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2) SELECT g AS alternate, count(*) FILTER (n > 1) AS combinations, bool_or(n = 1) AS primary_elsewhere FROM x GROUP BY 1 HAVING bool_or(n > 1)")
+def set5_alternates(spark, d):
+    """SET-5: groups (parts) that some combination (order) uses without their being its primary, once each."""
+    x = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_partkey").alias("alternate")).agg(F.min("l_linenumber").alias("n"))
+    g = x.groupBy("alternate").agg(F.count_if(F.col("n") > 1).alias("combinations"), F.bool_or(F.col("n") == 1).alias("primary_elsewhere"))
+    return g.where("combinations > 0")
+
+
+@q(f"WITH {P}, g AS (SELECT DISTINCT stream, (t // {GRID}) * {GRID} AS b FROM p), c AS (SELECT g.stream, g.b, arg_min(p.t, p.arrival) AS cut FROM g JOIN p ON p.stream = g.stream AND p.kind = 'view' AND p.t BETWEEN g.b - {2 * HOUR} AND g.b + {3 * HOUR} GROUP BY 1, 2), k AS (SELECT DISTINCT stream, kind FROM p WHERE kind IN ('click', 'purchase')), x AS (SELECT c.stream, c.b, c.cut, (SELECT min(t) FROM p WHERE p.stream = c.stream AND p.kind = k.kind AND p.t >= c.cut) AS sibling FROM c LEFT JOIN k ON k.stream = c.stream) SELECT stream, b, cut, count(sibling) + 1 AS tracks, coalesce(max(sibling), cut) AS latest FROM x GROUP BY 1, 2, 3 HAVING count(*) FILTER (sibling IS NULL AND EXISTS (SELECT 1 FROM k WHERE k.stream = x.stream)) = 0 AND coalesce(max(sibling), cut) <= cut + {48 * HOUR}")
+def str12_coordinated_cut(spark, d):
+    """STR-12: the authority (view) cuts at its first picture within [-2 h, +3 h] of a boundary, each other track at its
+    first unit from there on; all tracks cut, within 48 hours, or none does."""
+    p = packets(spark, d)
+    g = p.select("stream", (floor_div("t", GRID) * GRID).alias("b")).distinct().withColumn("lo", F.col("b") - 2 * HOUR).withColumn("hi", F.col("b") + 3 * HOUR + 1)
+    views = p.where("kind = 'view'").select("stream", "arrival", "t", (F.col("t") + 1).alias("t_end"))
+    c = overlap_join(g, views, "stream", "lo", "hi", "t", "t_end", GRID).groupBy("stream", "b").agg(F.min_by("t", "arrival").alias("cut"))
+    track = F.struct("stream", "kind")
+    units = p.where("kind in ('click', 'purchase')").withColumn("track", track)
+    kinds = units.select("stream", "kind").distinct()
+    asked = c.join(kinds, "stream").withColumn("track", track)
+    found = as_of_forward(asked, units.select("track", "t", F.col("t").alias("sibling")), "track", "cut", "t", "sibling").select("stream", "b", "sibling", F.lit(True).alias("asked"))
+    r = c.join(found, ["stream", "b"], "left").groupBy("stream", "b", "cut").agg((F.count("sibling") + 1).alias("tracks"), F.count("asked").alias("asked"), F.coalesce(F.max("sibling"), "cut").alias("latest"))
+    return r.where((F.col("tracks") == F.col("asked") + 1) & (F.col("latest") <= F.col("cut") + 48 * HOUR)).drop("asked")

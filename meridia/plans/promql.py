@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from ..operators.aggregates import histogram, histogram_quantile, rate_steps
 from .aggregates import bounds_sql
 from .inputs import HOUR, P, S, by_time, packets, samples
@@ -35,14 +36,14 @@ def steps(spark, d):
 @q(f"WITH {P}{STEP} SELECT stream, t // {DAY} AS day, CAST(sum(step) AS BIGINT) AS increase, CAST(sum(step) AS BIGINT) / 86400.0::DOUBLE AS rate FROM r GROUP BY 1, 2")
 def pq2_rate(spark, d):
     """PQ-2, PQ-4: increases and rates of counters a day."""
-    g = steps(spark, d).groupBy("stream", F.floor(F.col("t") / DAY).alias("day")).agg(F.sum("step").alias("increase"))
+    g = steps(spark, d).groupBy("stream", floor_div(F.col("t"), DAY).alias("day")).agg(F.sum("step").alias("increase"))
     return g.withColumn("rate", F.col("increase") / 86400.0)
 
 
 @q(f"WITH {P}{STEP} SELECT kind, t // {DAY} AS day, CAST(sum(step) AS BIGINT) AS increase FROM r GROUP BY 1, 2")
 def pq3_sum_rate(spark, d):
     """PQ-3: sums of rates by label; each series' resets are seen before the sum."""
-    return steps(spark, d).groupBy("kind", F.floor(F.col("t") / DAY).alias("day")).agg(F.sum("step").alias("increase"))
+    return steps(spark, d).groupBy("kind", floor_div(F.col("t"), DAY).alias("day")).agg(F.sum("step").alias("increase"))
 
 
 @q(f"WITH {P}, m AS (SELECT max(t) AS now FROM p) SELECT stream, (SELECT now FROM m) - max(t) AS age FROM p GROUP BY 1")

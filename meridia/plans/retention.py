@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from .inputs import HOUR, L, P, S, by_time, packets, samples, table, tiles
 from .registry import register
 
 QUERIES: dict = {}
 RETAIN = 120 * HOUR
 
-def after():
-    return by_time().rowsBetween(1, Window.unboundedFollowing)
+def newest_first():
+    return Window.partitionBy("stream").orderBy(F.col("t").desc(), F.col("arrival").desc())
 
 
 def whole():
@@ -27,8 +28,10 @@ KEPT = f", k AS (SELECT *, CAST(coalesce(sum(dur) OVER (PARTITION BY stream ORDE
 
 
 def window_rows(spark, d):
-    """A segment stays while fewer than 3 are newer or what is newer is shorter than the minimum: a suffix, so no recursion."""
-    s = samples(spark, d).withColumn("after", F.coalesce(F.sum("dur").over(after()), F.lit(0))).withColumn("newer", F.count("*").over(whole()) - F.col("seq"))
+    """A segment stays while fewer than 3 are newer or what is newer is shorter than the minimum: a suffix, so no recursion.
+    Sums run from the newest row back, so a frame only ever grows."""
+    newer = newest_first().rowsBetween(Window.unboundedPreceding, -1)
+    s = samples(spark, d).withColumn("after", F.coalesce(F.sum("dur").over(newer), F.lit(0))).withColumn("newer", (F.row_number().over(newest_first()) - 1).cast("long"))
     return s.withColumn("least", F.greatest(F.lit(RETAIN), 3 * F.max("dur").over(whole())))
 
 
@@ -115,7 +118,7 @@ def ret13_iframes(spark, d):
 @q(f"WITH {P}, k AS (SELECT stream, kind, t // {HOUR} AS rev, arrival, row_number() OVER (PARTITION BY stream, kind, t // {HOUR} ORDER BY arrival) AS n FROM p) SELECT kind, count(*) FILTER (n = 1) AS misses, count(*) FILTER (n > 1) AS hits FROM k GROUP BY 1")
 def ret14_cache(spark, d):
     """RET-14: single-flight cache keys: the first of each renders, others hit."""
-    g = packets(spark, d).groupBy("stream", "kind", F.floor(F.col("t") / HOUR).alias("rev")).agg(F.count("*").alias("n"))
+    g = packets(spark, d).groupBy("stream", "kind", floor_div(F.col("t"), HOUR).alias("rev")).agg(F.count("*").alias("n"))
     return g.groupBy("kind").agg(F.count("*").alias("misses"), (F.sum("n") - F.count("*")).alias("hits"))
 
 

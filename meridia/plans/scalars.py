@@ -185,7 +185,7 @@ def fn25_identity(spark, d):
 @q(f"WITH {P} SELECT arrival, stream || '/' || (arrival % 9) || '/' || strftime(make_timestamp(t // 1000), '%Y-%m-%d') || '.mp4' AS path FROM p WHERE kind <> 'error'")
 def snk3_path(spark, d):
     """SNK-3: recording paths from a pattern; unsafe components are refused."""
-    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / (86400 * 10**9)).cast("int")), "yyyy-MM-dd")
+    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), time.floor_div(F.col("t"), 86400 * 10**9).cast("int")), "yyyy-MM-dd")
     path = F.concat(F.col("stream").cast("string"), F.lit("/"), (F.col("arrival") % 9).cast("string"), F.lit("/"), day, F.lit(".mp4"))
     return packets(spark, d).where("kind <> 'error'").select("arrival", path.alias("path")).where(~F.col("path").rlike(r"(^|/)\.{0,2}(/|$)"))
 

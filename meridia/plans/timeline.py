@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from .inputs import HOUR, L, P, S, by_time, packets, samples, table, tiles
 from .registry import register
 
@@ -47,7 +48,7 @@ def str11_grid(spark, d):
     """STR-11: nominal boundaries: the first as given, later ones by a fractional period, never re-anchored."""
     from ..functions.time import idiv
     o = packets(spark, d).groupBy("stream").agg(F.min("t").alias("a"), F.max("t").alias("z"))
-    r = o.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor((F.col("z") - F.col("a")) / GRID)))))
+    r = o.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1).cast("long"), floor_div(F.col("z") - F.col("a"), GRID)))))
     later = idiv(F.lit(GRID).cast("decimal(38,0)") * F.col("k") * 1001 * 2 + 1000, 2000).cast("long")
     return r.select("stream", "k", F.when(F.col("k") == 1, F.col("a") + GRID).otherwise(F.col("a") + later).alias("nominal"))
 
@@ -57,8 +58,8 @@ def str13_missed(spark, d):
     """STR-13, STR-10: boundaries whose late edge has passed without a keyframe in their tolerance."""
     p = packets(spark, d)
     g = p.groupBy("stream").agg(F.min("t").alias("a"), F.max("t").alias("now"))
-    g = g.withColumn("k", F.explode(F.sequence(F.floor(F.col("a") / GRID) + 1, F.floor(F.col("now") / GRID)))).withColumn("b", F.col("k") * GRID)
-    near = F.floor((F.col("t") + 2 * HOUR) / GRID) * GRID
+    g = g.withColumn("k", F.explode(F.sequence(floor_div(F.col("a"), GRID) + 1, floor_div(F.col("now"), GRID)))).withColumn("b", F.col("k") * GRID)
+    near = floor_div(F.col("t") + 2 * HOUR, GRID) * GRID
     k = p.where("ra").groupBy("stream", near.alias("b")).agg(F.count("*").alias("n"), F.min(F.col("t") - near).alias("off"))
     r = g.join(k, ["stream", "b"], "left").where((F.col("now") > F.col("b") + 3 * HOUR) & (F.col("n").isNull() | (F.col("off") > 3 * HOUR)))
     return r.select("stream", "b", F.when(F.col("n").isNull(), "MissingKeyframe").otherwise("MisalignedKeyframes").alias("error"))
@@ -68,7 +69,7 @@ def str13_missed(spark, d):
 def str17_sealed_windows(spark, d):
     """STR-16, STR-17: windows are sealed by the stream's clock; sparse tracks still give empty ones."""
     s = samples(spark, d)
-    first, last = F.floor(F.col("t") / GRID), F.floor((F.col("t") + F.col("dur") - 1) / GRID)
+    first, last = floor_div(F.col("t"), GRID), floor_div(F.col("t") + F.col("dur") - 1, GRID)
     g = s.groupBy("stream").agg(F.min(first).alias("a"), F.max(last).alias("z")).select("stream", F.explode(F.sequence("a", "z")).alias("w"))
     c = s.where("kind = 'click'").select("stream", F.explode(F.sequence(first, last)).alias("w")).groupBy("stream", "w").agg(F.count("*").alias("n"))
     return g.join(c, ["stream", "w"], "left").select("stream", "w", F.coalesce("n", F.lit(0)).alias("cues"))
@@ -79,7 +80,7 @@ def str18_late_cues(spark, d):
     """STR-18: cues that end at or before the last sealed position are reported, not merged (every ninth is 30 hours late)."""
     w = Window.partitionBy("stream").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
     stop = F.col("t") - F.when(F.col("arrival") % 9 == 0, 30 * HOUR).otherwise(0) + HOUR
-    r = packets(spark, d).withColumn("stop", stop).withColumn("sealed", F.floor(F.max("t").over(w) / GRID) * GRID)
+    r = packets(spark, d).withColumn("stop", stop).withColumn("sealed", floor_div(F.max("t").over(w), GRID) * GRID)
     return r.where("stop <= sealed").select("stream", "arrival", "stop", "sealed")
 
 
@@ -94,7 +95,7 @@ def str19_replacement(spark, d):
 @q(f"WITH {S} SELECT arrival, (t + dur - 1) // {HOUR} - t // {HOUR} + 1 AS copies FROM s WHERE (t + dur - 1) // {HOUR} - t // {HOUR} + 1 > 24")
 def str21_guards(spark, d):
     """STR-21, STR-22: cues that would be copied to over 24 hour windows are refused before they are."""
-    n = F.floor((F.col("t") + F.col("dur") - 1) / HOUR) - F.floor(F.col("t") / HOUR) + 1
+    n = floor_div(F.col("t") + F.col("dur") - 1, HOUR) - floor_div(F.col("t"), HOUR) + 1
     return samples(spark, d).select("arrival", n.alias("copies")).where("copies > 24")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.time import floor_div
 from .inputs import HOUR, L, P, S, by_time, packets, samples, tiles
 from .registry import register
 
@@ -104,7 +105,7 @@ def win13_durations(spark, d):
 @q(f"WITH {S}, c AS (SELECT *, sum(dur // 2) OVER {W} AS c FROM s), x AS (SELECT *, max(t - c) OVER (PARTITION BY stream ORDER BY t, arrival) AS m FROM c) SELECT arrival, CAST(c + m AS BIGINT) AS due FROM x")
 def win15_ceiling(spark, d):
     """WIN-15, STR-5: a rate ceiling's schedule, s = max(s + m, wall), as a running maximum."""
-    r = samples(spark, d).withColumn("c", F.sum(F.floor(F.col("dur") / 2).cast("long")).over(so_far()))
+    r = samples(spark, d).withColumn("c", F.sum(floor_div(F.col("dur"), 2).cast("long")).over(so_far()))
     return r.select("arrival", (F.col("c") + F.max(F.col("t") - F.col("c")).over(so_far())).alias("due"))
 
 
@@ -135,7 +136,7 @@ def win21_composition(spark, d):
 @q(f"WITH {L} SELECT parent, idx, i, start + i * 15 AS piece_start, least(15, dur - i * 15) AS piece FROM (SELECT *, unnest(generate_series(0, (dur + 14) // 15 - 1)) AS i FROM l)")
 def win22_gap_parts(spark, d):
     """WIN-22: intervals split into pieces of at most 15, the last short."""
-    r = tiles(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("dur") + 14) / 15) - 1)))
+    r = tiles(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), floor_div(F.col("dur") + 14, 15) - 1)))
     return r.select("parent", "idx", "i", (F.col("start") + F.col("i") * 15).alias("piece_start"), F.least(F.lit(15), F.col("dur") - F.col("i") * 15).alias("piece"))
 
 
@@ -144,6 +145,6 @@ def win23_reconstruct(spark, d):
     """WIN-23: times before the first explicit one, counted backwards from it."""
     s = samples(spark, d)
     whole = Window.partitionBy("stream")
-    r = s.withColumn("anchor", F.min(F.when(F.col("kind") == "purchase", F.col("t"))).over(whole)).withColumn("rest", F.sum("dur").over(by_time().rowsBetween(0, Window.unboundedFollowing)))
+    r = s.withColumn("anchor", F.min(F.when(F.col("kind") == "purchase", F.col("t"))).over(whole)).withColumn("rest", F.sum("dur").over(Window.partitionBy("stream").orderBy(F.col("t").desc(), F.col("arrival").desc()).rowsBetween(Window.unboundedPreceding, 0)))
     r = r.withColumn("at", F.max(F.when(F.col("t") == F.col("anchor"), F.col("rest"))).over(whole))
     return r.where("t <= anchor").select("arrival", (F.col("anchor") - (F.col("rest") - F.col("at"))).alias("dts"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.time import floor_div
 from ..plans.inputs import micros
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -25,7 +26,7 @@ def events(spark: SparkSession, path: str, files_per_trigger: int | None = None)
 
 def daily(spark: SparkSession, path: str, lateness: str = "2 hours") -> DataFrame:
     """Counts by kind and day; later rows than the watermark are dropped by Spark."""
-    e = events(spark, path).withColumn("at", F.timestamp_micros(micros("ts"))).withColumn("day", F.floor(micros("ts") / F.lit(86_400_000_000)) * 86_400_000_000)
+    e = events(spark, path).withColumn("at", F.timestamp_micros(micros("ts"))).withColumn("day", floor_div(micros("ts"), 86_400_000_000) * 86_400_000_000)
     e = e.withWatermark("at", lateness)
     return e.groupBy(F.col("event_type").alias("kind"), "day").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("bytes"))
 

@@ -4,8 +4,10 @@ import itertools
 import json
 import random
 from fractions import Fraction
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from meridia.functions import text, time
@@ -50,33 +52,115 @@ def test_text(spark):
     assert text.subrip_to_vtt("<b>a") is None and text.subrip_to_vtt("{\\an8}a") is None
 
 
-def brute_parts(sizes, most):
-    n = len(sizes)
+def brute_parts(units, most):
     best = None
-    for cuts in itertools.product([0, 1], repeat=n - 1):
-        runs, now = [], 1
-        for c in cuts:
-            if c:
-                runs.append(now)
-                now = 1
-            else:
-                now += 1
-        runs.append(now)
-        at, ok = 0, True
-        for r in runs:
-            ok &= sum(sizes[at : at + r]) <= most
-            at += r
-        if ok and (best is None or (len(runs), [-r for r in runs]) < (len(best), [-r for r in best])):
-            best = runs
+    for cuts in itertools.product([0, 1], repeat=len(units) - 1):
+        runs, at = [[]], 0
+        for unit, cut in zip(units, (*cuts, 0)):
+            runs[-1].append(unit)
+            runs += [[]] if cut else []
+        ok = all(sum(u[0] for u in r) <= most for r in runs) and all(r[-1][2] and (sum(u[0] for u in r) * 100 >= most * 85 or any(u[1] for u in r)) for r in runs[:-1])
+        lengths = [len(r) for r in runs]
+        if ok and (best is None or (len(lengths), [-x for x in lengths]) < (len(best), [-x for x in best])):
+            best = lengths
     return best
 
 
-def test_fewest_parts():
+def test_partition():
     r = random.Random(1)
-    for _ in range(200):
-        sizes = [r.randint(1, 40) for _ in range(r.randint(1, 8))]
-        assert folds.fewest_parts(sizes, 60) == brute_parts(sizes, 60)
-    assert folds.fewest_parts([61], 60) is None and folds.fewest_parts([], 60) == []
+    for _ in range(400):
+        units = [(r.randint(1, 40), r.random() < 0.2, r.random() < 0.8) for _ in range(r.randint(1, 9))]
+        assert folds.partition(units, 60) == brute_parts(units, 60)
+    assert folds.partition([(61, True, True)], 60) is None and folds.partition([], 60) == []
+
+
+def run_fold(make, rows):
+    """A fold's results for one key, without Spark."""
+    step, finish = make("k")
+    return [x for r in rows for x in step(SimpleNamespace(**r))] + list(finish())
+
+
+def test_planned_parts():
+    r = random.Random(3)
+    for trial in range(200):
+        bound = trial % 2
+        rows, at = [], 0
+        for i in range(60):
+            d = r.randint(1, 30)
+            rows.append({"segment": i // 20, "start": at, "dur": d, "independent": r.random() < 0.3, "can_end": not bound or r.random() < 0.7})
+            at += d
+        got = run_fold(folds.planned_parts(60), rows)
+        by_start = {x["start"]: k for k, x in enumerate(rows)}
+        for n, (_, segment, part, start, size, units, error) in enumerate(got):
+            if error:
+                assert n == len(got) - 1
+                break
+            run = rows[by_start[start] : by_start[start] + units]
+            last = by_start[start] + units == 20 * (segment + 1)
+            assert size == sum(x["dur"] for x in run) <= 60 and all(x["segment"] == segment for x in run)
+            assert last or (run[-1]["can_end"] and (size * 100 >= 60 * 85 or any(x["independent"] for x in run)))
+        else:
+            assert sum(x[5] for x in got) == 60
+    # eager cuts alone would strand 30: 55 | 30 + 40 does not fit; the repair moves the cut
+    units = [{"segment": 0, "start": s, "dur": d, "independent": False, "can_end": True} for s, d in ((0, 30), (30, 25), (55, 30), (85, 26))]
+    assert [x[4:6] for x in run_fold(folds.planned_parts(60), units)] == [(55, 2), (56, 2)]
+    assert run_fold(folds.planned_parts(60), [units[0] | {"dur": 61}])[0][-1] == "too_long"
+
+
+def test_cadence():
+    rows = [{"t": t, "arrival": i} for i, t in enumerate((20, 0, 10, 51, 31, 41, 90, 70, 80))]
+    ok = run_fold(folds.cadence(10, 2, 2, False), rows)
+    assert [(x[1], x[2], x[3], x[4]) for x in ok] == [(1, "picture", 0, 0), (2, "picture", 10, 0), (0, "picture", 20, 0), (4, "picture", 30, 1), (5, "picture", 40, 1), (3, "picture", 50, 1), (7, "gap", 60, 10), (8, "picture", 80, 0), (6, "picture", 90, 0)]
+    strict = run_fold(folds.cadence(10, 2, 2, True), rows)
+    assert strict[:6] == ok[:6] and strict[6][1:] == (7, "error", 60, 10) and len(strict) == 7
+    # exactly at the tolerance, one past it, and early
+    assert [x[2] for x in run_fold(folds.cadence(10, 2, 0, True), [{"t": t, "arrival": 0} for t in (0, 12, 18, 33)])] == ["picture", "picture", "picture", "error"]
+    assert [x[2] for x in run_fold(folds.cadence(10, 2, 0, False), [{"t": t, "arrival": 0} for t in (0, 7, 20)])] == ["picture", "error"]
+
+
+def test_drift():
+    rows = [{"t": t, "arrival": t, "media": m, "held": h} for t, m, h in ((0, 0, 0), (10, 9, 0), (20, 8, 0), (30, 9, 0), (40, 10, 0), (50, 8, 2), (60, 7, 2))]
+    assert run_fold(folds.drift(10, (9, 10), (19, 20)), rows) == [("k", 20, 10, 8, True), ("k", 40, 10, 10, False), ("k", 60, 8, 7, True)]
+
+
+def test_lru():
+    rows = [{"arrival": i, "entry": e, "epoch": p, "bytes": b} for i, (e, p, b) in enumerate((("a", 0, 40), ("b", 1, 40), ("a", 0, 40), ("c", 1, 40), ("b", 1, 40), ("d", 1, 60), ("e", 2, 200)))]
+    # a is stale though just touched; then c before b, which was touched later; too large an entry empties the cache
+    assert [(x[1], x[2], x[3]) for x in run_fold(folds.lru(100), rows)] == [(3, "a", True), (5, "c", False), (6, "b", True), (6, "d", True)]
+
+
+def test_folds_keep_long_and_null_keys(spark):
+    big = 2**60
+    rows = [(big + 1, 1, 10), (big + 2, 1, 10), (None, 1, 10), (None, 2, 11), (big + 1, 2, None)]
+    df = spark.createDataFrame(rows, "stream long, arrival long, t long").repartition(1)
+    got = folds.fold(df, "stream", ["arrival"], folds.density(100, 5), "stream long, start long, packets long, dense boolean").collect()
+    # the row without a time is passed over
+    assert sorted(((x.stream, x.packets) for x in got), key=str) == sorted([(big + 1, 1), (big + 2, 1), (None, 2)], key=str)
+
+
+def test_floor_division_is_exact(spark):
+    grid = 12 * 3600 * 10**9
+    values = [k * grid + d for k in (-3, 0, 1, 39_500, 39_501) for d in (-1, 0, 1)] + [2**63 - 1, -(2**63) + grid]
+    rows = spark.createDataFrame([(v,) for v in values], "t long").select("t", time.floor_div("t", grid).alias("k")).collect()
+    assert all(x.k == x.t // grid for x in rows)
+
+
+def test_one_long_stream_takes_linear_time(spark):
+    import time as clock
+
+    from meridia.plans import retention
+
+    n = 200_000
+    began = clock.time()
+    left = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 7).alias("t"))
+    right = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 11).alias("s"), F.col("id").alias("v"))
+    got = as_of_forward(left, right, "k", "t", "s", "v").agg(F.count("v").alias("n"), F.sum("v").alias("sum")).first()
+    want = [-(-i * 7 // 11) for i in range(n)]
+    assert (got.n, got.sum) == (n, sum(want))
+    newer = retention.newest_first().rowsBetween(Window.unboundedPreceding, -1)
+    s = spark.range(n).select(F.lit(1).alias("stream"), F.col("id").alias("t"), F.col("id").alias("arrival"), F.lit(2).alias("dur"))
+    assert s.withColumn("after", F.sum("dur").over(newer)).agg(F.max("after")).first()[0] == 2 * (n - 1)
+    assert clock.time() - began < 60  # a frame that is summed anew for each row takes hours
 
 
 def test_gap_fold(spark):
