@@ -164,3 +164,32 @@ def subrip_to_vtt(text: str) -> str | None:
         else:
             return None
     return None if open_tags else "".join(out)
+
+
+def attribute_list(attributes: list[tuple[str, Column, bool]]) -> Column:
+    """NAME=value,... of (name, value, quoted): null values are left out; a quoted one that holds a quote
+    or a line's end makes the whole list null."""
+    out, bad = [], F.lit(False)
+    for name, value, quoted in attributes:
+        if quoted:
+            bad = bad | F.coalesce(value.rlike('["\\n\\r]'), F.lit(False))
+            value = F.concat(F.lit('"'), value, F.lit('"'))
+        out.append(F.concat(F.lit(name + "="), value))
+    return F.when(~bad, F.concat_ws(",", *out))
+
+
+def proxy_header(line: Column) -> Column:
+    """A text PROXY header as (address, port, error): one space between six fields, a whole address of
+    the stated family, a port of 16 bits. The address of UNKNOWN ones is the peer's, told as 'peer'."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    group = "[0-9A-Fa-f]{1,4}"
+    v6 = f"(?=[0-9A-Fa-f:]+$)(?:(?:{group}:){{7}}{group}|(?=(?:[0-9A-Fa-f]*:){{2,7}}[0-9A-Fa-f]*$)(?!.*::.*::)(?!.*:::)(?:{group})?(?::{group})*::(?:{group}:)*(?:{group})?)"
+    f = F.split(line, " ", -1)
+    family, source, port = (F.get(f, F.lit(i)) for i in (1, 2, 4))
+    fits = ((family == "TCP4") & source.rlike(f"^(?:{octet}\\.){{3}}{octet}$")) | ((family == "TCP6") & source.rlike(f"^{v6}$"))
+    number = F.when(port.rlike(r"^\+?[0-9]{1,9}$"), port.cast("int"))
+    ok = F.coalesce((F.size(f) == 6) & (F.get(f, F.lit(0)) == "PROXY") & fits & (number <= 65535), F.lit(False))
+    unknown = F.coalesce(line.startswith("PROXY UNKNOWN ") | (line == "PROXY UNKNOWN"), F.lit(False))
+    return F.struct(
+        F.when(unknown, F.lit("peer")).when(ok, source).alias("address"), F.when(~unknown & ok, number).alias("port"), F.when(~unknown & ~ok, "malformed").alias("error")
+    )

@@ -23,7 +23,7 @@ def bounds_sql(value: str) -> str:
 
 @q(f"WITH {P} SELECT stream, count(*) FILTER (kind = 'view') AS video, count(*) FILTER (kind = 'click') AS audio, count(*) FILTER (kind NOT IN ('view', 'click')) AS subtitle FROM p GROUP BY 1")
 def agg1_kinds(spark, d):
-    """AGG-1, AGG-2, AGG-24: conditional counts in one pass."""
+    """AGG-1, AGG-24: conditional counts in one pass."""
     k = F.col("kind")
     return packets(spark, d).groupBy("stream").agg(F.count_if(k == "view").alias("video"), F.count_if(k == "click").alias("audio"), F.count_if(~k.isin("view", "click")).alias("subtitle"))
 
@@ -66,7 +66,7 @@ def agg11_compensation(spark, d):
 
 @q(f"WITH {S} SELECT stream, max(greatest(1, (dur + 500000000) // 1000000000)) AS target, min(dur) FILTER (ra) AS part FROM s GROUP BY 1")
 def agg13_targets(spark, d):
-    """AGG-13, AGG-14, AGG-15: target durations: greatest, rounded half up; least non-null part."""
+    """AGG-13, AGG-14: target durations: greatest, rounded half up; least non-null part."""
     from ..functions.time import target_seconds
     return samples(spark, d).groupBy("stream").agg(F.max(target_seconds("dur")).alias("target"), F.min(F.when(F.col("ra"), F.col("dur"))).alias("part"))
 
@@ -96,7 +96,7 @@ def agg19_captions(spark, d):
 
 @q(f"WITH {L} SELECT CAST(sum(dur) AS BIGINT) AS held, CAST(max(start + dur) AS BIGINT) AS depth, CAST(sum(CASE WHEN ra THEN bytes ELSE 0 END) AS BIGINT) AS memory, CAST(sum(CASE WHEN ra THEN 0 ELSE bytes END) AS BIGINT) AS disk FROM l")
 def agg22_depth(spark, d):
-    """AGG-22, AGG-23: retention depth and bytes by tier, over the node."""
+    """AGG-22: retention depth and bytes by tier, over the node."""
     b = F.col("bytes")
     return tiles(spark, d).agg(F.sum("dur").alias("held"), F.max(F.col("start") + F.col("dur")).alias("depth"), F.sum(F.when(F.col("ra"), b).otherwise(0)).alias("memory"), F.sum(F.when(F.col("ra"), 0).otherwise(b)).alias("disk"))
 
@@ -118,14 +118,15 @@ def agg26_addresses(spark, d):
     return table(spark, d, "customer").groupBy(client.alias("client")).agg(F.count("*").alias("held"))
 
 
-@q(f"WITH {S}, g AS (SELECT kind, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS v FROM s GROUP BY 1) SELECT string_agg(line, chr(10) ORDER BY o) AS text FROM (SELECT kind || '0' AS o, 'bytes_total{{stream=\"' || kind || '\"}} ' || v AS line FROM g UNION ALL SELECT ' ', '# TYPE bytes_total counter')")
+@q(f"""WITH {S}, g AS (SELECT stream, kind, CAST(sum(bytes) AS BIGINT) AS v FROM s GROUP BY 1, 2) SELECT 'bytes_total' AS family, stream AS a, kind || '"' || chr(10) || chr(92) AS b, 'bytes_total{{stream="' || stream || '",kind="' || kind || chr(92) || '"' || chr(92) || 'n' || chr(92) || chr(92) || '"}} ' || v AS line FROM g UNION ALL SELECT 'bytes_total', NULL, NULL, '# TYPE bytes_total counter'""")
 def snk7_exposition(spark, d):
-    """SNK-7: counters as exposition text, series sorted by label."""
+    """SNK-7: counters as lines of exposition text, with the columns that order them: a family's type comes first. Label
+    values (here with a quote, a line feed and a backslash) are escaped. A writer sorts by range; no task holds all lines."""
     from ..functions.text import escape_label
-    g = samples(spark, d).groupBy("kind").agg(F.sum("bytes").alias("v"))
-    lines = g.select(F.concat("kind", F.lit("0")).alias("o"), F.concat(F.lit('bytes_total{stream="'), escape_label(F.col("kind")), F.lit('"} '), F.col("v").cast("string")).alias("line"))
-    lines = lines.unionByName(spark.range(1).select(F.lit(" ").alias("o"), F.lit("# TYPE bytes_total counter").alias("line")))
-    return lines.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    g = samples(spark, d).groupBy("stream", "kind").agg(F.sum("bytes").alias("v")).withColumn("b", F.concat("kind", F.lit('"\n\\')))
+    line = F.concat(F.lit('bytes_total{stream="'), F.col("stream").cast("string"), F.lit('",kind="'), escape_label(F.col("b")), F.lit('"} '), F.col("v").cast("string"))
+    head = spark.range(1).select(F.lit("bytes_total").alias("family"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("string").alias("b"), F.lit("# TYPE bytes_total counter").alias("line"))
+    return g.select(F.lit("bytes_total").alias("family"), F.col("stream").alias("a"), "b", line.alias("line")).unionByName(head)
 
 
 @q(f"WITH {L} SELECT parent, CAST(sum(dur) AS BIGINT) AS video, CAST(max(start + dur) - min(start) AS BIGINT) AS audio, bool_or(ra) AS independent, CAST(sum(bytes) AS BIGINT) AS bytes FROM l GROUP BY 1")

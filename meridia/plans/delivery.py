@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -26,8 +23,7 @@ def q(sql=None):
 @q(f"WITH {P} SELECT kind, arrival % 2 AS batch, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY 1, 2")
 def snk1_store(spark, d):
     """SNK-1, SNK-4: two batches committed to a store, one of them once more, and what readers see."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    root = f"{shared}/store-{uuid.uuid4().hex}"
+    root = store.shared_folder(spark, "store")
     rows = packets(spark, d).select("arrival", "kind", "bytes")
     for batch in (0, 1, 1):
         store.commit(rows.where(F.col("arrival") % 2 == batch), root, batch)

@@ -68,11 +68,13 @@ def evt7_subscriptions(spark, d):
     return packets(spark, d).join(F.broadcast(subs), "kind", "left").groupBy("kind").agg(F.count("hit").alias("delivered"), F.count_if(F.col("hit").isNull()).alias("filtered"))
 
 
-@q(f"WITH {S} SELECT stream, publication, t // {24 * HOUR} AS day, count(*) AS parts, CAST(sum(bytes) AS BIGINT) AS bytes, list(arrival ORDER BY t) AS ordered FROM s WHERE kind <> 'error' GROUP BY 1, 2, 3")
+@q(f"WITH {S} SELECT arrival, stream || '/' || publication || '/' || t // {24 * HOUR} AS file, row_number() OVER w AS part, CAST(coalesce(sum(bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place FROM s WHERE kind <> 'error' WINDOW w AS (PARTITION BY stream, publication, t // {24 * HOUR} ORDER BY t, arrival)")
 def snk2_recorder(spark, d):
-    """SNK-2: what each recorded file holds, parts in order; a file's parts are a day's."""
-    g = samples(spark, d).where("kind <> 'error'").groupBy("stream", "publication", floor_div(F.col("t"), 24 * HOUR).alias("day"))
-    return g.agg(F.count("*").alias("parts"), F.sum("bytes").alias("bytes"), F.transform(F.array_sort(F.collect_list(F.struct("t", "arrival"))), lambda x: x["arrival"]).alias("ordered"))
+    """SNK-2: the recorded file (a day of a publication) that each part is in, its number there and its place in bytes."""
+    s = samples(spark, d).where("kind <> 'error'").withColumn("day", floor_div("t", 24 * HOUR))
+    w = Window.partitionBy("stream", "publication", "day").orderBy("t", "arrival")
+    place = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return s.select("arrival", F.concat_ws("/", "stream", "publication", "day").alias("file"), F.row_number().over(w).alias("part"), place.alias("place"))
 
 
 @q("SELECT event_type AS kind, CAST(epoch_us(date_trunc('day', ts)) AS BIGINT) AS day, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY 1, 2")

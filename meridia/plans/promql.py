@@ -21,7 +21,7 @@ def q(sql=None):
 
 @q(f"WITH {P} SELECT stream, kind, arg_max(bytes, t) AS value FROM p WHERE regexp_matches(kind, '^(view|click)$') GROUP BY 1, 2")
 def pq1_instant(spark, d):
-    """PQ-1, PQ-15: latest values of series whose label matches."""
+    """PQ-1: latest values of series whose label matches."""
     return packets(spark, d).where(F.col("kind").rlike("^(view|click)$")).groupBy("stream", "kind").agg(F.max_by("bytes", "t").alias("value"))
 
 
@@ -83,7 +83,7 @@ def pq10_or_zero(spark, d):
 
 @q(f"WITH {P} SELECT stream, round(count(*) FILTER (kind = 'error') * 1.0::DOUBLE / nullif(count(*), 0), 9) AS ratio FROM p GROUP BY 1")
 def pq11_ratio(spark, d):
-    """PQ-11, PQ-14: error shares, guarded against no requests."""
+    """PQ-11: error shares, guarded against no requests."""
     return packets(spark, d).groupBy("stream").agg(F.round(F.try_divide(F.count_if(F.col("kind") == "error").cast("double"), F.count("*")), 9).alias("ratio"))
 
 

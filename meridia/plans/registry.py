@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("scalars", "predicates", "joins", "aggregates", "windows", "timeline", "retention", "playlists", "promql", "events", "folds", "supplement", "delivery")
+MODULES = ("scalars", "predicates", "joins", "aggregates", "windows", "timeline", "retention", "playlists", "promql", "events", "folds", "supplement", "delivery", "control")
 
 
 def _all() -> dict:

@@ -66,7 +66,7 @@ def ret5_discontinuity(spark, d):
 
 @q(f"WITH {S}, r AS (SELECT *, sum(bytes) OVER (PARTITION BY stream ORDER BY t DESC, arrival DESC) AS newer_bytes, row_number() OVER (PARTITION BY stream ORDER BY t DESC) AS n FROM s) SELECT stream, arrival FROM r WHERE newer_bytes > 100000 AND n > 3")
 def ret6_shed(spark, d):
-    """RET-6, LIM-1: oldest first until the rest fits its byte cap; three segments always stay."""
+    """RET-6: oldest first until the rest fits its byte cap; three segments always stay."""
     w = Window.partitionBy("stream").orderBy(F.col("t").desc(), F.col("arrival").desc())
     r = samples(spark, d).withColumn("held", F.sum("bytes").over(w)).withColumn("n", F.row_number().over(w))
     return r.where("held > 100000 and n > 3").select("stream", "arrival")
@@ -74,7 +74,7 @@ def ret6_shed(spark, d):
 
 @q(f"WITH {P}, m AS (SELECT max(t) AS now FROM p), g AS (SELECT stream, max(t) AS seen FROM p WHERE kind <> 'error' GROUP BY 1) SELECT stream, now - seen > {30 * HOUR} AS retired FROM g, m")
 def ret9_idle(spark, d):
-    """RET-8, RET-9: streams without a lease for 30 hours are retired."""
+    """RET-9: streams without a lease for 30 hours are retired."""
     p = packets(spark, d)
     return p.where("kind <> 'error'").groupBy("stream").agg(F.max("t").alias("seen")).join(F.broadcast(p.agg(F.max("t").alias("now")))).select("stream", (F.col("now") - F.col("seen") > 30 * HOUR).alias("retired"))
 
@@ -110,7 +110,7 @@ def ret12_average_bitrate(spark, d):
 
 @q(f"WITH {L}, c AS (SELECT *, lag(start + dur) OVER (PARTITION BY parent ORDER BY idx) AS prev FROM l) SELECT parent, CASE WHEN bool_or(prev > start OR dur <= 0) THEN 1 ELSE count(*) END AS entries FROM c GROUP BY 1")
 def ret13_iframes(spark, d):
-    """RET-13, PL-2: byte ranges in order; an invalid index is one gap."""
+    """RET-13: byte ranges in order; an invalid index is one gap."""
     c = tiles(spark, d).withColumn("prev", F.lag(F.col("start") + F.col("dur")).over(Window.partitionBy("parent").orderBy("idx")))
     return c.groupBy("parent").agg(F.when(F.bool_or((F.col("prev") > F.col("start")) | (F.col("dur") <= 0)), 1).otherwise(F.count("*")).cast("long").alias("entries"))
 
@@ -143,6 +143,6 @@ def sup19_pruning(spark, d):
 
 @q("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 30) UNION SELECT max(p_partkey) FROM part")
 def sup21_unreachable(spark, d):
-    """SUP-21, SUP-22, SET-3: headers nothing refers to, and the current one."""
+    """SUP-21, SET-3: headers nothing refers to, and the current one."""
     p = table(spark, d, "part").select("p_partkey")
     return p.join(table(spark, d, "lineitem").where("l_quantity > 30"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").union(p.agg(F.max("p_partkey"))).distinct()

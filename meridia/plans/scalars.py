@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text, time
@@ -83,14 +83,41 @@ def fn3_cue_text(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", text.cue_text_error(c).alias("error"), F.octet_length(n).cast("long").alias("bytes"), text.cue_setting_ok(n).alias("setting"))
 
 
-@q()
+#: markup round a text: (before, after) and what becomes of both, null where the cue is refused
+SUBRIP = (
+    ("<i>", "</i>", "<i>", "</i>"), ("<font color=red>", "</font>", "", ""), ("", " & x &amp; <", "", " &amp; x &amp; &lt;"), ("<b><i>", "</b></i>", None, None), ("{\\an8}", "", None, None),
+    ("<B>", "</b>", "<b>", "</b>"), ("<b>", "", None, None), ("<s>", "</s>", "&lt;s&gt;", "&lt;/s&gt;"), ("1 < 2 > 0 ", "", "1 &lt; 2 &gt; 0 ", ""), ("</u>", "", None, None),
+    ("<u class=x>", "<font><i></i></font></u>", "<u>", "<i></i></u>"), ("<i/>", "</i>", "<i>", "</i>"), ("&lt;&nbsp;&unknown;", "", "&lt;&nbsp;&amp;unknown;", ""),
+)
+
+
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _choice(rows: tuple, of: str, column: int) -> str:
+    """SQL: the column of the row with number ``of``, as text."""
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {_sql_text(r[column])}" for i, r in enumerate(rows)) + " END"
+
+
+def _pick(rows: tuple, of, column: int):
+    out = F.lit(None).cast("string")
+    for i, r in enumerate(rows):
+        out = F.when(of == i, F.lit(r[column])).otherwise(out)
+    return out
+
+
+@q(f"SELECT conv_id, turn, {_choice(SUBRIP, f'(conv_id * 7 + turn) % {len(SUBRIP)}', 2)} || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || {_choice(SUBRIP, f'(conv_id * 7 + turn) % {len(SUBRIP)}', 3)} AS vtt FROM conversations")
 def fn6_subrip(spark, d):
-    """FN-6: SubRip markup to WebVTT, a stack of open tags (Arrow UDF)."""
-    @F.pandas_udf("string")
-    def convert(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else text.subrip_to_vtt(x))
-    odd = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("<i>"), "text", F.lit("</i>"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("<font color=red>"), "text", F.lit("</font> & <b>"))).otherwise(F.col("text"))
-    return table(spark, d, "conversations").select("conv_id", "turn", convert(odd).alias("vtt"))
+    """FN-6: SubRip markup to WebVTT, a stack of open tags (Arrow batches)."""
+    k = (F.col("conv_id") * 7 + F.col("turn")) % len(SUBRIP)
+    odd = F.concat(_pick(SUBRIP, k, 0), "text", _pick(SUBRIP, k, 1))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if x is None else text.subrip_to_vtt(x) for x in b.column(2).to_pylist()], pa.string())], names=["conv_id", "turn", "vtt"])
+
+    return table(spark, d, "conversations").select("conv_id", "turn", odd.alias("t")).mapInArrow(run, "conv_id long, turn long, vtt string")
 
 
 @q("SELECT page_id, url_decode(replace(url, '+', '%2B')) AS decoded, string_split(regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '^/', ''), '/') AS parts, regexp_extract(url, '[?&]page=([^&#]*)', 1) AS page FROM pages WHERE NOT regexp_matches(url, '%([^0-9A-Fa-f]|$)') AND NOT list_has_any(string_split(regexp_replace(regexp_extract(url, '://([^?#]*)', 1), '^/', ''), '/'), ['', '.', '..'])")
@@ -101,11 +128,23 @@ def fn7_url_parts(spark, d):
     return rows.where("decoded is not null and parts is not null")
 
 
-@q("SELECT o_orderkey, CAST(o_custkey % 7 AS VARCHAR) AS msn, CAST(o_orderkey % 5 AS VARCHAR) AS part, CASE WHEN o_orderkey % 2 = 0 THEN 'YES' END AS skip FROM orders")
+#: query strings: what stands before and after a number, and whether each of three directives is that number or a text
+QUERY = (
+    ("_HLS_msn=", "", "#", None, None), ("x=1&_HLS_msn=99&_HLS_part=", "&_HLS_msn=3", "3", "#", None), ("_HLS_skip=YES&_HLS_msn=", "&_HLS_skip=v2", "#", None, "v2"), ("", "", None, None, None),
+    ("_hls_msn=", "&_HLS_MSN=1", None, None, None), ("_HLS_msn=1&_HLS_msn=", "&_HLS_part=", "#", "", None), ("a&b&_HLS_part=", "&&", None, "#", None), ("_HLS_msnx=1&x_HLS_msn=", "", None, None, None),
+    ("_HLS_msn=5&_HLS_skip=", "", "5", None, "#"), ("_HLS_part=7&_HLS_msn=", "&_HLS_part=8", "#", "8", None), ("_HLS_msn", "=", None, None, None),
+)
+
+
+def _directive(column: int) -> str:
+    return f"replace({_choice(QUERY, f'o_orderkey % {len(QUERY)}', column)}, '#', CAST(o_custkey AS VARCHAR))"
+
+
+@q(f"SELECT o_orderkey, CASE WHEN o_orderkey % {len(QUERY)} = 10 THEN NULL ELSE {_directive(2)} END AS msn, {_directive(3)} AS part, {_directive(4)} AS skip FROM orders")
 def fn9_directives(spark, d):
-    """FN-9: playlist directives; unknown ones are ignored and the last of a name counts."""
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    query = F.concat(F.lit("x=1&_HLS_msn=99&_HLS_part="), (k % 5).cast("string"), F.lit("&_HLS_msn="), (c % 7).cast("string"), F.when(k % 2 == 0, "&_HLS_skip=YES").otherwise(""))
+    """FN-9: playlist directives; unknown ones are ignored, names count as they are written, and the last of a name counts."""
+    k = F.col("o_orderkey") % len(QUERY)
+    query = F.concat(_pick(QUERY, k, 0), F.when(~k.isin(3), F.col("o_custkey").cast("string")).otherwise(""), _pick(QUERY, k, 1))
     return table(spark, d, "orders").select("o_orderkey", *[text.directive(query, f"_HLS_{n}").alias(n) for n in ("msn", "part", "skip")])
 
 
@@ -120,11 +159,17 @@ def fn11_range(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.byte_range(h, F.lit(500).cast("long")).alias("r")).select("o_orderkey", "r.*")
 
 
-@q("SELECT o_orderkey, o_orderkey % 6 IN (0, 2, 4) AS gzip FROM orders")
+#: headers, and whether they accept gzip
+ACCEPT = (
+    ("gzip, br", 1), ("br", 0), ("gzip;q=0.5", 1), ("gzip;q=0, *", 0), ("*", 1), ("*;q=0", 0), ("", 0), ("GZIP", 1), ("br;q=1.0 , gzip ; q=0.001", 1), ("gzip;q=0.000", 0),
+    ("identity;q=1, *;q=0.1", 1), ("xgzip", 0), ("deflate,gzip", 1), ("gzip;q=0,gzip;q=1", 0),
+)
+
+
+@q(f"SELECT o_orderkey, o_orderkey % {len(ACCEPT)} IN ({', '.join(str(i) for i, x in enumerate(ACCEPT) if x[1])}) AS gzip FROM orders")
 def fn14_accept_gzip(spark, d):
-    """FN-14: Accept-Encoding."""
-    headers = ["gzip, br", "br", "gzip;q=0.5", "gzip;q=0, *", "*", "*;q=0"]
-    h = F.element_at(F.array(*[F.lit(x) for x in headers]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    """FN-14: Accept-Encoding: the first entry that names gzip decides, else one for all; its quality must not be 0."""
+    h = _pick(ACCEPT, F.col("o_orderkey") % len(ACCEPT), 0)
     return table(spark, d, "orders").select("o_orderkey", text.accepts_gzip(h).alias("gzip"))
 
 
@@ -134,20 +179,29 @@ def fn15_escape(spark, d):
     return table(spark, d, "pages").select("page_id", text.escape_label(F.col("html")).alias("label"))
 
 
-@q()
+#: templates, and their values where SRC is the document's source, EMPTY is empty and NONE is not defined
+TEMPLATES = (
+    ("$${a} ${SRC} ${NONE:-other} $1", "${a} {SRC} other $1"), ("${EMPTY:-d}${SRC}", "d{SRC}"), ("${EMPTY}x", "x"), ("$", "$"), ("$$$$", "$$"), ("a${SRC:-b}c", "a{SRC}c"), ("${NONE:-}", ""),
+    ("${NONE:-${SRC}", "${SRC"), ("é${SRC}$", "é{SRC}$"), ("${NONE}", None), ("${SRC", None), ("$ {SRC}", "$ {SRC_}"),
+)
+
+
+@q(f"SELECT doc_id, replace(replace({_choice(TEMPLATES, f'doc_id % {len(TEMPLATES)}', 1)}, '{{SRC}}', source), '{{SRC_}}', '{{SRC}}') AS value FROM documents")
 def fn16_interpolate(spark, d):
-    """FN-16: configuration interpolation (Arrow UDF)."""
-    @F.pandas_udf("string")
-    def fill(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: text.interpolate("$${a} ${SRC} ${NONE:-other} $1", {"SRC": x}))
-    return table(spark, d, "documents").select("doc_id", fill("source").alias("value"))
+    """FN-16: configuration interpolation, over templates in Arrow batches; null where a name is undefined or a brace open."""
+    def value(template: str, source: str | None) -> str | None:
+        try:
+            return text.interpolate(template, {"SRC": source, "EMPTY": ""})
+        except ValueError:
+            return None
 
+    def run(batches):
+        for b in batches:
+            got = [value(t, s) for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=["doc_id", "value"])
 
-@q("SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN 4 END, CASE WHEN o_orderkey % 3 = 0 THEN 3 END, CASE WHEN o_orderkey % 2 = 0 THEN 2 END, 1) AS value FROM orders")
-def fn17_layers(spark, d):
-    """FN-17: command line over environment over file over default."""
-    k = F.col("o_orderkey")
-    return table(spark, d, "orders").select("o_orderkey", F.coalesce(F.when(k % 5 == 0, 4), F.when(k % 3 == 0, 3), F.when(k % 2 == 0, 2), F.lit(1)).alias("value"))
+    rows = table(spark, d, "documents").select("doc_id", _pick(TEMPLATES, F.col("doc_id") % len(TEMPLATES), 0).alias("t"), "source")
+    return rows.mapInArrow(run, "doc_id long, value string")
 
 
 @q("SELECT p_partkey, CAST(a // gcd(a, 100) AS BIGINT) AS num, CAST(100 // gcd(a, 100) AS BIGINT) AS den FROM (SELECT p_partkey, (p_size * 100 + p_partkey % 100)::BIGINT AS a FROM part) WHERE a > 0")
@@ -188,11 +242,3 @@ def snk3_path(spark, d):
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), time.floor_div(F.col("t"), 86400 * 10**9).cast("int")), "yyyy-MM-dd")
     path = F.concat(F.col("stream").cast("string"), F.lit("/"), (F.col("arrival") % 9).cast("string"), F.lit("/"), day, F.lit(".mp4"))
     return packets(spark, d).where("kind <> 'error'").select("arrival", path.alias("path")).where(~F.col("path").rlike(r"(^|/)\.{0,2}(/|$)"))
-
-
-@q("SELECT doc_id, CASE WHEN split_part(source, 'src', 2)::INT % 4 = 0 THEN 'v1 ' || doc_id % 256 ELSE 'none' END AS proxy FROM documents")
-def fn23_proxy(spark, d):
-    """FN-23: text PROXY headers by pattern."""
-    h = F.when(F.regexp_extract("source", r"\d+", 0).cast("int") % 4 == 0, F.concat(F.lit("PROXY TCP4 10.0.0."), (F.col("doc_id") % 256).cast("string"), F.lit(" 10.0.0.1 5000 443"))).otherwise("GET /")
-    last = F.regexp_extract(h, r"^PROXY TCP4 \d+\.\d+\.\d+\.(\d+) \S+ \d+ \d+$", 1)
-    return table(spark, d, "documents").select("doc_id", F.when(last != "", F.concat(F.lit("v1 "), last)).otherwise("none").alias("proxy"))

@@ -197,17 +197,6 @@ def sup35_growth(spark, d):
     return r.groupBy("stream").agg((F.min_by("bytes", "back") - F.max_by("bytes", "back")).alias("growth"))
 
 
-@q(f"WITH {P} SELECT arrival, kind || '_total' AS name, CAST(bytes AS DOUBLE) AS value FROM p WHERE arrival % 3 = 1")
-def sup36_text_reader(spark, d):
-    """SUP-36: values of exposition lines; comments and labelled samples are left out."""
-    m = F.col("arrival") % 3
-    name = F.concat("kind", F.lit("_total"))
-    line = F.when(m == 0, F.concat(F.lit("# TYPE "), name, F.lit(" counter"))).when(m == 1, F.concat(name, F.lit(" "), F.col("bytes").cast("string"))).otherwise(F.concat(name, F.lit('{stream="1"} '), F.col("bytes").cast("string")))
-    r = packets(spark, d).withColumn("line", line).where(~F.col("line").startswith("#") & ~F.col("line").contains("{"))
-    part = F.split("line", " ")
-    return r.select("arrival", part[0].alias("name"), part[1].cast("double").alias("value"))
-
-
 JUDGE = "CASE WHEN kind = 'error' AND bytes > 5000 THEN 'must_fix' WHEN kind = 'error' THEN 'expected' WHEN bytes > 9000 THEN 'warning' END"
 
 

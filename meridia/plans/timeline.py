@@ -55,7 +55,7 @@ def str11_grid(spark, d):
 
 @q(f"WITH {P}, g AS (SELECT stream, unnest(generate_series(min(t) // {GRID} + 1, max(t) // {GRID})) * {GRID} AS b, max(t) AS now FROM p GROUP BY 1), k AS (SELECT stream, ((t + {2 * HOUR}) // {GRID}) * {GRID} AS b, count(*) AS n, min(t - ((t + {2 * HOUR}) // {GRID}) * {GRID}) AS off FROM p WHERE ra GROUP BY 1, 2) SELECT g.stream, g.b, CASE WHEN k.n IS NULL THEN 'MissingKeyframe' ELSE 'MisalignedKeyframes' END AS error FROM g LEFT JOIN k ON g.stream = k.stream AND g.b = k.b WHERE g.now > g.b + {3 * HOUR} AND (k.n IS NULL OR k.off > {3 * HOUR})")
 def str13_missed(spark, d):
-    """STR-13, STR-10: boundaries whose late edge has passed without a keyframe in their tolerance."""
+    """STR-13: boundaries whose late edge has passed without a keyframe in their tolerance."""
     p = packets(spark, d)
     g = p.groupBy("stream").agg(F.min("t").alias("a"), F.max("t").alias("now"))
     g = g.withColumn("k", F.explode(F.sequence(floor_div(F.col("a"), GRID) + 1, floor_div(F.col("now"), GRID)))).withColumn("b", F.col("k") * GRID)
@@ -156,29 +156,30 @@ def sort3_presentation(spark, d):
 
 @q(f"WITH {L}, c AS (SELECT a.parent, b.start + b.dur - a.start AS size FROM l a JOIN l b ON a.parent = b.parent AND b.idx >= a.idx) SELECT parent, min(size) AS ceiling FROM c WHERE size >= 60 GROUP BY 1")
 def sort8_ceilings(spark, d):
-    """SORT-8: the least contiguous sum of at least 60, over each order's few lines."""
+    """SORT-8: the least contiguous sum of at least 60: of each start the first end that far on, by a forward as-of."""
+    from ..operators.joins import as_of_forward
     l = tiles(spark, d)
-    b = l.select(F.col("parent").alias("p2"), F.col("idx").alias("j"), (F.col("start") + F.col("dur")).alias("stop"))
-    c = l.join(b, (F.col("parent") == F.col("p2")) & (F.col("j") >= F.col("idx"))).select("parent", (F.col("stop") - F.col("start")).alias("size"))
-    return c.where("size >= 60").groupBy("parent").agg(F.min("size").alias("ceiling"))
+    ends = l.select("parent", (F.col("start") + F.col("dur")).alias("stop"), (F.col("start") + F.col("dur")).alias("found"))
+    c = as_of_forward(l.select("parent", "start", (F.col("start") + 60).alias("least")), ends, "parent", "least", "stop", "found")
+    return c.groupBy("parent").agg(F.min(F.col("found") - F.col("start")).alias("ceiling")).where("ceiling is not null")
 
 
 @q(f"WITH {P}, r AS (SELECT stream, kind, arrival, row_number() OVER (PARTITION BY stream, kind ORDER BY arrival) AS n FROM p) SELECT stream, arrival FROM r WHERE n = 1 AND kind = 'view'")
 def sort4_oldest(spark, d):
-    """SORT-4, SORT-6: the oldest of each subject."""
+    """SORT-4: the oldest of each subject."""
     return packets(spark, d).where("kind = 'view'").groupBy("stream").agg(F.min("arrival").alias("arrival"))
 
 
 @q(f"WITH {L}, e AS (SELECT parent, CAST(sum(dur) AS BIGINT) AS total, max(dur) AS longest, min(dur) AS least FROM l GROUP BY 1) SELECT parent, total, longest, ((longest + least - 1) // least) * least AS part, (100 * least + 14) // 15 AS room FROM e")
 def sup14_room(spark, d):
-    """SUP-14, SUP-15: part targets as ceilings to a multiple, and what reordering needs."""
+    """SUP-14: part targets as ceilings to a multiple, and what reordering needs."""
     e = tiles(spark, d).groupBy("parent").agg(F.sum("dur").alias("total"), F.max("dur").alias("longest"), F.min("dur").alias("least"))
     return e.select("parent", "total", "longest", (F.ceil(F.col("longest") / F.col("least")) * F.col("least")).alias("part"), F.ceil(F.col("least") * 100 / 15).alias("room"))
 
 
 @q(f"WITH {S}, w AS (SELECT *, lag(t) OVER (PARTITION BY stream, kind ORDER BY arrival) AS before FROM s) SELECT arrival, CASE WHEN before > t THEN 'decreasing' WHEN dur > {40 * HOUR} AND NOT ra THEN 'shrinks' ELSE 'ok' END AS verdict, CASE WHEN bytes % 10 = 0 THEN 0 ELSE dur END AS cue FROM w")
 def sup1_subtitles(spark, d):
-    """SUP-1, SUP-8, SUP-10: open cues have duration 0; times never decrease; only small shrinking is allowed."""
+    """SUP-1, SUP-8: open cues have duration 0; times never decrease; only small shrinking is allowed."""
     before = F.lag("t").over(Window.partitionBy("stream", "kind").orderBy("arrival"))
     s = samples(spark, d).withColumn("before", before)
     verdict = F.when(F.col("before") > F.col("t"), "decreasing").when((F.col("dur") > 40 * HOUR) & ~F.col("ra"), "shrinks").otherwise("ok")

@@ -54,7 +54,7 @@ def win1_watermark(spark, d):
 
 @q(f"WITH {P}, c AS (SELECT stream, arrival, t AS s0, t + {8 * HOUR} AS e0 FROM p), w AS (SELECT *, max(e0) OVER (PARTITION BY stream ORDER BY s0, arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM c) SELECT stream, CAST(sum(greatest(0, e0 - greatest(coalesce(seen, s0), s0))) AS BIGINT) AS covered, count(*) FILTER (seen IS NOT NULL AND s0 > seen) AS breaks FROM w GROUP BY 1")
 def win3_interval_union(spark, d):
-    """WIN-3, SUP-11, SUP-13: published time as a union of 8-hour intervals."""
+    """WIN-3, SUP-11: published time as a union of 8-hour intervals."""
     end = F.col("t") + 8 * HOUR
     r = packets(spark, d).withColumn("e", end).withColumn("seen", F.max(end).over(before()))
     return r.groupBy("stream").agg(F.sum(F.greatest(F.lit(0), F.col("e") - F.greatest(F.coalesce("seen", "t"), "t"))).alias("covered"), F.count_if(F.col("t") > F.col("seen")).alias("breaks"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.time import floor_div
 from ..plans.inputs import micros
+from ..sources import store
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -24,16 +24,25 @@ def events(spark: SparkSession, path: str, files_per_trigger: int | None = None)
     return r.parquet(path)
 
 
-def daily(spark: SparkSession, path: str, lateness: str = "2 hours") -> DataFrame:
-    """Counts by kind and day; later rows than the watermark are dropped by Spark."""
-    e = events(spark, path).withColumn("at", F.timestamp_micros(micros("ts"))).withColumn("day", floor_div(micros("ts"), 86_400_000_000) * 86_400_000_000)
+def daily(spark: SparkSession, path: str, lateness: str = "2 hours", files_per_trigger: int | None = None) -> DataFrame:
+    """Counts by kind and day."""
+    e = events(spark, path, files_per_trigger).withColumn("at", F.timestamp_micros(micros("ts"))).withColumn("day", floor_div(micros("ts"), 86_400_000_000) * 86_400_000_000)
     e = e.withWatermark("at", lateness)
     return e.groupBy(F.col("event_type").alias("kind"), "day").agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("bytes"))
 
 
-def density(spark: SparkSession, path: str, width: int) -> DataFrame:
+def windows(spark: SparkSession, path: str, width: str, lateness: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Packets by stream and tumbling window, each told once when the watermark seals it; rows of sealed
+    windows come too late and are dropped."""
+    e = events(spark, path, files_per_trigger).withColumn("at", F.timestamp_micros(micros("ts"))).withWatermark("at", lateness)
+    w = F.window("at", width)
+    g = e.groupBy(F.col("user_id").alias("stream"), w.alias("w")).agg(F.count("*").alias("packets"))
+    return g.select("stream", F.unix_micros("w.start").alias("start"), "packets")
+
+
+def density(spark: SparkSession, path: str, width: int, files_per_trigger: int | None = None) -> DataFrame:
     """Windows anchored at their first row; state is one window a stream."""
-    rows = events(spark, path).select(F.col("user_id").alias("stream"), F.col("event_id").alias("arrival"), (micros("ts") * 1000).alias("t"))
+    rows = events(spark, path, files_per_trigger).select(F.col("user_id").alias("stream"), F.col("event_id").alias("arrival"), (micros("ts") * 1000).alias("t"))
 
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, mark, n = state.get if state.exists else (None, None, 0)
@@ -51,9 +60,18 @@ def density(spark: SparkSession, path: str, width: int) -> DataFrame:
     return rows.groupBy("stream").applyInPandasWithState(run, "stream long, start long, packets long", "start long, mark long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(df: DataFrame, mode: str) -> DataFrame:
-    """Run a streaming frame over all that is there, and give what it wrote."""
-    spark, name = df.sparkSession, "meridia_" + uuid.uuid4().hex
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(df: DataFrame, mode: str, root: str | None = None) -> DataFrame:
+    """Run a streaming frame over all that is there, and give what it wrote.
+
+    Batches and the query's checkpoint are in ``root``, by default a new folder that executors
+    share: a second call with the same one goes on from where the first ended, and nothing
+    passes through the driver. Of a complete query the newest batch is the result."""
+    spark = df.sparkSession
+    root = root or store.shared_folder(spark, "stream")
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(store.sink(f"{root}/batches")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    rows = store.read(spark, f"{root}/batches", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+    if mode == "complete":
+        last = rows.agg(F.max("batch")).first()[0]
+        rows = rows.where(F.col("batch") == (-1 if last is None else last))
+    return rows.drop("batch")
