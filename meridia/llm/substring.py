@@ -31,6 +31,8 @@ GRAM = 4
 LONGEST_RUN = 2048
 #: bytes of text of a block, and of the texts whose windows a bucket holds
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+#: blocks or buckets that one task works off, one after another
+GROUPS_PER_TASK = 16
 #: bytes of text that frequent minimisers are sought in; they decide where windows meet, never which
 SAMPLE_BYTES, LEAST_HOT = 32 << 20, 1000
 
@@ -274,7 +276,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cols = {"id": column(table, "id"), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
         return pa.table(cols | ({"kept": pa.array(kept, pa.string())} if texts else {}))
 
+    def dealt(rows: DataFrame, key: str, groups: int) -> DataFrame:
+        # as many tasks as the data need, where the session's number of partitions is too small for them
+        tasks = groups // GROUPS_PER_TASK
+        return rows.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+    docs = dealt(docs, "block", blocks)
     sent = docs.groupBy("block").applyInArrow(send, "bucket int, block int, strings binary, counts binary")
-    told = sent.groupBy("bucket").applyInArrow(judge, "block int, bucket int, flags binary")
-    out = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(mark, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
+    told = dealt(sent, "bucket", buckets).groupBy("bucket").applyInArrow(judge, "block int, bucket int, flags binary")
+    out = docs.groupBy("block").cogroup(dealt(told, "block", blocks).groupBy("block")).applyInArrow(mark, f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * texts)
     return out.withColumnRenamed("id", id_col)

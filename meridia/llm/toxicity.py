@@ -106,12 +106,12 @@ class Model:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         #: of each numbered word: its own log odds, and what it adds to those of the next and the last word
-        self.values: list[tuple[float, float, float]] = []
+        self.values, self.fresh = np.empty((0, 3)), []
 
     def _learn(self, word: str) -> int:
         w, known = bare(word), self.weights.get
-        self.values.append((self.bias + sum(known(f, 0.0) for f in features(word)), known(BEFORE + w, 0.0), known(AFTER + w, 0.0)))
-        got = self.number[word] = len(self.values) - 1
+        self.fresh.append((self.bias + sum(known(f, 0.0) for f in features(word)), known(BEFORE + w, 0.0), known(AFTER + w, 0.0)))
+        got = self.number[word] = len(self.number)
         return got
 
     def odds(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,9 @@ class Model:
             parts.append(np.fromiter((number[w] if w in number else learn(w) for w in words), np.int64, len(words)))
             starts.append(starts[-1] + len(words))
         at, starts = np.concatenate(parts), np.array(starts)
-        own, before, after = np.array(self.values).reshape(-1, 3)[at].T
+        if self.fresh:
+            self.values, self.fresh = np.concatenate([self.values, self.fresh]), []
+        own, before, after = self.values[at].T
         e, inner = own.copy(), inside(starts)
         e[inner] += before[inner - 1]
         e[inner - 1] += after[inner]
