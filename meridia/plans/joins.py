@@ -56,13 +56,18 @@ def join4_cut(spark, d):
 @q(f"WITH {P}, g AS (SELECT DISTINCT stream, (t // {GRID}) * {GRID} AS b FROM p), c AS (SELECT g.stream, g.b, p.arrival, p.t - g.b AS off, row_number() OVER (PARTITION BY g.stream, g.b ORDER BY p.arrival) AS n FROM g JOIN p ON p.stream = g.stream AND p.ra AND p.t BETWEEN g.b - {2 * HOUR} AND g.b + {3 * HOUR}) SELECT stream, b, arrival, off FROM c WHERE n = 1")
 def join5_band(spark, d):
     """JOIN-5, SORT-2: the first keyframe within [-2 h, +3 h] of each boundary, both inclusive."""
-    p = packets(spark, d)
-    g = p.select("stream", (floor_div(F.col("t"), GRID) * GRID).alias("b")).distinct().withColumn("lo", F.col("b") - 2 * HOUR).withColumn("hi", F.col("b") + 3 * HOUR + 1)
-    k = p.where("ra").select("stream", "arrival", "t", (F.col("t") + 1).alias("t_end"))
-    hit = overlap_join(g, k, "stream", "lo", "hi", "t", "t_end", GRID)
+    hit = _in_band(packets(spark, d), "ra")
     return hit.groupBy("stream", "b").agg(F.min(F.struct("arrival", (F.col("t") - F.col("b")).alias("off"))).alias("x")).select("stream", "b", "x.*")
 
 
+def _in_band(p, which):
+    """(stream, b, arrival, t) of the rows that are within [-2 h, +3 h] of a boundary of their stream. The band is
+    shorter than the grid, so a row is near one boundary at most, and the join is of equal keys."""
+    boundaries = p.select("stream", (floor_div("t", GRID) * GRID).alias("b")).distinct()
+    near = p.where(which).select("stream", (floor_div(F.col("t") + 2 * HOUR, GRID) * GRID).alias("b"), "arrival", "t")
+    return near.where(F.col("t") - F.col("b") <= 3 * HOUR).join(boundaries, ["stream", "b"], "left_semi")
+
+
 @q(f"WITH {S}, c AS (SELECT *, unnest(generate_series(t // {GRID}, (t + dur - 1) // {GRID})) AS w FROM s WHERE dur > {6 * HOUR}) SELECT arrival, w, greatest(t, w * {GRID}) AS start, least(t + dur, (w + 1) * {GRID}) AS stop FROM c")
 def join6_gap_split(spark, d):
     """JOIN-6, JOIN-7, STR-16: gaps of over 6 hours are copied to each 12-hour window they overlap, and clipped."""
@@ -160,9 +165,7 @@ def str12_coordinated_cut(spark, d):
     """STR-12: the authority (view) cuts at its first picture within [-2 h, +3 h] of a boundary, each other track at its
     first unit from there on; all tracks cut, within 48 hours, or none does."""
     p = packets(spark, d)
-    g = p.select("stream", (floor_div("t", GRID) * GRID).alias("b")).distinct().withColumn("lo", F.col("b") - 2 * HOUR).withColumn("hi", F.col("b") + 3 * HOUR + 1)
-    views = p.where("kind = 'view'").select("stream", "arrival", "t", (F.col("t") + 1).alias("t_end"))
-    c = overlap_join(g, views, "stream", "lo", "hi", "t", "t_end", GRID).groupBy("stream", "b").agg(F.min_by("t", "arrival").alias("cut"))
+    c = _in_band(p, "kind = 'view'").groupBy("stream", "b").agg(F.min_by("t", "arrival").alias("cut"))
     track = F.struct("stream", "kind")
     units = p.where("kind in ('click', 'purchase')").withColumn("track", track)
     kinds = units.select("stream", "kind").distinct()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import decimal_seconds, floor_div, program_date, target_seconds
+from ..sources import store
 from .inputs import HOUR, P, S, by_time, packets, samples, table
 from .registry import register
 from .retention import KEPT, window_rows
@@ -91,7 +92,7 @@ def seconds(x: str) -> str:
 PARENT = "CASE WHEN cut THEN '#EXT-X-DISCONTINUITY' || chr(10) ELSE '' END || CASE WHEN map THEN '#EXT-X-MAP:URI=\"' || k.stream || '/init' || publication || '.mp4\"' || chr(10) ELSE '' END || CASE WHEN head OR cut THEN '#EXT-X-PROGRAM-DATE-TIME:' || strftime(make_timestamp(start // 1000), '%Y-%m-%dT%H:%M:%S.%gZ') || chr(10) ELSE '' END"
 
 
-@q(f"""WITH {S}, {G},
+PLAYLISTS = f"""WITH {S}, {G},
  t AS (SELECT stream, (seq - 1) // {PARTS} AS msn, string_agg('#EXT-X-PART:DURATION=' || {seconds('dur')} || ',URI="' || stream || '/' || (seq - 1) // {PARTS} || '.' || (seq - 1) % {PARTS} || '.m4s"' || CASE WHEN ra THEN ',INDEPENDENT=YES' ELSE '' END || CASE WHEN kind = 'error' THEN ',GAP=YES' ELSE '' END || chr(10), '' ORDER BY seq) AS parts FROM s GROUP BY 1, 2),
  b AS (SELECT k.stream, string_agg(CASE WHEN skipped THEN '' ELSE {PARENT} || CASE WHEN recent OR NOT whole THEN t.parts ELSE '' END || CASE WHEN whole THEN CASE WHEN gap THEN '#EXT-X-GAP' || chr(10) ELSE '' END || '#EXTINF:' || {seconds('dur')} || ',' || chr(10) || k.stream || '/' || k.msn || '.m4s' || chr(10) ELSE '' END END, '' ORDER BY k.msn) AS body,
   min(k.msn) AS first, min(cuts_before) AS cuts, any_value(target) AS target, any_value(part_target) AS part_target, sum(skipped::INT) AS skipped FROM k JOIN t ON t.stream = k.stream AND t.msn = k.msn GROUP BY 1)
@@ -99,7 +100,10 @@ PARENT = "CASE WHEN cut THEN '#EXT-X-DISCONTINUITY' || chr(10) ELSE '' END || CA
   || '#EXT-X-MEDIA-SEQUENCE:' || first || chr(10) || CASE WHEN cuts > 0 THEN '#EXT-X-DISCONTINUITY-SEQUENCE:' || cuts || chr(10) ELSE '' END || CASE WHEN skipped > 0 THEN '#EXT-X-SKIP:SKIPPED-SEGMENTS=' || skipped || chr(10) ELSE '' END || body
   || CASE WHEN NOT e.ended THEN '#EXT-X-PRELOAD-HINT:TYPE=PART,URI="' || b.stream || '/' || e.parts // {PARTS} || '.' || e.parts % {PARTS} || '.m4s"' || chr(10) ELSE '' END
   || CASE WHEN o.stream IS NOT NULL THEN '#EXT-X-RENDITION-REPORT:URI="../' || o.stream || '/media.m3u8",LAST-MSN=' || (o.parts - 1) // {PARTS} || ',LAST-PART=' || (o.parts - 1) % {PARTS} || chr(10) ELSE '' END || CASE WHEN e.ended THEN '#EXT-X-ENDLIST' || chr(10) ELSE '' END AS playlist
- FROM b JOIN e ON e.stream = b.stream LEFT JOIN e o ON o.stream = b.stream + 1""")
+ FROM b JOIN e ON e.stream = b.stream LEFT JOIN e o ON o.stream = b.stream + 1"""
+
+
+@q(PLAYLISTS)
 def pl1_media_playlist(spark, d):
     """PL-1, SNK-8: the media playlist of each stream: header and controls, what a delta skips, discontinuities, headers
     and dates where they change, parts near the live edge, segments and gaps, the open segment, a hint of the next part,
@@ -209,3 +213,12 @@ def src12_playlist_reader(spark, d):
     total = F.aggregate(times, F.lit(0).cast("decimal(38,9)"), lambda a, x: (a + x).cast("decimal(38,9)"))
     skipped = F.coalesce(F.nullif(F.regexp_extract("playlist", "SKIPPED-SEGMENTS=([0-9]+)", 1), F.lit("")).cast("long"), F.lit(0))
     return r.select("stream", F.element_at(media, -1).alias("newest"), total.cast("double").alias("seconds"), F.size(media).cast("long").alias("children"), skipped.alias("skipped"), F.array_contains("lines", "#EXT-X-ENDLIST").alias("ended"))
+
+
+@q(f"SELECT stream, CAST(octet_length(encode(playlist)) AS BIGINT) AS bytes, md5(playlist) AS digest FROM ({PLAYLISTS})")
+def fn22_gzip(spark, d):
+    """FN-22: playlists written compressed and read back: the sink compresses, a file for each task."""
+    path = store.shared_folder(spark, "playlists")
+    pl1_media_playlist(spark, d).write.option("compression", "gzip").json(path)
+    back = spark.read.schema("stream long, playlist string").json(path)
+    return back.select("stream", F.octet_length("playlist").cast("long").alias("bytes"), F.md5("playlist").alias("digest"))

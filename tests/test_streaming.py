@@ -90,3 +90,59 @@ def test_two_drivers_commit_one_batch_once(spark, tmp_path):
     rows = store.read(spark, root, "id long, who int").collect()
     assert done.count(True) == 1 and len(rows) == 100 and len({x.who for x in rows}) == 1 and {x.batch for x in rows} == {7}
     assert not store.commit(frames[0], root, 7) and store.commit(frames[0], root, 8)
+
+
+def test_meters(spark, tmp_path):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from meridia.streaming.meters import Meters, metered
+
+    meters, source = Meters(keep=50), tmp_path / "in"
+    source.mkdir()
+    spark.streams.addListener(meters)
+    try:
+        write(source, "a", [(1, 0, 1), (2, 9, 1)])
+        write(source, "b", [(3, 30, 1)])
+        write(source, "c", [(4, 1, 1)])  # late by the watermark of the batch before
+        jobs.drain(jobs.windows(spark, f"{source}/*.parquet", "4 hours", "2 hours", 1), "append", str(tmp_path / "state"))
+        for _ in range(50):
+            if any(r[1] == "terminated" for r in meters.rows):
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(meters)
+    got = meters.table(spark).groupBy("event").agg(F.sum("input_rows").alias("rows"), F.max("dropped_late").alias("late")).collect()
+    by = {x.event: x for x in got}
+    assert by["progress"].rows == 4 and by["progress"].late == 1 and "started" in by and "terminated" in by
+    df, seen = metered(spark.range(10).select((F.col("id") * 2).alias("bytes")), "sizes")
+    assert df.count() == 10 and seen.get == {"rows": 10, "bytes": 90, "largest": 18}
+
+
+def test_deliveries(spark):
+    import hashlib
+    import hmac
+    from base64 import b64encode
+
+    from meridia.sources import hooks
+
+    key = b"k" * 32
+    events = spark.createDataFrame([(i, i % 3, "ready", 1000 + i, 7) for i in range(6)], "id long, stream long, kind string, at long, bytes long")
+    rows = hooks.envelopes(events, key, "node/1", "id", "stream", "kind", "at", ["bytes"])
+    for r in rows.collect():
+        want = b64encode(hmac.new(key, f"{r.event_id}.{r.seconds}.{r.body}".encode(), hashlib.sha256).digest()).decode()
+        assert r.signature == "v1," + want
+        assert json.loads(r.body) == {"specversion": "1.0", "id": r.event_id, "source": "node/1", "type": "ready", "subject": r.subject, "time": f"1970-01-01T00:16:4{r.seconds - 1000}Z", "data": {"bytes": 7}}
+
+    def send(headers, body, tries={}):
+        n = int(headers["webhook-id"])
+        tries[n] = tries.get(n, 0) + 1
+        if n == 4:
+            raise ConnectionError
+        return {0: 204, 1: 404, 2: 503 if tries[n] < 3 else 200, 3: 429, 5: 200}[n]
+
+    got = {x.event_id: (x.outcome, x.attempts, x.status, x.error) for x in hooks.deliver(rows, send, attempts=3, pause=0.001).collect()}
+    assert got == {
+        "0": ("delivered", 1, 204, None), "1": ("rejected", 1, 404, None), "2": ("delivered", 3, 200, None), "3": ("exhausted", 3, 429, None), "4": ("exhausted", 3, None, "ConnectionError"), "5": ("delivered", 1, 200, None),
+    }
