@@ -37,18 +37,31 @@ def snk10_log(spark, d):
     return packets(spark, d).select("arrival", F.to_json(F.struct(F.col("t").alias("ts_ns"), F.col("stream").alias("session"), "kind", fields)).alias("line"))
 
 
-@q(f"""WITH RECURSIVE {P}, n AS (SELECT stream, arrival, bytes, row_number() OVER (PARTITION BY stream ORDER BY t, arrival) AS i FROM p),
+SPILLED = f"""WITH RECURSIVE {P}, n AS (SELECT stream, arrival, bytes, row_number() OVER (PARTITION BY stream ORDER BY t, arrival) AS i FROM p),
  f AS (SELECT stream, CAST(1 AS BIGINT) AS i, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]) AS waiting, CAST(0 AS BIGINT) AS held, CAST(NULL AS BIGINT) AS cause, CAST(NULL AS BIGINT) AS arrival FROM n WHERE i = 1
   UNION ALL SELECT stream, CASE WHEN now IS NULL THEN i + 1 ELSE i END, CASE WHEN cause IS NOT NULL THEN waiting[2:] WHEN bytes > 0 THEN list_append(waiting, {{'a': a, 'b': bytes}}) ELSE waiting END, after, now, CASE WHEN cause IS NOT NULL THEN waiting[1].a END FROM
    (SELECT *, CASE WHEN cause IS NOT NULL THEN CASE WHEN after > {30_000} THEN cause END WHEN after > {32_500} THEN a END AS now FROM
     (SELECT f.stream, f.i, f.waiting, f.held, f.cause, n.arrival AS a, n.bytes, CASE WHEN f.cause IS NOT NULL THEN f.held - f.waiting[1].b WHEN n.bytes > 0 THEN f.held + n.bytes ELSE f.held END AS after FROM f JOIN n ON n.stream = f.stream AND n.i = f.i)))
- SELECT stream, arrival, spilled_by AS cause, held FROM (SELECT x.stream, x.arrival, x.held, n.arrival AS spilled_by FROM (SELECT *, CASE WHEN cause IS NULL THEN i - 1 ELSE i END AS at FROM f WHERE arrival IS NOT NULL) x JOIN n ON n.stream = x.stream AND n.i = x.at)""")
+ SELECT stream, arrival, spilled_by AS cause, held FROM (SELECT x.stream, x.arrival, x.held, n.arrival AS spilled_by FROM (SELECT *, CASE WHEN cause IS NULL THEN i - 1 ELSE i END AS at FROM f WHERE arrival IS NOT NULL) x JOIN n ON n.stream = x.stream AND n.i = x.at)"""
+
+
+@q(SPILLED)
 def ret7_spill(spark, d):
     """RET-7: which row goes to disk, and on which arrival, with 40,000 bytes for a stream."""
     rows = packets(spark, d).select("stream", "t", "arrival", "bytes")
     return folds.fold(rows, "stream", ["t", "arrival"], folds.spill(40_000), "stream long, arrival long, cause long, held long")
 
 
+@q(f"SELECT e.user_id AS stream, e.event_id AS arrival, CASE WHEN r.arrival IS NULL THEN 'memory' ELSE 'disk' END AS tier FROM events e LEFT JOIN ({SPILLED}) r ON r.arrival = e.event_id")
+def snk5_tier(spark, d):
+    """SNK-5: the tier of each row after all spilling; what went to disk is written, and read back by its number."""
+    rows = packets(spark, d).select("stream", "t", "arrival", "bytes")
+    path = store.shared_folder(spark, "tier")
+    rows.join(ret7_spill(spark, d).select("arrival"), "arrival", "left_semi").write.parquet(path)
+    disk = spark.read.schema(rows.schema).parquet(path).select("arrival", F.lit("disk").alias("tier"))
+    return rows.join(disk, "arrival", "left").select("stream", "arrival", F.coalesce("tier", F.lit("memory")).alias("tier"))
+
+
 SWEPT = f"(t + {30 * HOUR}) // {24 * HOUR} * {24 * HOUR} + {24 * HOUR}"
 
 

@@ -236,9 +236,13 @@ def fn25_identity(spark, d):
     return table(spark, d, "part").select("p_partkey", key.alias("key"), hexed.alias("hexed"), F.decode(F.unhex(hexed), "utf-8").alias("back"), time.quantum(F.lit(1), F.col("p_partkey") + 1, F.lit(1), F.lit(48000)).alias("quantum"))
 
 
-@q(f"WITH {P} SELECT arrival, stream || '/' || (arrival % 9) || '/' || strftime(make_timestamp(t // 1000), '%Y-%m-%d') || '.mp4' AS path FROM p WHERE kind <> 'error'")
+#: names of recordings; those with empty, dot or climbing components are refused
+NAMES = (("live", 1), ("..", 0), ("a/../b", 0), (".", 0), ("", 0), ("a//b", 0), ("..a", 1), ("a..", 1), ("/etc", 0), ("a/./b", 0), ("...", 1), (".hidden/x", 1), ("a/", 0), ("é/ü", 1))
+
+
+@q(f"WITH {P} SELECT arrival, {_choice(NAMES, f'arrival % {len(NAMES)}', 0)} || '/' || stream || '/' || strftime(make_timestamp(t // 1000), '%Y-%m-%d') || '.mp4' AS path FROM p WHERE kind <> 'error' AND arrival % {len(NAMES)} IN ({', '.join(str(i) for i, x in enumerate(NAMES) if x[1])})")
 def snk3_path(spark, d):
     """SNK-3: recording paths from a pattern; unsafe components are refused."""
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), time.floor_div(F.col("t"), 86400 * 10**9).cast("int")), "yyyy-MM-dd")
-    path = F.concat(F.col("stream").cast("string"), F.lit("/"), (F.col("arrival") % 9).cast("string"), F.lit("/"), day, F.lit(".mp4"))
+    path = F.concat(_pick(NAMES, F.col("arrival") % len(NAMES), 0), F.lit("/"), F.col("stream").cast("string"), F.lit("/"), day, F.lit(".mp4"))
     return packets(spark, d).where("kind <> 'error'").select("arrival", path.alias("path")).where(~F.col("path").rlike(r"(^|/)\.{0,2}(/|$)"))

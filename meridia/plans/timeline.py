@@ -133,11 +133,14 @@ def str27_blocking(spark, d):
     return r.select("arrival", (F.least(F.coalesce("ready", F.col("t") + 18 * HOUR), F.col("t") + 18 * HOUR) - F.col("t")).alias("waited"))
 
 
-@q("SELECT o_orderkey, CASE WHEN o_custkey % 12 > 7 + 2 THEN 'too_far' WHEN o_custkey % 12 = 8 AND o_orderkey % 6 > 3 THEN 'part_too_far' ELSE 'ok' END AS verdict FROM orders")
+@q("WITH l AS (SELECT l_orderkey AS k, max(l_linenumber) AS last, max(l_quantity)::BIGINT AS held, count(*) AS asked, min(l_quantity)::BIGINT AS part FROM lineitem GROUP BY 1) SELECT k AS o_orderkey, CASE WHEN asked > last + 2 THEN 'too_far' WHEN asked = last + 1 AND part > held % 5 + 3 THEN 'part_too_far' WHEN asked > last OR (asked = last AND part >= held) THEN 'wait' ELSE 'ready' END AS verdict FROM l")
 def str28_advance(spark, d):
-    """STR-28: requests at most two segments, and three parts, ahead of the last segment 7."""
-    k = F.col("o_custkey") % 12
-    return table(spark, d, "orders").select("o_orderkey", F.when(k > 9, "too_far").when((k == 8) & (F.col("o_orderkey") % 6 > 3), "part_too_far").otherwise("ok").alias("verdict"))
+    """STR-28: requests for a segment (as many as an order's lines) against the last one (its highest number): more than
+    two ahead is too far, and of the next one more than three parts past those it has."""
+    g = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linenumber").alias("last"), F.max("l_quantity").cast("long").alias("held"), F.count("*").alias("asked"), F.min("l_quantity").cast("long").alias("part"))
+    last, held, asked, part = (F.col(c) for c in ("last", "held", "asked", "part"))
+    verdict = F.when(asked > last + 2, "too_far").when((asked == last + 1) & (part > held % 5 + 3), "part_too_far").when((asked > last) | ((asked == last) & (part >= held)), "wait").otherwise("ready")
+    return g.select("o_orderkey", verdict.alias("verdict"))
 
 
 @q(f"WITH {L}, b AS (SELECT *, abs(start + dur - 60) AS far FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY far, start) AS n FROM b) SELECT parent, idx, far, n FROM r WHERE n <= 3")
