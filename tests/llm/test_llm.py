@@ -78,6 +78,27 @@ def test_pieces_as_the_library_with_a_unigram_model():
     assert same >= 198
 
 
+def test_pieces_repeated_rows_clashing_columns_and_empty_tables(spark):
+    rows = [(1, "a b", "x", 5), (1, "a b", "x", 5), (None, "a b", None, None), (2, None, "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, token_ids string, n_tokens int")
+    got = pieces.encode(df, verify=True)
+    assert got.columns == ["doc_id", "text", "token_ids", "n_tokens", "round_trip"]
+    have = got.collect()
+    assert len(have) == 4 and len({tuple(x.token_ids) for x in have if x.text}) == 1 and [x.n_tokens for x in have if x.text is None] == [None]
+    assert pieces.encode(df.where("false")).count() == 0 and pieces.decode(got.where("false")).count() == 0
+    back = pieces.decode(got.withColumnRenamed("text", "was"), out_col="doc_id")
+    assert back.columns == ["was", "token_ids", "n_tokens", "round_trip", "doc_id"] and all(x.doc_id == x.was for x in back.collect())
+
+
+def test_pieces_of_one_long_text_and_many_blanks(spark):
+    r = random.Random(31)
+    texts = [words(r, 400_000, 10**7), " " * 5000 + "x" + " " * 5000 + "\n" * 3000 + " y", "\n\n a\n", " ▁ \n▁\n", "z" * 200_000]
+    got = pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), verify=True).orderBy("doc_id").collect()
+    assert all(x.round_trip and x.n_tokens == len(x.token_ids) for x in got)
+    invalid = spark.createDataFrame([(1, [pieces.Pieces(pieces.load_model(pieces.tokenizer_path())).byte_ids[0xFF]]), (2, []), (3, None)], "id long, token_ids array<int>")
+    assert [x.text for x in pieces.decode(invalid).orderBy("id").collect()] == ["\ufffd", "", None]
+
+
 # --- 2: top-k
 
 def test_topk(spark):
@@ -182,6 +203,20 @@ def test_mix(spark):
     assert mix.mix(df.where("false")).count() == 0
 
 
+def test_mix_null_and_repeated_ids(spark):
+    r = random.Random(32)
+    rows = [(None if i % 4 == 0 else i % 30, words(r, 5 + i % 9), "a") for i in range(80)] + [(7, "same text", "b")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix.mix(df).collect()
+    assert len(got) == len(rows)
+    by_id = {}
+    for x in got:
+        if x.doc_id is not None:
+            by_id.setdefault((x.doc_id, x.source), set()).add(x.copies)
+    assert all(len(c) == 1 for c in by_id.values())  # rows that repeat an id are taken alike
+    assert sorted((str(x.doc_id), x.taken) for x in mix.mix(df.repartition(5)).collect()) == sorted((str(x.doc_id), x.taken) for x in got)
+
+
 def test_pipeline_mix_keeps_rows_with_null_ids(spark):
     import corpus_pipeline as cp
 
@@ -232,6 +267,17 @@ def test_simhash(spark):
     assert simhash.near_duplicates(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_simhash_null_and_repeated_ids(spark):
+    r = random.Random(33)
+    base, other = words(r, 50), words(r, 50)
+    rows = [(5, base), (5, other), (3, base), (None, base), (None, words(r, 50)), (9, None), (9, ""), (2, " ")]
+    got = sorted((x.doc_id, x.component_id, x.fingerprint) for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id is not None)
+    f = lambda t: f"{brute_fingerprint(t):016x}"
+    assert got == sorted([(5, 3, f(base)), (5, 5, f(other)), (3, 3, f(base)), (9, 2, "0" * 16), (9, 2, "0" * 16), (2, 2, "0" * 16)])
+    nulls = [x for x in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.doc_id is None]
+    assert sorted(str(x.component_id) for x in nulls) == ["3", "None"]
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3, 4])
 def test_ball_hashing_finds_all_pairs_within_three(distance):
     r = np.random.default_rng(distance)
@@ -517,6 +563,14 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, ["a"]).where("false")).count() == 0
 
 
+def test_secrets_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "password: hunter2!x", "a", 1), (1, "password: hunter2!x", "a", 1), (None, "plain", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, secrets string, _cut int")
+    got = secrets.scan(df)
+    assert got.columns == ["doc_id", "text", "secrets", "n_candidates", "n_secrets", "redacted"]
+    assert sorted(x.redacted for x in got.collect()) == ["password: [SECRET]"] * 2 + ["plain"]
+
+
 def test_secrets_of_any_named_assignment(spark):
     key = hashlib.sha1(b"k").hexdigest()
     named = [("api_key = '", "qwertyuiopasdfghjklz", "'"), ("token: ", "abcDEFghiJKLmno", ""), ("access_key: '", "Zk9x2LmQ", "'"), ("GITHUB_TOKEN=", "ghp_" + "a1B2" * 9, ""),
