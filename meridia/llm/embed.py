@@ -24,7 +24,7 @@ from .components import connected_components
 #: rows that the centres are fitted on; cells at most; rounds
 SAMPLE, CELLS, ROUNDS = 16_384, 2048, 8
 #: rows of a block, of a chunk of visitors, of a product; rows dealt at once
-BLOCK, CHUNK, TILE, STEP = 2048, 16_384, 1024, 2048
+BLOCK, CHUNK, TILE, STEP = 8192, 16_384, 1024, 2048
 
 
 def centres(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
