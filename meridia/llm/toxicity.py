@@ -12,11 +12,13 @@ words of clean documents are labelled clean, so the field unlearns what both hav
 from __future__ import annotations
 
 import math
+import pickle
 from array import array
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ from .common import parts
 #: at most so many labelled documents of each class are read for training
 SAMPLE_PER_CLASS = 1200
 ROUNDS, RATE, DECAY, BESIDE_DECAY, PIECE = 60, 0.3, 2e-4, 2e-3, 256
+#: words whose tag pairs are counted at once
+AT_ONCE = 65_536
 #: marks of the word before and of the word after, among features
 BEFORE, AFTER = ">", "<"
 REMEMBERED = 300_000
@@ -155,7 +159,7 @@ def inside(starts: np.ndarray) -> np.ndarray:
     """The places that do not begin a text."""
     out = np.ones(starts[-1], bool)
     out[starts[:-1][starts[:-1] < starts[-1]]] = False
-    return np.flatnonzero(out)
+    return np.flatnonzero(out).astype(np.int32)
 
 
 def _step(w, grad, state, rate):
@@ -180,45 +184,56 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     # the chain is trained on pieces of at most PIECE words, so that texts of all lengths step together
     cuts = np.unique(np.concatenate([starts, *(np.arange(a, b, PIECE) for a, b in zip(starts[:-1], starts[1:]))])).astype(np.int64)
-    ids: dict[str, int] = {}
-    flat, ends = array("i"), array("q", [0])
+    # features as hashes: their strings would be most of the memory, and few of them are used
+    hashes, ends = array("Q"), array("q", [0])
     for w in kinds:
-        flat.extend(ids.setdefault(f, len(ids)) for f in features(w))
-        ends.append(len(flat))
-    del kinds
-    flat, ends = np.frombuffer(flat, np.int32) if len(flat) else np.empty(0, np.int32), np.frombuffer(ends, np.int64)
+        hashes.extend(map(xxhash.xxh64_intdigest, features(w)))
+        ends.append(len(hashes))
+    ends = np.frombuffer(ends, np.int64)
+    known, flat = np.unique(np.frombuffer(hashes, np.uint64), return_inverse=True)
+    flat = flat.astype(np.int32)
+    last = ends[1:][np.diff(ends) > 0] - 1
+    del hashes
     pair_kind = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
-    seen = np.zeros((2, len(ids)), np.int32)
+    seen = np.zeros((2, len(known)), np.int32)
     for r, label in zip(rows, y):
         own = np.unique(r)
         if len(own):
             seen[label, np.unique(np.concatenate([flat[ends[k] : ends[k + 1]] for k in own]))] += 1
     del rows
     n0, n1 = int((y == 0).sum()), int((y == 1).sum())
-    shapes = np.array([f[0] == "#" for f in ids], bool)
+    shapes = np.zeros(len(known), bool)
+    shapes[flat[last]] = True  # a word's last feature
     telling = ~shapes & (seen[1] >= max(4, 0.004 * n1)) & (np.log((seen[1] + 0.1) / n1) - np.log((seen[0] + 0.5) / n0) > 2.3)
     hot = np.bincount(pair_kind, telling[flat], minlength=len(ends) - 1) > 0
     # only features of three texts or more have weights
     use = seen.sum(0) >= 3
     number = np.cumsum(use) - 1
-    names = [f for f, ok in zip(ids, use) if ok]
-    del ids
+    n_names = int(use.sum())
     kept = use[flat]
     pair_kind, pair_name = pair_kind[kept], number[flat[kept]]
     n_kinds = len(ends) - 1
     # the word that a neighbour sees: a kind's first feature, or none (the last number)
-    seen_as = np.full(n_kinds, len(names))
+    seen_as = np.full(n_kinds, n_names, np.int32)
     some = np.flatnonzero(np.diff(ends) > 0)
-    seen_as[some] = np.where(use[flat[ends[some]]], number[flat[ends[some]]], len(names))
+    seen_as[some] = np.where(use[flat[ends[some]]], number[flat[ends[some]]], n_names)
     beside, next_to = seen_as[word], inside(starts)
+    names: dict[str, int] = {}
+    place = dict(zip(known[use].tolist(), range(n_names)))
+    for w in kinds:
+        for f in features(w):
+            i = place.get(xxhash.xxh64_intdigest(f))
+            if i is not None:
+                names[f] = i
+    del kinds, known, place, flat
     tag = hot[word] & np.repeat(y == 1, np.diff(starts))
-    w, bias, params = np.zeros(len(names)), np.array([-3.0]), np.zeros(5)
-    w_before, w_after = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    w, bias, params = np.zeros(n_names), np.array([-3.0]), np.zeros(5)
+    w_before, w_after = np.zeros(n_names + 1), np.zeros(n_names + 1)
     states = [(np.zeros_like(a), np.zeros_like(a)) for a in (w, bias, params, w_before, w_after)]
     first = cuts[:-1]
     inner = np.ones(len(word), bool)
     inner[first] = False
-    inner = np.flatnonzero(inner)
+    inner = np.flatnonzero(inner).astype(np.int32)
     seen_pairs = np.bincount(tag[inner - 1] * 2 + tag[inner], minlength=4).astype(float)
     positive = max(1.0, tag.sum())
     for t in range(1, ROUNDS + 1):
@@ -229,23 +244,26 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         odds, x, z = marginals(e, cuts, params)
         p = _sigmoid(odds)
         by_side = []
+        miss = tag - p
         for v, it, seen_by in ((w_before, next_to - 1, next_to), (w_after, next_to, next_to - 1)):
-            g = np.bincount(beside[it], (tag - p)[seen_by], minlength=len(v)) / positive - BESIDE_DECAY * v
+            g = np.bincount(beside[it], miss[seen_by], minlength=len(v)) / positive - BESIDE_DECAY * v
             g[-1] = 0.0
             by_side.append(g)
-        per_kind = np.bincount(word, tag - p, minlength=n_kinds)
+        per_kind = np.bincount(word, miss, minlength=n_kinds)
         grad_w = np.bincount(pair_name, per_kind[pair_kind], minlength=len(w)) / positive - DECAY * w
-        grad_b = np.array([(tag - p).sum() / positive])
+        grad_b = np.array([miss.sum() / positive])
         # expected tag pairs: forward odds of the left word, the pair's weight, emission and backward odds of the right
-        left, right = x[inner - 1], e[inner] + z[inner]
-        logs = np.stack([np.full(len(inner), params[0]), params[1] + right, params[2] + left, params[3] + left + right])
-        logs -= logs.max(0)
-        pairs = np.exp(logs)
-        pairs = (pairs / pairs.sum(0)).sum(1)
+        pairs = np.zeros(4)
+        for i in range(0, len(inner), AT_ONCE):
+            here = inner[i : i + AT_ONCE]
+            left, right = x[here - 1], e[here] + z[here]
+            logs = np.stack([np.full(len(here), params[0]), params[1] + right, params[2] + left, params[3] + left + right])
+            share = np.exp(logs - logs.max(0))
+            pairs += (share / share.sum(0)).sum(1)
         grad_p = np.append((seen_pairs - pairs) / positive, (tag[first] - p[first]).sum() / positive) - 1e-3 * params
         for a, g, s in zip((w, bias, params, w_before, w_after), (grad_w, grad_b, grad_p, *by_side), states):
             _step(a, g, (*s, t), RATE)
-    weights = {mark + f: float(v[i]) for mark, v in (("", w), (BEFORE, w_before), (AFTER, w_after)) for i, f in enumerate(names) if abs(v[i]) > 0.03}
+    weights = {mark + f: float(v[i]) for mark, v in (("", w), (BEFORE, w_before), (AFTER, w_after)) for f, i in names.items() if abs(v[i]) > 0.03}
     model = Model(weights, float(bias[0]), params, np.zeros(4))
     f = text_features(*model.odds(texts))
     design, scale = np.concatenate([np.ones((len(f), 1)), f], axis=1), np.zeros(4)
@@ -262,8 +280,8 @@ def held_out(id_col) -> F.col:
 
 
 def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> Model:
-    """Fit on at most ``per_class`` labelled, not held-out documents of each class, those
-    with the least hash of their id; only texts and labels are read. Of labels that contradict
+    """Fit, in one task, on at most ``per_class`` labelled, not held-out documents of each class,
+    those with the least hash of their id; only texts and labels are read. Of labels that contradict
     each other 1 counts; of rows that repeat an id the least text; of texts alike the label of
     the least id. Labels of null ids and other values than 0 and 1 do not count."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(id_col).agg(F.max(label_col).alias("label"))
@@ -271,12 +289,20 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label in (0, 1):
         some = known.where(F.col("label") == label).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    # 2 * per_class rows at most, so the join may broadcast them
-    rows = df.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text")).collect()
-    # copies would count a text's words more than once
-    unique = {r.text: r.label for r in sorted(rows, key=lambda r: r[id_col], reverse=True)}
-    texts = sorted((t for t in unique if t is not None))
-    return fit(texts, [int(unique[t]) for t in texts])
+    # 2 * per_class rows at most, so the join may broadcast them, and one task fits on them
+    rows = df.select(id_col, F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
+
+    def learn(batches):
+        got = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in (id_col, "label", "text")))), key=lambda r: r[0], reverse=True)
+        # copies would count a text's words more than once
+        unique = {text: label for _, label, text in got if text is not None}
+        texts = sorted(unique)
+        del got
+        m = fit(texts, [int(unique[t]) for t in texts])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((m.weights, m.bias, m.params, m.scale))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    return Model(*pickle.loads(found[0].model)) if found else fit([], [])
 
 
 _local: dict = {}
