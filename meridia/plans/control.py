@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.time import floor_div, target_seconds
+from ..sources import store
+from ..sources.packets import PacketSource
 from .inputs import HOUR, L, P, S, by_time, packets, samples, table, tiles
 from .registry import register
 from .retention import KEPT, window_rows
@@ -18,6 +20,16 @@ def q(sql=None):
     return register(QUERIES, sql)
 
 
+@q(f"WITH {P} SELECT stream, arrival, t AS pts, CAST(NULL AS BIGINT) AS dts, ra AS random_access, CAST(bytes AS INTEGER) AS bytes FROM p")
+def src1_packets(spark, d):
+    """SRC-1: packets written as lines and read back by the packet source, a partition a file; what a line lacks is null."""
+    path = store.shared_folder(spark, "packets")
+    packets(spark, d).select("stream", "arrival", F.col("t").alias("pts"), F.col("ra").alias("random_access"), "bytes").write.json(path)
+    spark.dataSource.register(PacketSource)
+    got = spark.read.format("packets").option("paths", ",".join(store.files(spark, path))).load()
+    return got.select("stream", "arrival", "pts", "dts", "random_access", "bytes")
+
+
 @q(f"WITH {P}, a AS (SELECT count(*) AS packets_total, CAST(sum(bytes) AS BIGINT) AS bytes_total, count(*) FILTER (ra) AS random_access_total, count(*) FILTER (kind = 'error') AS errors_total, max(bytes) AS largest_packet FROM p) UNPIVOT (SELECT * FROM a) ON COLUMNS(*) INTO NAME name VALUE value")
 def agg2_process(spark, d):
     """AGG-2: the process's counters, a row each."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -21,8 +23,10 @@ class _Reader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
+        # a path or the address of a file on any store that PyArrow knows
+        fs, path = pafs.FileSystem.from_uri(partition.value) if "://" in partition.value else (pafs.LocalFileSystem(), partition.value.removeprefix("file:"))
+        with fs.open_input_stream(path) as f, io.TextIOWrapper(f, encoding="utf-8") as lines:
+            for line in lines:
                 if line.strip():
                     row = json.loads(line)
                     yield tuple(row.get(n) for n in self.names)

@@ -28,6 +28,12 @@ def _batches(spark: SparkSession, root: str, batch: str = "*") -> list[str]:
     return sorted(str(x.getPath().getParent()) for x in found or [])
 
 
+def files(spark: SparkSession, folder: str) -> list[str]:
+    """The data files of a folder that Spark wrote."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    return sorted(str(x.getPath()) for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or [])
+
+
 def commit(df: DataFrame, root: str, batch: int) -> bool:
     """Write a batch; False if it is committed already, by this driver or another.
 

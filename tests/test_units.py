@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from meridia.functions import text, time
 from meridia.operators import folds
+from meridia.operators.aggregates import quantile
 from meridia.operators.joins import as_of_forward, overlap_join
 
 
@@ -145,6 +146,17 @@ def test_floor_division_is_exact(spark):
     assert all(x.k == x.t // grid for x in rows)
 
 
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
+def test_quantile_is_exact(spark, q):
+    import numpy as np
+
+    r = random.Random(5)
+    for values in ([], [3], [1, 2], [5] * 40, [r.randint(0, 9) for _ in range(300)], [r.randint(-(10**6), 10**6) for _ in range(5000)], [None, 4, None, 8, 9]):
+        df = spark.createDataFrame([(v,) for v in values], "v long")
+        got, real = quantile(df, "v", q).first().value, [v for v in values if v is not None]
+        assert got is None if not real else abs(got - np.quantile(real, q)) < 1e-6
+
+
 def test_one_long_stream_takes_linear_time(spark):
     import time as clock
 
