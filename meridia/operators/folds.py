@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 def fold(df: DataFrame, key: str, order: list[str], make: Callable[[Any], tuple[Callable, Callable]], schema: str, nullable: tuple[str, ...] = ()) -> DataFrame:
     """``make(key)`` gives ``step(row) -> rows`` and ``finish() -> rows``; results are tuples of the schema.
+    ``step.state`` has the containers that the fold's state is in, for its streaming form.
 
     Values are Arrow's: 64-bit integers stay exact. Null is a key like others; rows with a
     null in another column that is not ``nullable`` are passed over. A key's whole order
@@ -72,6 +73,7 @@ def density(width: int, limit: int):
             s["n"] += 1
             return out
 
+        step.state = (s,)
         return step, close
     return make
 
@@ -93,6 +95,7 @@ def floor_windows(width: int, num: int, den: int):
             s["media"] += r.media
             return out
 
+        step.state = (s,)
         return step, lambda: []
     return make
 
@@ -115,6 +118,7 @@ def gaps(tolerance: int):
                 s["expected"] += r.dur
             return out
 
+        step.state = (s,)
         return step, lambda: []
     return make
 
@@ -143,6 +147,7 @@ def greedy_parts(most: int):
             s["n"] += 1
             return out + (close("full") if s["size"] * 100 >= most * 85 else [])
 
+        step.state = (s,)
         return step, lambda: close("end")
     return make
 
@@ -258,6 +263,7 @@ def planned_parts(most: int):
                 out.append(take(runs[0]))
                 s["shown"] = None
 
+        step.state = (s,)
         return step, flush
     return make
 
@@ -283,6 +289,7 @@ def drift(width: int, behind: tuple[int, int], well: tuple[int, int]):
             s.update(start=r.t, media=0, held=0, behind=now)
             return [(key, r.arrival, had, gained, now)] if edge else []
 
+        step.state = (s,)
         return step, lambda: []
     return make
 
@@ -319,6 +326,7 @@ def cadence(period: int, tolerance: int, depth: int, strict: bool):
                 out.append(judge())
             return out
 
+        step.state = (held, s,)
         return step, finish
     return make
 
@@ -345,6 +353,7 @@ def lru(capacity: int):
             s["held"] += r.bytes
             return out
 
+        step.state = (entries, s,)
         return step, lambda: []
     return make
 
@@ -364,6 +373,7 @@ def takeover(drain: int):
             s.update(holder=r.arrival, until=r.t + drain)
             return [(key, r.arrival, verdict)]
 
+        step.state = (s,)
         return step, lambda: []
     return make
 
@@ -391,6 +401,7 @@ def bounded_queue(capacity: int, service: int):
             s["waiting"].append((r.arrival, r.t))
             return out
 
+        step.state = (s,)
         return step, lambda: drain(None)
     return make
 
@@ -407,6 +418,7 @@ def ledger(limit: int):
                 s["held"] = after
             return [(key, r.arrival, s["held"], refused)]
 
+        step.state = (s,)
         return step, lambda: []
     return make
 
@@ -420,21 +432,21 @@ def spill(capacity: int):
     low = high - capacity // 16
 
     def make(key):
-        waiting, held = deque(), 0
+        waiting, s = deque(), {"held": 0}
 
         def step(r):
-            nonlocal held
             if r.bytes > 0:
                 waiting.append((r.arrival, r.bytes))
-                held += r.bytes
+                s["held"] += r.bytes
             out = []
-            if held > high:
-                while held > low:
+            if s["held"] > high:
+                while s["held"] > low:
                     arrival, size = waiting.popleft()
-                    held -= size
-                    out.append((key, arrival, r.arrival, held))
+                    s["held"] -= size
+                    out.append((key, arrival, r.arrival, s["held"]))
             return out
 
+        step.state = (waiting, s,)
         return step, lambda: []
     return make
 
@@ -454,5 +466,6 @@ def permits(limit: int):
                 heapq.heappush(ends, r.t + r.dur)
             return [(key, r.arrival, 200 if admitted else 503, len(ends))]
 
+        step.state = (ends,)
         return step, lambda: []
     return make

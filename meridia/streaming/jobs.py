@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from ..functions.time import floor_div
 from ..plans.inputs import micros
@@ -60,6 +63,31 @@ def density(spark: SparkSession, path: str, width: int, files_per_trigger: int |
     return rows.groupBy("stream").applyInPandasWithState(run, "stream long, start long, packets long", "start long, mark long, n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def fold(rows: DataFrame, key: str, order: list[str], make: Callable, schema: str) -> DataFrame:
+    """A fold of ``operators.folds`` over a stream: its state is kept from batch to batch and survives restarts.
+
+    A batch's rows of a key are taken in ``order``; rows that come in a later batch come later, whatever
+    their order. What a fold tells at its end is not told, for a stream has none. Rows with a null in
+    another column than the key are passed over."""
+    names = [c for c in rows.columns if c != key]
+    for c in names:
+        rows = rows.where(F.col(c).isNotNull())
+    columns = StructType.fromDDL(schema).fieldNames()
+
+    def run(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        step, _ = make(group[0])
+        if state.exists:
+            for container, kept in zip(step.state, pickle.loads(state.get[0])):
+                container.clear()
+                (container.update if isinstance(container, dict) else container.extend)(kept)
+        table = pd.concat(batches).sort_values(order, kind="stable")
+        out = [x for values in zip(*(table[c].tolist() for c in names)) for x in step(SimpleNamespace(**dict(zip(names, values))))]
+        state.update((pickle.dumps(step.state),))
+        yield pd.DataFrame(out, columns=columns)
+
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "state binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def drain(df: DataFrame, mode: str, root: str | None = None) -> DataFrame:
     """Run a streaming frame over all that is there, and give what it wrote.
 

@@ -1,12 +1,15 @@
 """Streaming forms: late rows, restarts from a checkpoint, a packet stream, and a store with two drivers."""
 
 import json
+import random
 import shutil
 import threading
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from meridia.operators import folds
 from meridia.sources import store
 from meridia.sources.packets import PacketSource
 from meridia.streaming import jobs
@@ -146,3 +149,41 @@ def test_deliveries(spark):
     assert got == {
         "0": ("delivered", 1, 204, None), "1": ("rejected", 1, 404, None), "2": ("delivered", 3, 200, None), "3": ("exhausted", 3, 429, None), "4": ("exhausted", 3, None, "ConnectionError"), "5": ("delivered", 1, 200, None),
     }
+
+
+H = HOUR * 1000
+FOLDS = {
+    "density": (folds.density(24 * H, 4), "stream long, start long, packets long, dense boolean"),
+    "floor": (folds.floor_windows(10 * H, 1, 2), "stream long, start long, elapsed long, media long, slow boolean"),
+    "drift": (folds.drift(10 * H, (9, 10), (19, 20)), "stream long, arrival long, had long, gained long, behind boolean"),
+    "gaps": (folds.gaps(H), "stream long, arrival long, kind string, expected long, off long"),
+    "cadence": (folds.cadence(4 * H, H, 2, False), "stream long, arrival long, kind string, due long, off long"),
+    "greedy": (folds.greedy_parts(9 * H), "stream long, part long, start long, size long, units long, why string"),
+    "planned": (folds.planned_parts(9 * H), "stream long, segment long, part long, start long, size long, units long, error string"),
+    "takeover": (folds.takeover(6 * H), "stream long, arrival long, verdict string"),
+    "queue": (folds.bounded_queue(2, 9 * H), "stream long, arrival long, outcome string, waited long"),
+    "ledger": (folds.ledger(300), "stream long, arrival long, held long, refused boolean"),
+    "spill": (folds.spill(500), "stream long, arrival long, cause long, held long"),
+    "permits": (folds.permits(2), "stream long, arrival long, status int, held int"),
+    "lru": (folds.lru(300), "stream long, arrival long, victim string, stale boolean"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(FOLDS))
+def test_folds_as_streams(spark, tmp_path, name):
+    """Over three batches, with a restart after each, a stream tells what the fold tells of all rows, but for its end."""
+    r, source, root = random.Random(41), tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    kinds = "stream long, arrival long, t long, dur long, media long, held long, ra boolean, kind string, bytes long, entry string, epoch long, start long, segment long, independent boolean, can_end boolean"
+    rows, clock = [], 0
+    for i in range(90):
+        clock += r.randint(0, 5) * H
+        rows.append((i % 2, i, clock, r.randint(1, 5) * H, r.randint(1, 5) * H, r.randint(0, 1) * H, r.random() < 0.4, r.choice(["view", "signup", "error"]), r.randint(0, 200), r.choice("abcdef"), i // 20, clock, clock // (60 * H), r.random() < 0.3, True))
+    make, schema = FOLDS[name]
+    step_only = lambda key: (make(key)[0], lambda: [])
+    want = sorted(map(repr, folds.fold(spark.createDataFrame(rows, kinds), "stream", ["arrival"], step_only, schema).collect()))
+    for k in range(3):
+        spark.createDataFrame(rows[30 * k : 30 * k + 30], kinds).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(kinds).parquet(str(source))
+        got = jobs.drain(jobs.fold(stream, "stream", ["arrival"], make, schema), "append", root)
+    assert sorted(map(repr, got.collect())) == want and want
