@@ -19,7 +19,6 @@ dense group of m fingerprints returns at most m - 1 edges a bucket, not its pair
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterable, Iterator
 from functools import partial
 
