@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import math
 import pickle
+import re
 from array import array
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import WORD, arrow_words, parts
 
 #: at most so many labelled documents of each class are read for training
 SAMPLE_PER_CLASS = 1200
@@ -42,13 +42,24 @@ def bare(word: str) -> str:
     return word.lower().strip(EDGES)
 
 
+class _Kinds(dict):
+    """A character's kind, by its code point: A, a, 9 or another."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else "."
+        return kind
+
+
+_KINDS, _WORD, _RUN = _Kinds(), re.compile(WORD), re.compile(r"(.)\1+")
+
+
 def features(word: str) -> list[str]:
     """A word's own features; '^' marks a prefix, '#' a shape: runs of capitals, small letters, digits, others."""
     w = bare(word)
     if not w:
         return []
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else "." for c in word)
-    return [w, *("^" + w[:k] for k in PREFIXES if len(w) > k), "#" + "".join(k for k, _ in groupby(kinds))[:8]]
+    return [w, *["^" + w[:k] for k in PREFIXES if len(w) > k], "#" + _RUN.sub(r"\1", word.translate(_KINDS))[:8]]
 
 
 def marginals(e: np.ndarray, starts: np.ndarray, params: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,28 +121,29 @@ class Model:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         #: of each numbered word: its own log odds, and what it adds to those of the next and the last word
-        self.values, self.fresh = np.empty((0, 3)), []
+        self.values, self.fresh = np.empty((3, 0)), []
 
     def _learn(self, word: str) -> int:
-        w, known = bare(word), self.weights.get
-        self.fresh.append((self.bias + sum(known(f, 0.0) for f in features(word)), known(BEFORE + w, 0.0), known(AFTER + w, 0.0)))
+        known, own, some = self.weights.get, self.bias, features(word)
+        for f in some:
+            own += known(f, 0.0)
+        w = some[0] if some else ""
+        self.fresh.append((own, known(BEFORE + w, 0.0), known(AFTER + w, 0.0)))
         got = self.number[word] = len(self.number)
         return got
 
-    def odds(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    def odds(self, texts: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+        """Log odds of tag 1 of each word, and where each text's begin (one entry more than texts)."""
         if len(self.number) > REMEMBERED:
             self._forget()
-        parts, starts = [np.empty(0, np.int64)], [0]
+        words, starts = arrow_words(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+        coded = words.dictionary_encode()
         number, learn = self.number, self._learn
-        for t in texts:
-            words = (t or "").split()
-            parts.append(np.fromiter((number[w] if w in number else learn(w) for w in words), np.int64, len(words)))
-            starts.append(starts[-1] + len(words))
-        at, starts = np.concatenate(parts), np.array(starts)
+        at = np.array([number[w] if w in number else learn(w) for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
         if self.fresh:
-            self.values, self.fresh = np.concatenate([self.values, self.fresh]), []
-        own, before, after = self.values[at].T
-        e, inner = own.copy(), inside(starts)
+            self.values, self.fresh = np.concatenate([self.values, np.array(self.fresh).T], axis=1), []
+        own, before, after = (v[at] for v in self.values)
+        e, inner = own, inside(starts)
         e[inner] += before[inner - 1]
         e[inner - 1] += after[inner]
         return marginals(e, starts, self.params)[0], starts
@@ -142,16 +154,14 @@ class Model:
 
     def spans(self, text: str, odds: np.ndarray) -> list[dict]:
         """Runs of words over one half, as character offsets."""
-        out, at, last = [], 0, -2
-        for i, w in enumerate(text.split()):
-            at = text.index(w, at)
+        out, last = [], -2
+        for i, w in enumerate(_WORD.finditer(text)):
             if odds[i] > 0:
                 if last == i - 1:
-                    out[-1]["end"] = at + len(w)
+                    out[-1]["end"] = w.end()
                 else:
-                    out.append({"start": at, "end": at + len(w)})
+                    out.append({"start": w.start(), "end": w.end()})
                 last = i
-            at += len(w)
         return out
 
 
@@ -179,7 +189,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         return Model({}, -6.0, np.zeros(5), np.array([bias, 0, 0, 0]))
     # words and features as numbers: no list of words is kept
     kinds: dict[str, int] = {}
-    rows = [np.fromiter((kinds.setdefault(w, len(kinds)) for w in (t or "").split()), np.int32) for t in texts]
+    rows = [np.fromiter((kinds.setdefault(w, len(kinds)) for w in _WORD.findall(t or "")), np.int32) for t in texts]
     word = np.concatenate(rows)
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     # the chain is trained on pieces of at most PIECE words, so that texts of all lengths step together
@@ -312,13 +322,14 @@ def _scored(df: DataFrame, model: Model, text_col: str):
     spark = df.sparkSession
     sent = spark.sparkContext.broadcast((model.weights, model.bias, model.params, model.scale))
 
-    def score(texts: list) -> tuple[np.ndarray, list]:
+    def score(texts: pa.Array, tell: bool) -> tuple[np.ndarray, list]:
         if _local.get("id") != id(sent.value):
             _local.update(id=id(sent.value), model=Model(*sent.value), keep=sent.value)
         m = _local["model"]
         odds, starts = m.odds(texts)
         hot = np.concatenate([[0], np.cumsum(odds > 0)])
-        spans = [m.spans(t, odds[a:b]) if hot[b] > hot[a] else [] for t, a, b in zip(texts, starts[:-1].tolist(), starts[1:].tolist())]
+        ends = starts.tolist()
+        spans = [m.spans(texts[i].as_py(), odds[a:b]) if hot[b] > hot[a] else [] for i, (a, b) in enumerate(zip(ends, ends[1:]))] if tell else []
         return m.score(odds, starts), spans
 
     return score
@@ -333,7 +344,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for b in (part for whole in batches for part in parts(whole, 2, PART)):
-            scores, spans = run_score(b.column(2).to_pylist())
+            scores, spans = run_score(b.column(2), True)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, span)], names=["id", "held_out", "score", "predicted", "spans"])
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
@@ -347,6 +358,6 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def run(batches):
         for b in (part for whole in batches for part in parts(whole, place, PART)):
-            yield b.filter(pa.array(run_score(b.column(place).to_pylist())[0] < 0.5))
+            yield b.filter(pa.array(run_score(b.column(place), False)[0] < 0.5))
 
     return df.mapInArrow(run, df.schema)
