@@ -40,7 +40,7 @@ NEXT = 8
 #: lanes of a sketch that a pair met in a slice is compared by
 CHECK = 2
 #: members of a group of candidates in one block, and bytes of their texts together
-BLOCK, BLOCK_BYTES = 1024, 16 << 20
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 
 
 def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
