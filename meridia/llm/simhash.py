@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, equal_runs, forest, materialize, mix64, scratch
 from .components import connected_components
 
-#: variants that a task makes at once, and bytes of fingerprints that a bucket is to hold
-VARIANTS_AT_ONCE, BUCKET_BYTES = 4_000_000, 96 << 20
+#: variants that a task makes at once; memory that a bucket's rows may take in its task, and
+#: what a row takes there beside its own bytes: its key, its place in order and its tree
+VARIANTS_AT_ONCE, BUCKET_BYTES, ROW_EXTRA = 4_000_000, 320 << 20, 24
 #: emitted bytes that a task holds before it sends them on, and pairs verified at once
 HELD_BYTES, PACK = 32 << 20, 65_536
 #: members of a run that are compared with those next to them, before any are searched for trees
@@ -234,10 +235,10 @@ def _open_run_edges(words: np.ndarray, run: np.ndarray, owners: np.ndarray, root
 
 
 def buckets_bits(count: int, row_bytes: int, bits: int, least: int) -> int:
-    """p: so many first bits of a variant name its bucket that a bucket holds at most about
-    ``BUCKET_BYTES`` of ``count`` fingerprints, and at least ``least``."""
+    """p: so many first bits of a variant name its bucket that a bucket's share of ``count``
+    fingerprints takes at most about ``BUCKET_BYTES``, and at least ``least``."""
     p = least
-    while p < bits - 2 and count * row_bytes * sent_times(p) / (1 << p) > BUCKET_BYTES:
+    while p < bits - 2 and count * (row_bytes + ROW_EXTRA) * sent_times(p) / (1 << p) > BUCKET_BYTES:
         p += 1
     return p
 
@@ -293,12 +294,25 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket = key[0].as_py() & (1 << 40) - 1
-        rows = np.concatenate([np.frombuffer(x, kind) for b in batches for x in b.column("rows").to_pylist()])
-        keys = rows["node"].view(np.uint64) if whole else rows["key"].astype(np.uint64)
-        rows = rows[np.lexsort((rows["node"], keys))]
-        keys = rows["node"].copy().view(np.uint64) if whole else rows["key"].astype(np.uint64)
-        words = keys[:, None] if whole else rows["check"]
-        root = np.arange(len(rows))
+        cells = [x for b in batches for x in b.column("rows").to_pylist()]
+        n, at = sum(map(len, cells)) // kind.itemsize, 0
+        columns = {name: np.empty((n, *kind[name].shape), kind[name].base) for name in kind.names}
+        for i, cell in enumerate(cells):
+            rows = np.frombuffer(cell, kind)
+            for name, column in columns.items():
+                column[at : at + len(rows)] = rows[name]
+            at += len(rows)
+            cells[i] = None  # so that the rows are there once
+        del rows, cell
+        node = columns.pop("node")
+        # by key, and by node within one, so that a second run of a lost task finds the same trees
+        keys = node.view(np.uint64) if whole else columns["key"]
+        order = np.argsort(node, kind="stable").astype(np.int32) if not whole else None
+        order = np.argsort(keys) if whole else order[np.argsort(keys[order], kind="stable")]
+        node, keys = node[order], keys[order].astype(np.uint64)
+        words = keys[:, None] if whole else columns["check"][order]
+        del order, columns
+        root = np.arange(n)
         for run, owners, is_near in _bucket_runs(keys, bits, bucket, p):
             root = _verified(words, *_star(run, owners, is_near), root, most)
             if not whole:  # members of a run share a slice only: its centre need not link them
@@ -308,8 +322,8 @@ def ball_links(nodes: DataFrame, lanes: int, tables: int, bits: int, most: int,
                         break
                     root = _verified(words, owners[i], owners[i + step], root, most)
                 root = _joined(root, *_open_run_edges(words, run, owners, root, most))
-        linked = root != np.arange(len(root))
-        yield pa.RecordBatch.from_arrays([pa.array(rows["node"][linked]), pa.array(rows["node"][root[linked]])], names=["u", "v"])
+        linked = np.flatnonzero(root != np.arange(n))
+        yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], names=["u", "v"])
 
     sent = nodes.select("node", *(() if whole else ("sketch",))).mapInArrow(emit, "bucket long, rows binary")
     return sent.groupBy("bucket").applyInArrow(meet, "u long, v long")

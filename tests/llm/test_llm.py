@@ -317,6 +317,8 @@ def test_what_is_sent_of_a_fingerprint_does_not_grow_with_the_table(count):
     p = simhash.buckets_bits(count, 8, 64, 5)
     keys = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
     assert len(simhash.sent_to(keys, 64, p)[0]) * 8 / len(keys) < 100  # bytes, of 2,000 a document
+    # of a slice of the pipeline's sketches 28 bytes, sixteen times: under twice a document's 2,000
+    assert 16 * 28 * simhash.sent_times(simhash.buckets_bits(12_000_000, 28, 32, 1)) < 4000
     # and up to 10^11 documents with the square of the logarithm
     assert 8 * simhash.sent_times(simhash.buckets_bits(10**11, 8, 64, 5)) < 1200
 
