@@ -484,7 +484,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
         roots = connected_components(exact_links(members, with_id, id_col, text_col, shingle, similarity))
         member = groups.join(roots, "node", "left").select(F.struct("id", "hash").alias("low"), F.coalesce("root", "node").alias("root"))
         low = member.groupBy("root").agg(F.min("low").alias("low"))
-        kept = made.keep(low.select(F.col("low.id").alias("_id"), F.col("low.hash").alias("_hash")), "kept")
+        low = low.select(F.col("low.id").alias("_id"), F.col("low.hash").alias("_hash"))
+        # of most ids and texts there is one row: only the others need be shuffled to leave one of them
+        alike = docs.groupBy(F.col("id").alias("_id"), F.col("hash").alias("_hash")).agg((F.count("*") > 1).alias("_alike"))
+        kept = made.keep(low.join(alike, ["_id", "_hash"]), "kept")
     with_id = with_id.withColumn("_hash", text_hash(text_col)).withColumn("_id", F.col(id_col))
-    with_id = with_id.join(kept, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select(df.columns)
-    return with_id.unionByName(df.where(F.col(id_col).isNull())).select(df.columns)
+    single = with_id.join(kept.where("not _alike"), ["_id", "_hash"], "left_semi")
+    repeated = with_id.join(kept.where("_alike"), ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return single.select(df.columns).unionByName(repeated.select(df.columns)).unionByName(df.where(F.col(id_col).isNull()))
