@@ -29,10 +29,15 @@ def idiv(a, b) -> Column:
     return F.try_divide(_wide(a) - _wide(a) % _wide(b), _wide(b)).cast("decimal(38,0)")
 
 
+def _div(a: Column, b: int) -> Column:
+    """A long divided by a constant, toward zero."""
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
 def floor_div(a, b: int) -> Column:
     """Floor of a long by a positive constant, exact for all longs."""
-    a, b = _c(a), F.lit(b).cast("long")
-    return F.call_function("div", a - F.pmod(a, b), b)
+    a = _c(a)
+    return _div(a - F.pmod(a, F.lit(b).cast("long")), b)
 
 
 def rescale(ticks, num, den, out_num, out_den) -> Column:
@@ -66,8 +71,7 @@ def telemetry_nanos(ticks, num, den) -> Column:
 
 def target_seconds(nanos) -> Column:
     """Whole seconds, halves up, at least 1."""
-    n = _c(nanos)
-    return F.greatest(F.lit(1).cast("long"), idiv(n + NANOS // 2, NANOS).cast("long"))
+    return F.greatest(F.lit(1).cast("long"), _div(_c(nanos).cast("long") + NANOS // 2, NANOS))
 
 
 def quantum(in_num, in_den, out_num, out_den) -> Column:
@@ -78,9 +82,9 @@ def quantum(in_num, in_den, out_num, out_den) -> Column:
 
 def decimal_seconds(nanos) -> Column:
     """Seconds as text: whole, or up to nine digits without trailing zeros."""
-    n = _c(nanos)
+    n = _c(nanos).cast("long")
     part = n % NANOS
-    whole = idiv(n, NANOS).cast("long").cast("string")
+    whole = _div(n, NANOS).cast("string")
     digits = F.regexp_replace(F.lpad(part.cast("string"), 9, "0"), "0+$", "")
     return F.when(part == 0, whole).otherwise(F.concat(whole, F.lit("."), digits))
 
