@@ -98,20 +98,43 @@ def pace(c: Column) -> Column:
     return F.when((whole != "") & (num > 0), F.struct((num / g).cast("long").alias("num"), (den / g).cast("long").alias("den")))
 
 
-def stream_id(c: Column) -> Column:
-    """struct(mode, resource, credential) of an SRT stream id, or null where it is refused:
-    ``#!::k=v,...`` without repeats or unknown one-letter keys, ``publish:res[:cred]``, or a bare name."""
-    body = F.split(F.substring(c, 5, 100_000), ",")
-    keys = F.transform(body, lambda x: F.regexp_extract(x, "^[^=]*", 0))
-    value = lambda k: F.try_element_at(F.filter(body, lambda x: x.startswith(k + "=")), F.lit(1))
-    after = lambda x: F.regexp_extract(x, "=(.*)$", 1)
-    bad = (F.size(F.array_distinct(keys)) < F.size(keys)) | F.exists(keys, lambda k: k.rlike("^[a-z]$") & ~k.isin("r", "m", "u", "h", "s", "t")) | F.exists(body, lambda x: ~x.contains("="))
-    mode = F.coalesce(after(value("m")), F.lit("publish"))
-    standard = F.when(~bad & value("r").isNotNull() & (mode == "publish"), F.struct(F.lit("standard").alias("form"), after(value("r")).alias("resource"), after(value("s")).alias("credential")))
-    parts = F.split(c, ":", 3)
-    prefixed = F.when(F.size(parts) >= 2, F.struct(F.lit("publish").alias("form"), F.element_at(parts, 2).alias("resource"), F.try_element_at(parts, F.lit(3)).alias("credential")))
-    bare = F.struct(F.lit("legacy").alias("form"), c.alias("resource"), F.lit(None).cast("string").alias("credential"))
-    return F.when(c.startswith("#!::"), standard).when(c.startswith("publish:"), prefixed).when(c.rlike("^(read|request):") | (c == ""), None).otherwise(bare)
+def stream_id(c: Column, longest: int = 512) -> Column:
+    """struct(form, namespace, name, credential) of a publisher's stream id of at most ``longest`` bytes, or
+    null where it is refused.
+
+    ``publish:resource[:credential]``, where the resource is its own credential if there is no other;
+    ``#!::key=value,...`` with a user (the credential) and a resource, no repeats, no empty parts, no
+    one-letter key that is not known, and no other mode or type than publish and stream; or a bare
+    name. What precedes a resource's last slash is its namespace."""
+    none = F.lit(None).cast("string")
+
+    def found(form: str, resource: Column, credential: Column) -> Column:
+        slash = resource.contains("/")
+        space, name = F.regexp_extract(resource, "^(.*)/[^/]*$", 1), F.regexp_extract(resource, "([^/]*)$", 1)
+        fine = (resource != "") & (credential != "") & (~slash | ((space != "") & (name != "")))
+        return F.when(fine, F.struct(F.lit(form).alias("form"), F.when(slash, space).alias("namespace"), name.alias("name"), credential.alias("credential")))
+
+    rest = F.substring(c, 9, 1 << 30)
+    first = F.regexp_extract(rest, "(?s)^([^:]*)", 1)
+    compact = found("compact", first, F.when(rest.contains(":"), F.regexp_extract(rest, "(?s)^[^:]*:(.*)$", 1)).otherwise(rest))
+    fields = F.split(F.substring(c, 5, 1 << 30), ",", -1)
+    keys = F.transform(fields, lambda x: F.regexp_extract(x, "(?s)^([^=]+)=.+$", 1))
+    value = lambda k: F.regexp_extract(F.try_element_at(F.filter(fields, lambda x: x.startswith(k + "=")), F.lit(1)), "(?s)=(.*)$", 1)
+    bad = F.array_contains(keys, "") | (F.size(F.array_distinct(keys)) < F.size(keys)) | F.exists(keys, lambda k: (F.octet_length(k) == 1) & ~k.isin("r", "m", "u", "h", "s", "t"))
+    mode, kind = F.coalesce(value("m"), F.lit("publish")), F.coalesce(value("t"), F.lit("stream"))
+    structured = F.when(~bad & (mode == "publish") & (kind == "stream"), found("structured", value("r"), value("u")))
+    bare = F.struct(F.lit("bare").alias("form"), none.alias("namespace"), c.alias("name"), c.alias("credential"))
+    refused = (c == "") | c.rlike("^(read:|request:|#!:)") | (F.octet_length(c) > longest)
+    return F.when(c.startswith("#!::") & (F.octet_length(c) <= longest), structured).when(refused, None).when(c.startswith("publish:"), compact).when(c.isNotNull(), bare)
+
+
+def retry_wait(attempt: Column, header: Column, first: int = 1, longest: int = 60) -> Column:
+    """Seconds to wait after an attempt (from 0): what a Retry-After header asks for, else ``first`` doubled
+    each time, both at most ``longest``. Headers that are no whole seconds ask for nothing."""
+    digits = F.regexp_extract(F.trim(header), r"^\+?([0-9]{1,18})$", 1)
+    asked = F.when(digits != "", digits).cast("long")
+    doubled = F.least(F.pow(F.lit(2), F.least(attempt, F.lit(40))) * first, F.lit(longest)).cast("long")
+    return F.least(F.coalesce(asked, doubled), F.lit(longest).cast("long"))
 
 
 def interpolate(text: str, env: dict) -> str:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text, time
-from .inputs import P, S, packets, samples, table
+from .inputs import P, S, by_time, packets, samples, table
 from .registry import register
 
 QUERIES: dict = {}
@@ -211,21 +211,41 @@ def fn18_pace(spark, d):
     return table(spark, d, "part").select("p_partkey", text.pace(s).alias("f")).where("f is not null").select("p_partkey", "f.num", "f.den")
 
 
-@q(f"WITH {P} SELECT arrival, CASE WHEN status BETWEEN 200 AND 299 THEN 'delivered' WHEN status IN (408, 425, 429) OR status >= 500 THEN 'retry' ELSE 'reject' END AS verdict, least(60, 1 << (arrival % 8)::INT)::BIGINT AS wait FROM (SELECT *, [200, 204, 404, 408, 429, 500, 503, 301][(arrival % 8 + 1)::INT] AS status FROM p)")
+#: Retry-After headers and the seconds they ask for
+AFTER = ((None, None), ("5", "5"), ("120", "120"), ("abc", None), ("-1", None), ("0", "0"), (" 7 ", "7"), ("1.5", None), ("", None), ("+9", "9"), ("Wed, 21 Oct 2015 07:28:00 GMT", None))
+
+
+@q(f"WITH {P}, x AS (SELECT arrival, 200 + bytes % 400 AS status, (row_number() OVER (PARTITION BY stream ORDER BY t, arrival) - 1) % 12 AS attempt, CAST({_choice(AFTER, f'arrival % {len(AFTER)}', 1)} AS BIGINT) AS asked FROM p) SELECT arrival, CASE WHEN status < 300 THEN 'delivered' WHEN status IN (408, 425, 429) OR status >= 500 THEN 'retry' ELSE 'reject' END AS verdict, CASE WHEN status IN (408, 425, 429) OR status >= 500 THEN CAST(least(60, coalesce(asked, pow(2, attempt))) AS BIGINT) END AS wait FROM x")
 def fn19_retry(spark, d):
-    """FN-19, FN-20: verdicts by status and doubling waits under a cap."""
-    status = F.element_at(F.array(*[F.lit(x) for x in (200, 204, 404, 408, 429, 500, 503, 301)]), (F.col("arrival") % 8 + 1).cast("int"))
-    verdict = F.when(status.between(200, 299), "delivered").when(status.isin(408, 425, 429) | (status >= 500), "retry").otherwise("reject")
-    return packets(spark, d).select("arrival", verdict.alias("verdict"), F.least(F.lit(60), F.pow(F.lit(2), F.col("arrival") % 8)).cast("long").alias("wait"))
+    """FN-19, FN-20: verdicts by status, and waits that double under a cap of 60, or are what the endpoint asks for."""
+    status = F.lit(200) + F.col("bytes") % 400
+    attempt = (F.row_number().over(by_time()) - 1) % 12
+    verdict = F.when(F.col("status") < 300, "delivered").when(F.col("status").isin(408, 425, 429) | (F.col("status") >= 500), "retry").otherwise("reject")
+    wait = text.retry_wait(F.col("attempt"), _pick(AFTER, F.col("arrival") % len(AFTER), 0))
+    return packets(spark, d).select("arrival", status.alias("status"), attempt.alias("attempt")).select("arrival", verdict.alias("verdict"), F.when(verdict == "retry", wait).alias("wait"))
+
+
+#: stream ids with # for a number, and their form, namespace, name and credential
+STREAM_IDS = (
+    ("#!::u=me,r=live/#,m=publish", "structured", "live", "#", "me"), ("#!::r=#,u=k=#", "structured", None, "#", "k=#"), ("#!::r=#,m=publish", None, None, None, None), ("#!::u=a,r=#,m=request", None, None, None, None),
+    ("#!::u=a,r=#,r=#", None, None, None, None), ("#!::u=a,r=#,x=1", None, None, None, None), ("#!::u=a,r=#,h=,s=1", None, None, None, None), ("#!::u=a,r=a/b/#,h=x,s=1,custom=é,t=stream", "structured", "a/b", "#", "a"),
+    ("#!::u=a,r=#,t=file", None, None, None, None), ("#!:u=a,r=#", None, None, None, None), ("publish:#", "compact", None, "#", "#"), ("publish:live/#:user:pa:ss", "compact", "live", "#", "user:pa:ss"),
+    ("publish::#", None, None, None, None), ("publish:#:", None, None, None, None), ("publish:/#:k", None, None, None, None), ("publish:#/:k", None, None, None, None), ("read:#", None, None, None, None), ("request:#", None, None, None, None),
+    ("live/#", "bare", None, "live/#", "live/#"), ("Publish:#", "bare", None, "Publish:#", "Publish:#"), ("#!::", None, None, None, None), ("#!::u=a,,r=#", None, None, None, None), ("#!::u=a,r=#,U=2", None, None, None, None),
+)
+
+
+def _id_part(column: int) -> str:
+    return f"replace({_choice(STREAM_IDS, 'k', column)}, '#', CAST(c_custkey AS VARCHAR))"
 
 
-@q("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'standard' WHEN 1 THEN 'publish' WHEN 4 THEN 'legacy' END AS form, CASE WHEN c_custkey % 5 IN (0, 1, 4) THEN 'live/' || c_custkey END AS resource, CASE c_custkey % 5 WHEN 0 THEN 'abc' WHEN 1 THEN 'key' END AS credential FROM customer")
+@q(f"SELECT c_custkey, {_choice(STREAM_IDS, 'k', 1)} AS form, {_id_part(2)} AS namespace, {_id_part(3)} AS name, {_id_part(4)} AS credential FROM (SELECT c_custkey, c_custkey % {len(STREAM_IDS)} AS k FROM customer)")
 def fn24_stream_id(spark, d):
-    """FN-24: SRT stream ids of five shapes, two of them refused."""
-    r = F.concat(F.lit("live/"), F.col("c_custkey").cast("string"))
-    k = F.col("c_custkey") % 5
-    s = F.when(k == 0, F.concat(F.lit("#!::r="), r, F.lit(",m=publish,s=abc"))).when(k == 1, F.concat(F.lit("publish:"), r, F.lit(":key"))).when(k == 2, F.concat(F.lit("read:"), r)).when(k == 3, F.concat(F.lit("#!::r="), r, F.lit(",r=x"))).otherwise(r)
-    return table(spark, d, "customer").select("c_custkey", text.stream_id(s).alias("x")).select("c_custkey", "x.form", "x.resource", "x.credential")
+    """FN-24: publishers' stream ids in three forms, and those refused."""
+    raw = _pick(STREAM_IDS, F.col("c_custkey") % len(STREAM_IDS), 0)
+    number = F.col("c_custkey").cast("string")
+    s = F.when(raw.startswith("#!:"), F.concat(F.lit("#!:"), F.replace(F.substring(raw, 4, 1000), F.lit("#"), number))).otherwise(F.replace(raw, F.lit("#"), number))
+    return table(spark, d, "customer").select("c_custkey", text.stream_id(s).alias("x")).select("c_custkey", "x.form", "x.namespace", "x.name", "x.credential")
 
 
 @q("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'audio/' ELSE 'pid/' END || p_partkey AS key, lower(hex(p_brand)) AS hexed, p_brand AS back, greatest(1, (48000 + p_partkey) // (p_partkey + 1)) AS quantum FROM part")
