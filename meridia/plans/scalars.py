@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions import text, time
+from ..functions import codecs, text, time
 from .inputs import P, S, by_time, packets, samples, table
 from .registry import register
 
@@ -16,6 +16,19 @@ def q(sql=None):
     return register(QUERIES, sql)
 
 
+def _sql_text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+def _choice(rows: tuple, of: str, column: int) -> str:
+    """SQL: the column of the row with number ``of``, as text."""
+    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {_sql_text(r[column])}" for i, r in enumerate(rows)) + " END"
+
+
+def _pick(rows: tuple, of, column: int):
+    return F.get(F.array(*[F.lit(r[column]).cast("string") for r in rows]), of)
+
+
 @q("SELECT l_orderkey AS k, l_partkey AS p, l_linenumber AS n, CAST(l_partkey - 1000 AS BIGINT) AS ticks, "
    "CAST(sign(l_partkey - 1000) * ((abs(l_partkey - 1000)::HUGEINT * 90000 * 2 + 44100) // 88200) AS BIGINT) AS nearest, "
    "CAST(floor_q AS BIGINT) AS low, CAST(-floor_m AS BIGINT) AS high FROM (SELECT *, ((l_partkey - 1000)::HUGEINT * 90000 - ((((l_partkey - 1000)::HUGEINT * 90000) % 44100) + 44100) % 44100) // 44100 AS floor_q, "
@@ -45,13 +58,34 @@ def prj3_language(spark, d):
     return table(spark, d, "documents").select("doc_id", text.language(code).alias("language"), F.octet_length(text.title(F.col("source"))).cast("long").alias("n"))
 
 
-@q("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'avc1.' || printf('%02X%02X%02X', p_size::INT, (p_size * 3 % 256)::INT, (30 + p_size % 20)::INT) WHEN p_size % 3 = 1 THEN 'mp4a.40.' || (p_size % 6) ELSE 'wvtt' END AS codec FROM part")
+#: a track's codec, the first bytes of its configuration, and how many bytes follow
+CONFIGS = (
+    ("h264", "01", 12), ("h264", "00000001", 12), ("h264", "0909000001674D", 8), ("h264", "00000109", 8), ("h264", "", 0), ("hevc", "01", 22), ("hevc", "01", 12), ("av1", "81", 3), ("av1", "81", 1), ("av1", "80", 3),
+    ("aac", "", 2), ("aac", "F9", 1), ("aac", "00", 1), ("aac", "", 0), ("flac", "", 3), ("opus", "", 0), ("webvtt", "", 0), ("mov_text", "", 0), ("subrip", "", 0), ("hevc", "01", 30),
+)
+#: byte i of what follows; every fifth track has zeros from the eighth on
+SEED = "CASE WHEN p_partkey % 5 = 0 AND {i} > 7 THEN 0 ELSE (p_partkey * ({i} * 37 + 11) + p_size * 7) % 256 END"
+_N = max(x[2] for x in CONFIGS)
+_HEX = f"(SELECT *, {_choice(CONFIGS, 'k', 0)} AS codec, {_choice(CONFIGS, 'k', 1)} || substr(" + " || ".join(f"printf('%02X', ({SEED.format(i=i)})::INT)" for i in range(_N)) + ", 1, 2 * CASE k " + " ".join(f"WHEN {i} THEN {x[2]}" for i, x in enumerate(CONFIGS)) + f" END) AS h FROM (SELECT p_partkey, p_size, p_partkey % {len(CONFIGS)} AS k FROM part))"
+
+
+def _byte(i: int) -> str:
+    return f"CAST('0x' || nullif(substr(h, {2 * i + 1}, 2), '') AS INTEGER)"
+
+
+@q(f"""WITH x AS (SELECT *, length(h) // 2 AS n, {_byte(0)} AS a, {_byte(1)} AS b, {_byte(2)} AS c, {_byte(12)} AS level FROM {_HEX})
+ SELECT p_partkey, CASE codec WHEN 'h264' THEN CASE WHEN n >= 4 AND a = 1 THEN 'avc1.' || lower(substr(h, 3, 6)) WHEN regexp_matches(h, '^(?:..)*?000001[02468ACE]7......') THEN 'avc1.' || lower(regexp_extract(h, '^(?:..)*?000001[02468ACE]7(......)', 1)) ELSE 'avc1' END
+  WHEN 'hevc' THEN CASE WHEN n < 23 THEN 'hvc1' ELSE 'hvc1.' || ['', 'A', 'B', 'C'][b // 64 + 1] || b % 32 || '.' || printf('%X', CAST('0b' || reverse(lpad(bin(CAST('0x' || substr(h, 5, 8) AS BIGINT)), 32, '0')) AS BIGINT)) || '.' || CASE WHEN b // 32 % 2 = 1 THEN 'H' ELSE 'L' END || level || CASE WHEN p_partkey % 5 = 0 THEN regexp_replace(substr(h, 13, 6), '(..)', '.\\1', 'g') ELSE regexp_replace(substr(h, 13, 2 * greatest(0, {" , ".join(f"CASE WHEN substr(h, {13 + 2 * i}, 2) <> '00' THEN {i + 1} ELSE 0 END" for i in range(6))})), '(..)', '.\\1', 'g') END END
+  WHEN 'av1' THEN CASE WHEN n >= 4 AND a = 129 AND b // 32 <= 2 AND (c // 32 % 2 = 0 OR (b // 32 = 2 AND c // 64 % 2 = 1)) THEN 'av01.' || b // 32 || '.' || printf('%02d', b % 32) || CASE WHEN c >= 128 THEN 'H' ELSE 'M' END || '.' || CASE WHEN c // 32 % 2 = 1 THEN '12' WHEN c // 64 % 2 = 1 THEN '10' ELSE '08' END END
+  WHEN 'aac' THEN 'mp4a.40.' || CASE WHEN n = 0 OR a // 8 = 0 THEN 2 WHEN a // 8 = 31 AND n > 1 THEN 32 + a % 8 * 8 + b // 32 ELSE a // 8 END WHEN 'flac' THEN 'fLaC' WHEN 'opus' THEN 'opus' WHEN 'webvtt' THEN 'wvtt' WHEN 'mov_text' THEN 'tx3g' END AS codec FROM x""")
 def prj5_rfc6381(spark, d):
-    """PRJ-5: codec strings from a codec and its profile bytes."""
-    s = F.col("p_size")
-    two = lambda c: F.lpad(F.hex(c.cast("long")), 2, "0")
-    codec = F.when(s % 3 == 0, F.concat(F.lit("avc1."), two(s), two(s * 3 % 256), two(30 + s % 20))).when(s % 3 == 1, F.concat(F.lit("mp4a.40."), (s % 6).cast("string"))).otherwise("wvtt")
-    return table(spark, d, "part").select("p_partkey", codec.alias("codec"))
+    """PRJ-5: codec strings from decoder configurations: records, streams with start codes, short and wrong ones."""
+    k = F.col("p_partkey") % len(CONFIGS)
+    c = F.col
+    seed = F.transform(F.sequence(F.lit(0), F.lit(_N - 1)), lambda i: F.lpad(F.hex(F.when((c("p_partkey") % 5 == 0) & (i > 7), 0).otherwise((c("p_partkey") * (i * 37 + 11) + c("p_size") * 7) % 256).cast("long")), 2, "0"))
+    size = F.element_at(F.array(*[F.lit(x[2]) for x in CONFIGS]), (k + 1).cast("int"))
+    config = F.unhex(F.concat(_pick(CONFIGS, k, 1), F.array_join(F.slice(seed, 1, size), "")))
+    return table(spark, d, "part").select("p_partkey", codecs.codec_string(_pick(CONFIGS, k, 0), config).alias("codec"))
 
 
 @q(f"WITH {P} SELECT arrival, '{{\"stream\":\"' || stream || '\",\"kind\":\"' || kind || '\",\"bytes\":\"' || bytes || '\"}}' AS body FROM p")
@@ -91,22 +125,6 @@ SUBRIP = (
 )
 
 
-def _sql_text(x: str | None) -> str:
-    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
-
-
-def _choice(rows: tuple, of: str, column: int) -> str:
-    """SQL: the column of the row with number ``of``, as text."""
-    return f"CASE {of} " + " ".join(f"WHEN {i} THEN {_sql_text(r[column])}" for i, r in enumerate(rows)) + " END"
-
-
-def _pick(rows: tuple, of, column: int):
-    out = F.lit(None).cast("string")
-    for i, r in enumerate(rows):
-        out = F.when(of == i, F.lit(r[column])).otherwise(out)
-    return out
-
-
 @q(f"SELECT conv_id, turn, {_choice(SUBRIP, f'(conv_id * 7 + turn) % {len(SUBRIP)}', 2)} || replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || {_choice(SUBRIP, f'(conv_id * 7 + turn) % {len(SUBRIP)}', 3)} AS vtt FROM conversations")
 def fn6_subrip(spark, d):
     """FN-6: SubRip markup to WebVTT, a stack of open tags (Arrow batches)."""
