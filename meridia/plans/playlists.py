@@ -178,13 +178,16 @@ def pl5_program_date(spark, d):
     return x.select("arrival", program_date("t").alias("pdt"))
 
 
-@q("SELECT o_orderkey, greatest(6, CASE WHEN o_orderkey % 2 = 0 THEN 9 ELSE 0 END, CASE WHEN o_orderkey % 5 = 0 THEN 10 ELSE 0 END) AS version, CASE o_orderkey % 4 WHEN 0 THEN 36.0 WHEN 1 THEN 3.0 WHEN 2 THEN 36.0 ELSE 6.0 END::DOUBLE AS max_age, CASE WHEN o_custkey % 3 = 0 THEN 'cc' WHEN o_custkey % 3 = 1 THEN 'NONE' END AS captions FROM orders")
+@q("WITH l AS (SELECT l_orderkey AS k, bool_or(l_returnflag = 'R') AS chunked, count(*) FILTER (l_quantity > 40) AS services, bool_or(l_discount < 0.03) AS video FROM lineitem GROUP BY 1) SELECT o_orderkey, greatest(CASE WHEN chunked THEN 9 ELSE 6 END, CASE left(o_orderpriority, 1) WHEN '1' THEN 9 WHEN '2' THEN 10 ELSE 0 END, CASE WHEN o_orderstatus = 'F' THEN 11 ELSE 0 END) AS version, CASE WHEN services > 0 THEN 'cc' WHEN video THEN 'NONE' END AS captions FROM orders LEFT JOIN l ON k = o_orderkey")
 def pl6_version(spark, d):
-    """PL-6, PL-9, PL-11: versions by feature, cache lifetimes by resource (target 6 s), caption references."""
-    k = F.col("o_orderkey")
-    age = F.when(k % 4 == 0, 6 * 6.0).when(k % 4 == 1, 6 / 2).when(k % 4 == 2, 6 * 6.0).otherwise(6.0)
-    captions = F.when(F.col("o_custkey") % 3 == 0, "cc").when(F.col("o_custkey") % 3 == 1, "NONE")
-    return table(spark, d, "orders").select("o_orderkey", F.greatest(F.lit(6), F.when(k % 2 == 0, 9).otherwise(0), F.when(k % 5 == 0, 10).otherwise(0)).alias("version"), age.alias("max_age"), captions.alias("captions"))
+    """PL-6, PL-11: the version that a playlist needs: 6 for headers, 9 for parts (orders with a returned line) and skips
+    (urgent ones), 10 for skips of date ranges (high ones), 11 for query variables (filled ones); and its caption
+    reference: the group if there are services, NONE for video without, else nothing."""
+    l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("chunked"), F.count_if(F.col("l_quantity") > 40).alias("services"), F.bool_or(F.col("l_discount") < 0.03).alias("video"))
+    first = F.substring("o_orderpriority", 1, 1)
+    delta = F.when(first == "1", 9).when(first == "2", 10).otherwise(0)
+    version = F.greatest(F.when(F.col("chunked"), 9).otherwise(6), delta, F.when(F.col("o_orderstatus") == "F", 11).otherwise(0))
+    return table(spark, d, "orders").join(l, "o_orderkey", "left").select("o_orderkey", version.alias("version"), F.when(F.col("services") > 0, "cc").when(F.col("video"), "NONE").alias("captions"))
 
 
 @q(f"WITH {P}, g AS (SELECT stream, kind, max(bytes) AS top FROM p GROUP BY 1, 2) SELECT stream, string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || top || ',CODECS=\"' || kind || '\"' || chr(10) || stream || '/' || kind || '.m3u8', chr(10) ORDER BY top, kind) AS playlist FROM g GROUP BY 1")
