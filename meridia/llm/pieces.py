@@ -25,7 +25,7 @@ from .common import parts, tokenizer_path
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 48
+REMEMBERED, LONGEST_REMEMBERED = 300_000, 48
 #: bytes of text that are worked on at once; a longer text is one part
 PART = 4 << 20
 
@@ -253,6 +253,7 @@ def encode(df: DataFrame, text_col: str = "text", model_path: str | None = None,
             if verify:
                 cols.append(pc.equal(pieces.decode(pa.array(ids), at), texts.cast(pa.large_string())))
             yield pa.RecordBatch.from_arrays(cols, names=[*b.schema.names, *added])
+        pieces.kept.clear()  # the worker may serve another operator next
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{schema}, token_ids array<int>, n_tokens long" + ", round_trip boolean" * verify)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, equal_runs, forest, materialize, mix64, scratch
+from .common import bytes_of, equal_runs, forest, materialize, mix64, parts, scratch
 from .components import connected_components
 
 #: variants that a task makes at once; memory that a bucket's rows may take in its task, and
@@ -36,6 +36,8 @@ from .components import connected_components
 VARIANTS_AT_ONCE, BUCKET_BYTES, ROW_EXTRA = 4_000_000, 320 << 20, 24
 #: emitted bytes that a task holds before it sends them on, and pairs verified at once
 HELD_BYTES, PACK = 32 << 20, 65_536
+#: bytes of text that are sketched at once; a longer text is one part
+PART = 4 << 20
 #: members of a run that are compared with those next to them, before any are searched for trees
 NEXT = 8
 #: lanes of a sketch that a pair met in a slice is compared by
@@ -75,7 +77,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, lanes: int
     """(id, sketch binary of 8 * lanes bytes) of each row."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 1, PART)):
             got = [simhash(shingle_hashes(t, shingle), lanes) for t in bytes_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["id", "sketch"])
 
@@ -88,7 +90,7 @@ def set_sketches(df: DataFrame, id_col: str, text_col: str, shingle: int, lanes:
     shingles, and the sketch of that set."""
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in parts(whole, 2, PART)):
             sets = [np.unique(shingle_hashes(t, shingle)) for t in bytes_of(b.column(2))]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             got = [pa.array(digests, pa.binary()), pa.array([simhash(s, lanes) for s in sets], pa.binary())]

@@ -31,7 +31,7 @@ ROUNDS, RATE, DECAY, BESIDE_DECAY, PIECE = 60, 0.3, 2e-4, 2e-3, 256
 AT_ONCE = 65_536
 #: marks of the word before and of the word after, among features
 BEFORE, AFTER = ">", "<"
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: bytes of text scored at once; a longer text is one part
 PART = 4 << 20
 PREFIXES = (4, 5, 6, 7)
@@ -346,6 +346,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         for b in (part for whole in batches for part in parts(whole, 2, PART)):
             scores, spans = run_score(b.column(2), True)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype(np.int32)), pa.array(spans, span)], names=["id", "held_out", "score", "predicted", "spans"])
+        _local.clear()  # the worker may serve another operator next
 
     kind = df.select(id_col).schema[0].dataType.simpleString()
     out = df.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, spans array<struct<start:int,end:int>>")
@@ -359,5 +360,6 @@ def drop_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def run(batches):
         for b in (part for whole in batches for part in parts(whole, place, PART)):
             yield b.filter(pa.array(run_score(b.column(place), False)[0] < 0.5))
+        _local.clear()
 
     return df.mapInArrow(run, df.schema)
