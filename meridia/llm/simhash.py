@@ -33,7 +33,7 @@ from .components import connected_components
 
 #: variants that a task makes at once; memory that a bucket's rows may take in its task, and
 #: what a row takes there beside its own bytes: its key, its place in order and its tree
-VARIANTS_AT_ONCE, BUCKET_BYTES, ROW_EXTRA = 4_000_000, 320 << 20, 24
+VARIANTS_AT_ONCE, BUCKET_BYTES, ROW_EXTRA = 1_500_000, 320 << 20, 24
 #: emitted bytes that a task holds before it sends them on, and pairs verified at once
 HELD_BYTES, PACK = 32 << 20, 65_536
 #: bytes of text that are sketched at once; a longer text is one part
@@ -150,7 +150,7 @@ def _bucket_runs(keys: np.ndarray, bits: int, bucket: int, p: int) -> Iterator[t
         return
     values, owners, is_near = [], [], []
     for e, x, y in zip(kinds, a.tolist(), b.tolist()):
-        who = np.arange(x, y)
+        who = np.arange(x, y, dtype=np.int32)
         even = who[(np.bitwise_count(keys[x:y]) & 1) == 0]
         for rows, errors, flag in ((who, few.get(e, ()), True), (even, more.get(e, ()), False)):
             if len(rows) and len(errors):
