@@ -19,6 +19,12 @@ def histogram(df: DataFrame, keys: list[str], value: Column, bounds: tuple = BOU
     return g.select(*keys, F.inline(rows), "n", "total")
 
 
+def long_if_it_fits(df: DataFrame, name: str) -> DataFrame:
+    """df with a column of whole decimals as longs; as decimals of 38 digits if one is beyond a long. Runs df once to see."""
+    beyond = F.col(name).isNotNull() & F.col(name).try_cast("long").isNull()
+    return df.withColumn(name, F.col(name).cast("decimal(38,0)" if df.where(beyond).limit(1).count() else "long"))
+
+
 def rate_steps(window, value: str) -> Column:
     """A counter's increase since the row before; after a reset its value."""
     before = F.lag(value).over(window)

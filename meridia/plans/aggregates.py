@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.time import floor_div
-from ..operators.aggregates import BOUNDS, histogram
+from ..operators.aggregates import BOUNDS, histogram, long_if_it_fits
 from .inputs import HOUR, L, P, S, packets, samples, table, tiles
 from .registry import register
 
@@ -59,8 +59,9 @@ def agg10_rejections(spark, d):
 
 @q(f"WITH {S} SELECT kind, ra AS concealed, count(*) AS n, CAST(sum(dur) AS BIGINT) AS missing FROM s WHERE dur > {10 * HOUR} GROUP BY 1, 2")
 def agg11_compensation(spark, d):
-    """AGG-11: holes of over 10 hours by codec and method."""
-    return samples(spark, d).where(F.col("dur") > 10 * HOUR).groupBy("kind", F.col("ra").alias("concealed")).agg(F.count("*").alias("n"), F.sum("dur").alias("missing"))
+    """AGG-11: holes of over 10 hours by codec and method; ``missing`` is a decimal where a sum is beyond a long."""
+    holes = samples(spark, d).where(F.col("dur") > 10 * HOUR).groupBy("kind", F.col("ra").alias("concealed"))
+    return long_if_it_fits(holes.agg(F.count("*").alias("n"), F.sum(F.col("dur").cast("decimal(20,0)")).alias("missing")), "missing")
 
 
 @q(f"WITH {S} SELECT stream, max(greatest(1, (dur + 500000000) // 1000000000)) AS target, min(dur) FILTER (ra) AS part FROM s GROUP BY 1")

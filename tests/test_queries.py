@@ -158,3 +158,15 @@ ret8_expiry str10_boundary pq14_server_errors""".split()
 @pytest.mark.parametrize("name", GRIDS)
 def test_query_on_boundaries(spark, on_the_hour, name):
     check(spark, connect(on_the_hour), on_the_hour, name)
+
+
+def test_hole_sums_beyond_a_long(spark, tmp_path):
+    """Two streams with a hole of 229 years each: together beyond 64 bits of nanoseconds, where the SQL's cast fails too."""
+    at = [31_536_000_000_123, 7_258_118_400_000_000]
+    events = [(2 * s + i, t, s, "view", 1.0, "{}") for s in range(2) for i, t in enumerate(at)]
+    e = pa.table(dict(zip(["event_id", "ts", "user_id", "event_type", "value", "props"], map(list, zip(*events)))))
+    pq.write_table(e.set_column(1, "ts", e.column("ts").cast(pa.timestamp("us"))), tmp_path / "events.parquet")
+    got = [tuple(r) for r in registry.queries()["agg11_compensation"](spark, str(tmp_path)).collect()]
+    assert 2 * (at[1] - at[0]) * 1000 >= 2**63
+    assert [(k, ra, n, int(missing)) for k, ra, n, missing in got] == [("view", True, 2, 2 * (at[1] - at[0]) * 1000)]
+    assert dict(registry.queries()["agg11_compensation"](spark, DIR).dtypes)["missing"] == "bigint"
