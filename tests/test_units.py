@@ -223,3 +223,13 @@ def test_llm_can_be_left_out():
 
     code = "import sys; sys.modules['meridia.llm']=None; sys.modules['corpus_pipeline']=None; import __spark_entry__ as e; assert len(e.queries()) > 100 and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=sys.path[0])
+
+
+def test_hevc_constraints_end_at_the_last_byte_that_is_not_zero(spark):
+    from meridia.functions import codecs
+
+    head = "0109B9ABC4DD"
+    cases = {"DE6F00000000": ".DE.6F", "DE006F000000": ".DE.00.6F", "000000000000": "", "000000000001": ".00.00.00.00.00.01"}
+    df = spark.createDataFrame([(c, bytearray.fromhex(head + c + "00" * 11)) for c in cases], "c string, config binary")
+    for c, got in df.select("c", codecs.hevc(F.col("config"))).collect():
+        assert got == "hvc1.9.BB23D59D.L0" + cases[c]
