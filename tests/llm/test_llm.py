@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on nulls, empty and long texts, ties,
 repeated rows, empty tables and extra columns with clashing names."""
 
+import bisect
 import gzip
 import hashlib
 import math
@@ -875,6 +876,48 @@ def test_urls_equal_brute_force(spark):
         assert x[0] == y[0] and math.isclose(x[1], y[1], rel_tol=1e-9, abs_tol=1e-12) and x[2] == y[2]
 
 
+def test_all_ruled_urls_count_and_calibrate(spark):
+    """By default models count every ruled URL, and the threshold is that of all, each scored by models fitted anew without it."""
+    r = random.Random(5)
+    good = [f"http://example.com/en{r.choice('-_x')}{r.choice(['en', 'es', 'news'])}/{r.randint(1, 99)}" for _ in range(60)]
+    bad = [f"http://{r.choice(['', 'a.'])}example.com/en/{r.choice(['en', 'x-es', 'news'])}/{r.randint(1, 99)}" for _ in range(45)]
+    good.append("http://www.example.com" + "/en/news/5" * 4)
+    bad.append("http://example.com/en/5" + "example.com/en-es/" * 4)
+    df = spark.createDataFrame([(i, u) for i, u in enumerate((good + bad) * 2 + ["http://q.org/", None])], "page_id long, url string")
+    f = urls.train(df)
+    good, bad = sorted(set(good)), sorted(set(bad))
+    for model, every in ((f.accepted, good), (f.rejected, bad)):
+        assert model.known == urls.CharModel(every).known
+
+    def score(u, a, b):
+        return urls.Filter(urls.CharModel(a), urls.CharModel(b), 0.0).score(u)
+
+    a = [score(u, [x for x in good if x != u], bad) for u in good]
+    b = [score(u, good, [x for x in bad if x != u]) for u in bad]
+    cuts = sorted({*a, *b, 0.0})
+    right = [sum(x >= c for x in a) * len(b) + sum(x < c for x in b) * len(a) for c in cuts]
+    cut = min((c for c, n in zip(cuts, right) if n == max(right)), key=lambda c: (abs(c), c))
+    assert max(right) < 2 * len(a) * len(b)  # the classes overlap, so that the cut is not trivial
+    assert math.isclose(f.threshold, cut, rel_tol=1e-9, abs_tol=1e-12) and f.threshold == urls.fit(good, bad).threshold
+
+
+def test_best_cut_equals_brute_force(spark):
+    r = np.random.default_rng(8)
+    for n, scale in ((1, 1.0), (40, 4.0), (3000, 200.0), (3000, 1e9)):
+        rows = [(bool(k), float(np.round((r.normal() + (0.5 if k else -0.7)) * scale) / scale)) for k in [1, 0, *r.integers(0, 2, n)]]
+        a, b = (sorted(x for k, x in rows if k is v) for v in (True, False))
+        cuts = sorted({*a, *b, 0.0})
+        right = [(len(a) - bisect.bisect_left(a, c)) * len(b) + bisect.bisect_left(b, c) * len(a) for c in cuts]
+        want = min((c for c, m in zip(cuts, right) if m == max(right)), key=lambda c: (abs(c), c))
+        assert urls.best_cut(spark.createDataFrame(rows, "allowed boolean, score double")) == want
+
+
+def test_url_models_of_single_urls(spark):
+    df = spark.createDataFrame([(0, "http://a.com/"), (1, "http://b.net/es/"), (2, "http://b.net/x")], "page_id long, url string")
+    f = urls.train(df)
+    assert f.threshold == urls.fit(["http://a.com/"], ["http://b.net/es/"]).threshold and math.isfinite(f.threshold)
+
+
 def brute_pipeline(rows, labels):
     """The pipeline's rows as (doc_id, source, text), on one machine and without Spark."""
     import zlib
